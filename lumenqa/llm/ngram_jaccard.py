@@ -37,8 +37,10 @@ BASE_COUNT = 4
 MAX_COUNTED = 500_000
 #: Tokens of a task that are counted at once.
 FLUSH = 4_000_000
-#: A token whose list spans more components is frequent: it is indexed in combinations.
-FREQUENT_COMPONENTS = 64
+#: Tokens whose lists span more components are indexed one by one still, but with each node's other tokens beside them.
+SMALL_COMPONENTS = 8
+#: Tokens whose lists span more components are frequent: they are indexed in combinations.
+FREQUENT_COMPONENTS = 1024
 #: Nodes whose rows are found by a broadcast of their hashes; beyond it, by a join.
 MAX_SENT_NODES = 2_000_000
 
@@ -85,13 +87,13 @@ def members(docs: DataFrame, p: JaccardParams) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
-    """(token, count): exact counts, over all texts, of tokens of the order's lower half that BASE_COUNT texts pass.
+    """(token, count): exact counts, over all texts, of tokens that over BASE_COUNT texts hold.
 
     A token is here the upper 32 bits of its hash. Tasks send sorted distinct tokens in one binary value for each of
     many token ranges, so that a hot token costs one entry a task.
     """
-    ranges = max(16, 1 << max(0, (total // 2 // 2_000_000)).bit_length())
-    shift = 31 - (ranges.bit_length() - 1)
+    ranges = max(16, 1 << (total // 2_000_000).bit_length())
+    shift = 32 - (ranges.bit_length() - 1)
 
     def flush(held: list[np.ndarray]):
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -111,9 +113,8 @@ def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for _, tokens in shingle_sets(batch.column(0), p.width):
-                low = tokens[: np.searchsorted(tokens, np.uint64(1 << 63))] >> np.uint64(32)
-                held.append(low)
-                size += len(low)
+                held.append(tokens >> np.uint64(32))
+                size += len(tokens)
                 if size >= FLUSH:
                     yield flush(held)
                     held, size = [], 0
@@ -150,14 +151,13 @@ def order_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = counts.where(F.col("count") >= least).toArrow()
     tokens, count = table["token"].to_numpy(), table["count"].to_numpy()
     order = np.argsort(tokens)
-    return tokens[order].astype(np.uint64), (2 + np.log2(np.maximum(count[order], 1))).astype(np.uint64)
+    return tokens[order].astype(np.uint64), (1 + np.log2(np.maximum(count[order], 1))).astype(np.uint64)
 
 
 def postings(docs: DataFrame, p: JaccardParams, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(token, node, n, pos): the prefix of every text, in the global order.
 
-    The order is by class, then by hash: tokens of the lower half of all hashes that are rare, the upper half, then the
-    counted tokens by the power of two of their count.
+    The order is by class, then by hash: rare tokens come first, then the counted ones by the power of two of their count.
     """
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -171,8 +171,7 @@ def postings(docs: DataFrame, p: JaccardParams, table: tuple[np.ndarray, np.ndar
                 if not n or (node := _node(tokens)) in seen:
                     continue
                 seen.add(node)
-                upper = tokens >> np.uint64(63)
-                rank = upper.copy()
+                rank = np.zeros(n, np.uint64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens >> np.uint64(32)), len(known) - 1)
                     hit = known[at] == tokens >> np.uint64(32)
@@ -293,31 +292,60 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _cross_pairs(lists: DataFrame, keys: list[str], p: JaccardParams) -> DataFrame:
-    """(u, v, u_n, v_n, tokens, u_often, v_often): nodes of different components that have a key in common, u < v."""
-    a = lists.select(*keys, *(F.col(c).alias(f"u_{c}") for c in ("n", "pos", "comp", "often")), F.col("node").alias("u"))
-    b = lists.select(*keys, *(F.col(c).alias(f"v_{c}") for c in ("n", "pos", "comp", "often")), F.col("node").alias("v"))
-    same = a.join(b, keys).where((F.col("u") < F.col("v")) & (F.col("u_comp") != F.col("v_comp")) & _fits(F.col("u_n"), F.col("v_n"), p))
-    early = _early(F.col("u_n"), F.col("u_pos"), F.col("v_n"), F.col("v_pos"), p)
-    found = same.groupBy("u", "v").agg(F.count(F.lit(1)).alias("tokens"), F.bool_or(early).alias("early"), *(F.first(c).alias(c) for c in ("u_n", "v_n", "u_often", "v_often")))
-    return found.where("early")
+def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    side = lambda x: rows.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+    return side("u"), side("v")
+
+
+def _apart(p: JaccardParams):
+    return (F.col("u") < F.col("v")) & (F.col("u_comp") != F.col("v_comp")) & _fits(F.col("u_n"), F.col("v_n"), p)
+
+
+def _early_pair(p: JaccardParams):
+    return _early(F.col("u_n"), F.col("u_pos"), F.col("v_n"), F.col("v_pos"), p)
+
+
+def _small_lists(lists: DataFrame, p: JaccardParams) -> DataFrame:
+    """(u, v) that share enough tokens of small lists, given how many others they may share."""
+    u, v = _sides(lists, "token", "n", "pos", "comp", "others")
+    found = u.join(v, (F.col("u_token") == F.col("v_token")) & _apart(p)).groupBy("u", "v")
+    found = found.agg(F.count(F.lit(1)).alias("tokens"), F.bool_or(_early_pair(p)).alias("early"), *(F.first(c).alias(c) for c in ("u_n", "v_n", "u_others", "v_others")))
+    enough = F.col("tokens") + F.least("u_others", "v_others") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
+    return found.where(F.col("early") & enough).select("u", "v")
+
+
+def _long_lists(lists: DataFrame, keys: list[str], p: JaccardParams) -> DataFrame:
+    """(u, v) once each: at the first tokens of their class (as many as there are keys) that both have in their prefixes."""
+    u, v = _sides(lists, *keys, "n", "pos", "comp", "own", "others")
+    both = F.array_intersect("u_own", "v_own")
+    at = _apart(p) & _early_pair(p)
+    for i, key in enumerate(keys):
+        at = at & (F.col(f"u_{key}") == F.col(f"v_{key}")) & (F.col(f"u_{key}") == F.element_at(both, i + 1))
+    enough = F.size(both) + F.least("u_others", "v_others") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
+    return u.join(v, at & enough).select("u", "v")
 
 
 def _candidates(shared: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
-    """(u, v): pairs between components that the index of single tokens and of combinations yields."""
+    """(u, v): pairs between components that the index of single tokens and of combinations yields.
+
+    A pair's first two shared tokens decide where it is found: one of a rare class finds it alone, two of the frequent
+    class find it as a combination.
+    """
     lists = shared.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spans = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    lists = cut(lists.join(spans, "token"))
-    often = lists.where(F.col("comps") > FREQUENT_COMPONENTS)
-    each = often.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
-    lists = lists.join(each, "node", "left").fillna(0, ["often"])
-    single = _cross_pairs(lists.where(F.col("comps") <= FREQUENT_COMPONENTS), ["token"], p)
-    enough = F.col("tokens") + F.least("u_often", "v_often") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
-    many = lists.where(F.col("comps") > FREQUENT_COMPONENTS)
-    one = many.select("node", "n", "comp", "often", F.col("token").alias("t1"), F.col("pos").alias("p1"))
-    two = many.select("node", F.col("token").alias("t2"), F.col("pos").alias("pos"))
-    combined = one.join(two, "node").where("p1 < pos").select("t1", "t2", "node", "n", "pos", "comp", "often")
-    return single.where(enough).select("u", "v").union(_cross_pairs(combined, ["t1", "t2"], p).select("u", "v")).distinct()
+    kind = F.when(F.col("comps") <= SMALL_COMPONENTS, 1).when(F.col("comps") <= FREQUENT_COMPONENTS, 2).otherwise(3)
+    lists = cut(lists.join(spans, "token").withColumn("kind", kind).drop("comps"))
+    placed = F.struct("pos", "token")
+    own = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, placed))), lambda x: x["token"])
+    nodes = lists.where("kind > 1").groupBy("node").agg(own(2).alias("middle"), own(3).alias("frequent"))
+    few = lists.where("kind = 1").groupBy("node").agg(F.count(F.lit(1)).alias("small"))
+    nodes = cut(nodes.join(few, "node", "left").fillna(0, ["small"]))
+    rare = lists.where("kind = 1").join(nodes.select("node", (F.size("middle") + F.size("frequent")).alias("others")), "node", "left").fillna(0, ["others"])
+    middle = lists.where("kind = 2").join(nodes.select("node", F.col("middle").alias("own"), (F.col("small") + F.size("frequent")).alias("others")), "node")
+    often = lists.where("kind = 3").join(nodes.select("node", F.col("frequent").alias("own"), (F.col("small") + F.size("middle")).alias("others")), "node")
+    second = lists.where("kind = 3").select("node", F.col("token").alias("t2"), F.col("pos").alias("second"))
+    combined = often.withColumnRenamed("token", "t1").join(second, "node").where("pos < second").withColumn("pos", F.col("second"))
+    return _small_lists(rare, p).union(_long_lists(middle, ["token"], p)).union(_long_lists(combined, ["t1", "t2"], p)).distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
