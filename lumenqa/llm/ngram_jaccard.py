@@ -41,6 +41,8 @@ FLUSH = 4_000_000
 SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
 FREQUENT_COMPONENTS = 1024
+#: Times that the longer lists are tried with other leaders, so that a large group is one component before pairs are made.
+STAR_TURNS = 4
 #: Nodes whose rows are found by a broadcast of their hashes; beyond it, by a join.
 MAX_SENT_NODES = 2_000_000
 
@@ -325,16 +327,35 @@ def _long_lists(lists: DataFrame, keys: list[str], p: JaccardParams) -> DataFram
     return u.join(v, at & enough).select("u", "v")
 
 
-def _candidates(shared: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
+def _lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, node, n, pos, comp, kind) of the lists that span several components; kind is 1 for small, 3 for frequent ones."""
+    lists = shared.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spans = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    kind = F.when(F.col("comps") <= SMALL_COMPONENTS, 1).when(F.col("comps") <= FREQUENT_COMPONENTS, 2).otherwise(3)
+    return cut(lists.join(spans, "token").withColumn("kind", kind).drop("comps"))
+
+
+def _stars(lists: DataFrame, turn: int, p: JaccardParams) -> DataFrame:
+    """(u, v): each node of the longer lists with its list's leader, the node whose hash of this turn is the least."""
+    rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")
+    leaders = lists.where("kind > 1").groupBy("token").agg(F.min(rank).alias("lead"))
+    pairs = lists.where("kind > 1").join(leaders, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), p))
+    return _likely(pairs.select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), p)
+
+
+def _likely(pairs: DataFrame, p: JaccardParams) -> DataFrame:
+    """(u, v) of (node, n, lead, lead_n), a row for each shared token, that share half of what linked ones must."""
+    found = pairs.groupBy(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+    found = found.agg(F.count(F.lit(1)).alias("tokens"), F.first("n").alias("a"), F.first("lead_n").alias("b"))
+    return found.where(2 * F.col("tokens") >= _shared_prefix(F.col("a"), F.col("b"), p)).select("u", "v")
+
+
+def _candidates(lists: DataFrame, p: JaccardParams) -> DataFrame:
     """(u, v): pairs between components that the index of single tokens and of combinations yields.
 
     A pair's first two shared tokens decide where it is found: one of a rare class finds it alone, two of the frequent
     class find it as a combination.
     """
-    lists = shared.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spans = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    kind = F.when(F.col("comps") <= SMALL_COMPONENTS, 1).when(F.col("comps") <= FREQUENT_COMPONENTS, 2).otherwise(3)
-    lists = cut(lists.join(spans, "token").withColumn("kind", kind).drop("comps"))
     placed = F.struct("pos", "token")
     own = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, placed))), lambda x: x["token"])
     nodes = lists.where("kind > 1").groupBy("node").agg(own(2).alias("middle"), own(3).alias("frequent"))
@@ -371,13 +392,23 @@ def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams())
 def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     table = order_table(cut(token_counts(docs, p, total)))
     shared = cut(shared_postings(postings(docs, p, table)))
-    fits = _fits(F.col("n"), F.col("lead_n"), p)
-    star = shared.where((F.col("node") != F.col("lead")) & fits).groupBy(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
-    stars = cut(star.agg(F.count(F.lit(1)).alias("tokens"), F.first("n").alias("a"), F.first("lead_n").alias("b")).where(2 * F.col("tokens") >= _shared_prefix(F.col("a"), F.col("b"), p)).select("u", "v"))
     ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = token_sets(docs, people, ends(stars), p)
-    links = cut(verify(stars, sets, p))
-    pairs = cut(_candidates(shared, components(links), p).join(stars, ["u", "v"], "left_anti"))
+    tried = cut(_likely(shared.where((F.col("node") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), p)), p))
+    sets = token_sets(docs, people, ends(tried), p)
+    links = cut(verify(tried, sets, p))
+    lists = _lists(shared, components(links))
+    longer = lists.where("kind > 1").select("node").distinct()
+    if not longer.isEmpty():
+        sets = sets.union(token_sets(docs, people, longer.join(sets, "node", "left_anti"), p))
+        for turn in range(STAR_TURNS):
+            stars = cut(_stars(lists, turn, p).join(tried, ["u", "v"], "left_anti"))
+            new = cut(verify(stars, sets, p))
+            tried = tried.union(stars)
+            if new.isEmpty():
+                break
+            links = links.union(new)
+            lists = _lists(shared, components(links))
+    pairs = cut(_candidates(lists, p).join(tried, ["u", "v"], "left_anti"))
     if not pairs.isEmpty():
         rest = token_sets(docs, people, ends(pairs).join(sets, "node", "left_anti"), p)
         links = cut(links.union(verify(pairs, sets.union(rest), p)))
