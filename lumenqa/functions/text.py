@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -70,18 +72,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def rouge_l(prediction: Column, gold: Column) -> Column:
-    """F1 of the longest common word subsequence, by one row of the dynamic programme at a time; 0 if either is empty."""
-    p, g = tokens(prediction), tokens(gold)
-    zero = F.array_repeat(F.lit(0), F.size(g) + 1)
+def _longest_common(p: list[str], g: list[str]) -> int:
+    """Length of the longest common subsequence, one big-integer step a word (Hyyro's bit-vector recurrence)."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(g):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << len(g)) - 1
+    state = whole
+    for w in p:
+        hit = state & places.get(w, 0)
+        state = ((state + hit) | (state - hit)) & whole
+    return len(g) - state.bit_count()
+
 
-    def step(row: Column, word: Column) -> Column:
-        # new[j] = row[j-1] + 1 where words agree, else max(row[j], new[j-1])
-        grow = lambda done, j: F.concat(done, F.array(F.when(F.element_at(g, j) == word, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(row, j + 1), F.element_at(done, -1)))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(g)), F.array(F.lit(0)), grow)
+@F.pandas_udf(IntegerType())
+def _lcs(p: pd.Series, g: pd.Series) -> pd.Series:
+    return pd.Series([_longest_common(list(a), list(b)) for a, b in zip(p, g)], dtype="int32")
 
-    longest = F.element_at(F.aggregate(p, zero, step), -1)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), 0.0).otherwise(2.0 * longest / (F.size(p) + F.size(g)))
+
+def rouge_l(prediction: Column, gold: Column) -> Column:
+    """F1 of the longest common word subsequence; 0 if either is empty. The one metric that needs Python: the recurrence has no built-in form."""
+    p, g = tokens(prediction), tokens(gold)
+    return F.when((F.size(p) == 0) | (F.size(g) == 0), 0.0).otherwise(2.0 * _lcs(p, g) / (F.size(p) + F.size(g)))
 
 
 def set_scores(predicted: Column, gold: Column) -> tuple[Column, Column]:

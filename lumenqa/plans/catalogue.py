@@ -1,4 +1,4 @@
-"""All queries of the library, by name, with their SQL."""
+"""All queries of the library, by name, with their SQL; importing the modules registers them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import answers, retrieval, trials  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
