@@ -34,4 +34,56 @@ select d.doc_id, d.size, r.source_size, r.target,
 from d join r on d.source is not distinct from r.source join best b on d.source is not distinct from b.source
 """
 
-ORACLES = {"op6_mixing": OP6}
+_OWN = "</s>[INST] ok [/INST]"
+_MARKS = "(length({0}) - length(replace(replace({0}, '<', ''), '[', '')))"
+OP4 = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '{_OWN}' union all select -1, 1, 'assistant', '{_OWN}'),
+g as (select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+        string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text) as loss,
+        sum(12 + length(role) + {_MARKS.format("role")} + 1 + length(text) + {_MARKS.format("text")} + 11)::bigint as formatted_chars from c group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
+"""
+
+_STEPS = 20
+_MASK = 1 + (1 << 20) + (1 << 40)
+
+
+def _vector(units: str) -> str:
+    words = [f"coalesce(list_sum(list_transform({units}, lambda u: (('0x' || substr(md5(u), {at}, 15))::bigint >> {s}) & {_MASK}))::bigint, 0)" for at in (1, 16) for s in range(_STEPS)]
+    return f"[{', '.join(words)}, len({units})::bigint]"
+
+
+def _like(a: str, b: str) -> str:
+    lanes = lambda w: f"list_transform(range(0, 120), lambda i: 2 * (({w}[(i % 40) + 1] >> (20 * (i // 40))) & 1048575) - {w}[41])"
+    dot = lambda x, y: f"list_dot_product({lanes(x)}::double[], {lanes(y)}::double[])"
+    norm = f"(sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
+    return f"case when {a} = {b} then 1.0 when {norm} > 0 then round(greatest(0.0, least(1.0, {dot(a, b)} / {norm})), 9) else 0.0 end"
+
+
+_UNITS = r"list_filter(list_transform(regexp_extract_all({0}, '[^\n.!?]{{1,64}}[.!?]*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_HEX = "array_to_string(list_transform({0}, lambda x: lpad(lower(to_hex(x)), 16, '0')), '')"
+OP7 = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select *, length(text)::bigint as n, coalesce(lead(text) over (order by doc_id desc), first_value(text) over (order by doc_id desc)) as following from d),
+e as (select *, left(text, (n - n // 3)::int) || left(following, (n // 3)::int) as edited from n),
+u as (select *, {_UNITS.format("text")} as a, {_UNITS.format("edited")} as b, {_UNITS.format("following")} as c from e),
+w as (select doc_id, n, edited, {_vector("a")} as x, {_vector("b")} as y, {_vector("c")} as z from u)
+select doc_id, n as n_chars, sha256(edited) as edited_sha256, {_HEX.format("x")} as fingerprint, {_HEX.format("y")} as edited_fingerprint,
+       {_like("x", "y")} as near_edited, {_like("x", "z")} as near_next from w
+"""
+
+OP10 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as shingle from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as same from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * same >= 85 * (x.n + y.n - same)),
+e as (select u, v from l union select v, u from l),
+r as (select u, v from e union select r.u, e.v from r join e on e.u = r.v)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) as component_id
+from d left join n on n.doc_id = d.doc_id left join (select u, min(v) as least from r group by u) m on m.u = d.doc_id
+"""
+
+ORACLES = {"op4_chat_format": OP4, "op6_mixing": OP6, "op7_fingerprints": OP7, "op10_ngram_jaccard": OP10}
