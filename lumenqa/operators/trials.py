@@ -26,13 +26,13 @@ def pareto_area(trials: DataFrame, study: str = "study") -> DataFrame:
     following = F.lead("x").over(Window.partitionBy(study).orderBy("v1"))
     steps = front.withColumn("w", F.coalesce(following, F.col("x1")) - F.col("x"))
     total = (F.first("x1") - F.first("x0")) * (F.first("y1") - F.first("y0"))
-    return steps.groupBy(study).agg((F.sum(F.col("w") * (F.col("y") - F.col("y0"))) / total).alias("area"))
+    return steps.groupBy(study).agg(F.try_divide(F.sum(F.col("w") * (F.col("y") - F.col("y0"))), total).alias("area"))
 
 
 def knee(trials: DataFrame, study: str = "study") -> DataFrame:
     """The point of each front that rises most over the line between its ends, both axes on 0..1."""
     whole = Window.partitionBy(study)
-    scale = lambda c: (F.col(c) - F.min(c).over(whole)) / (F.max(c).over(whole) - F.min(c).over(whole))
+    scale = lambda c: F.try_divide(F.col(c) - F.min(c).over(whole), F.max(c).over(whole) - F.min(c).over(whole))
     rows = pareto_front(trials, study).withColumn("rise", F.round(F.coalesce(scale("v0"), F.lit(0.0)) - F.coalesce(scale("v1"), F.lit(0.0)), 9))
     order = Window.partitionBy(study).orderBy(F.desc("rise"), "v1", "number")
     return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")

@@ -190,7 +190,7 @@ def coreset_weights(spark, sf_dir):
 sql("cluster_profile", """
 with c as (select e.label, d.lang, count(*) as n from {embeddings} e join {documents} d on d.doc_id = e.vec_id group by e.label, d.lang),
      r as (select *, sum(n) over (partition by label) as total, row_number() over (partition by label order by n desc, lang) as place from c)
-select label, lang as dominant, cast(total as bigint) as size, round(100.0 * n / total, 6) as percent from r where place = 1""")
+select label, lang as dominant, cast(total as bigint) as size, round(cast(100 * n as double) / total, 6) as percent from r where place = 1""")
 
 
 @query(f"with c as (select label, i, avg(e[i]) as m from (select label, e, unnest(range(1, 65)) as i from {_EMB}) group by label, i), k as (select label, list(m order by i) as centre from c group by label), d as (select vec_id, b.label, list_distance(e, centre) as far from {_EMB} b join k on b.label = k.label), r as (select *, row_number() over (partition by label order by round(far, 9) desc, vec_id) as place, count(*) over (partition by label) as n from d) select vec_id, label, round(far, 6) as far from r where place <= floor(n * 0.1)")
@@ -216,7 +216,7 @@ with p as (select a.p_partkey as config, b.p_partkey as other, round({_ALIKE}, 6
      r as (select *, row_number() over (partition by config order by similarity desc, other) as place from p)
 select config, other, similarity from r where place <= 3""")
 sql("insight_relevance", """
-select doc_id, round(least(1.0, 0.5 * (n_chars % 100) / 100.0 + case when text like '%the%' then 0.3 else 0 end + case when lang = 'en' then 0.2 else 0 end), 6) as relevance from {documents}""")
+select doc_id, round(least(cast(1 as double), cast(n_chars % 100 as double) / 200 + case when text like '%the%' then 0.3 else 0 end + case when lang = 'en' then 0.2 else 0 end), 6) as relevance from {documents}""")
 sql("config_qa_consistency", """
 select o_custkey as config, count(*) as runs, sum(case when c_custkey is null then 1 else 0 end) as missing from {orders} left join {customer} on c_custkey = o_custkey and c_nationkey >= 5 group by o_custkey""", """
 select o_custkey as config, count(*) as runs, sum(case when c_custkey is null then 1 else 0 end)::bigint as missing from orders left join customer on c_custkey = o_custkey and c_nationkey >= 5 group by o_custkey""")
