@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .shared import cut, partitions
 
 PARAGRAPH = r"[^\n.!?]{1,64}[.!?]*"
+_BLANKS = " \t\n\x0b\x0c\r"
 SHIFTS = 20  # words a hash: bits s, s + 20 and s + 40 of it are lanes of word s
 _MASK = 1 + (1 << SHIFTS) + (1 << 2 * SHIFTS)
 _LANE = (1 << SHIFTS) - 1
@@ -25,19 +26,28 @@ WIDTH = 2 * SHIFTS + 1  # packed words, and the number of paragraphs
 
 def paragraphs(text: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"^[\s]+|[\s]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
 
 
-def vector(paragraph: Column) -> Column:
-    """The packed vector of one paragraph."""
-    digest = F.md5(paragraph.cast("binary"))
-    mask = F.lit(_MASK).cast("long")
+def _once(value: Column, use) -> Column:
+    """use(value), the value computed once: a lambda variable is not inlined."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def spread(at: int) -> list[Column]:
-        word = F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
-        return [F.shiftright(word, s).bitwiseAND(mask) for s in range(SHIFTS)]
 
-    return F.array(*spread(1), *spread(16), F.lit(1).cast("long"))
+def _sums(digests: Column) -> Column:
+    """The packed sum of the vectors of paragraphs with these md5 digests: one running sum for each word."""
+    zero, mask = F.lit(0).cast("long"), F.lit(_MASK).cast("long")
+
+    def words(at: int) -> Column:
+        return F.transform(digests, lambda d: F.conv(F.substring(d, at, 15), 16, 10).cast("long"))
+
+    def word(values: Column, s: int) -> Column:
+        return F.aggregate(values, zero, lambda total, w: total + F.shiftright(w, s).bitwiseAND(mask))
+
+    def packed(values: Column) -> Column:
+        return F.array(*[word(values, s) for s in range(SHIFTS)])
+
+    return F.concat(_once(words(1), packed), _once(words(16), packed), F.array(F.size(digests).cast("long")))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -50,8 +60,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """array<long> of WIDTH words; all zero for null, empty and blank texts."""
-    zero = F.array_repeat(F.lit(0).cast("long"), WIDTH)
-    return F.aggregate(paragraphs(text), zero, lambda total, x: add(total, vector(x)))
+    return _once(F.transform(paragraphs(text), lambda x: F.md5(x.cast("binary"))), _sums)
 
 
 def as_text(words: Column) -> Column:
@@ -71,10 +80,14 @@ def _dot(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints alone: 1 if equal, 0 if just one is of no paragraph."""
-    x, y = _lanes(a), _lanes(b)
-    norm = F.sqrt(_dot(x, x).cast("double")) * F.sqrt(_dot(y, y).cast("double"))
-    cosine = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(x, y) / norm))).otherwise(0.0)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.round(cosine, 9))
+
+    def cosine(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        norm = F.sqrt(_dot(x, x).cast("double")) * F.sqrt(_dot(y, y).cast("double"))
+        return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(x, y).cast("double"), norm))), F.lit(0.0))
+
+    lanes = F.struct(_lanes(a).alias("x"), _lanes(b).alias("y"))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.round(_once(lanes, cosine), 9))
 
 
 def next_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:

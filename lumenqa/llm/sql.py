@@ -61,7 +61,7 @@ def _like(a: str, b: str) -> str:
     return f"case when {a} = {b} then 1.0 when {norm} > 0 then round(greatest(0.0, least(1.0, {dot(a, b)} / {norm})), 9) else 0.0 end"
 
 
-_UNITS = r"list_filter(list_transform(regexp_extract_all({0}, '[^\n.!?]{{1,64}}[.!?]*'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_UNITS = r"list_filter(list_transform(regexp_extract_all({0}, '[^\n.!?]{{1,64}}[.!?]*'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
 _HEX = "array_to_string(list_transform({0}, lambda x: lpad(lower(to_hex(x)), 16, '0')), '')"
 OP7 = f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
