@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import cut, partitions
+from .shared import cut, partitions, release
 from .words import mix, shingle_sets
 
 K = 2
@@ -42,7 +42,7 @@ SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
 FREQUENT_COMPONENTS = 1024
 #: Times that the longer lists are tried with other leaders, so that a large group is one component before pairs are made.
-STAR_TURNS = 4
+STAR_TURNS = 2
 #: Nodes whose rows are found by a broadcast of their hashes; beyond it, by a join.
 MAX_SENT_NODES = 2_000_000
 
@@ -391,7 +391,10 @@ def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams())
 
 def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     table = order_table(cut(token_counts(docs, p, total)))
+    spark = docs.sparkSession
+    release(spark)
     shared = cut(shared_postings(postings(docs, p, table)))
+    release(spark)
     ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     tried = cut(_likely(shared.where((F.col("node") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), p)), p))
     sets = token_sets(docs, people, ends(tried), p)
@@ -407,8 +410,11 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
             if new.isEmpty():
                 break
             links = links.union(new)
+            release(spark)
             lists = _lists(shared, components(links))
+    release(spark)
     pairs = cut(_candidates(lists, p).join(tried, ["u", "v"], "left_anti"))
+    release(spark)
     if not pairs.isEmpty():
         rest = token_sets(docs, people, ends(pairs).join(sets, "node", "left_anti"), p)
         links = cut(links.union(verify(pairs, sets.union(rest), p)))
