@@ -42,7 +42,7 @@ SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
 FREQUENT_COMPONENTS = 1024
 #: Times that the longer lists are tried with other leaders, so that a large group is one component before pairs are made.
-STAR_TURNS = 2
+STAR_TURNS = 3
 #: Nodes whose rows are found by a broadcast of their hashes; beyond it, by a join.
 MAX_SENT_NODES = 2_000_000
 
