@@ -9,7 +9,7 @@ nodes that link share at least K = 2 prefix tokens. The index then holds
 
 and what it finds is verified on the whole sets. Only components are wanted, so before the index is searched each list's
 smallest node is tried against the others (a star); a large group of near copies becomes one component by that, and
-the lists only yield pairs between components.
+the lists only yield pairs between components, without those that a parity bitmap of 512 bits rules out.
 
 Hashes have 64 bits, a node is (64-bit set hash, set size); at a billion distinct texts the expected number of
 confusions is about 0.03 before sizes are compared.
@@ -43,6 +43,9 @@ SMALL_COMPONENTS = 8
 FREQUENT_COMPONENTS = 1024
 #: Times that the longer lists are tried with other leaders, so that a large group is one component before pairs are made.
 STAR_TURNS = 3
+#: 64-bit words of a node's parity bitmap.
+BIT_WORDS = 8
+BITS = [f"bits{i}" for i in range(BIT_WORDS)]
 #: Nodes whose rows are found by a broadcast of their hashes; beyond it, by a join.
 MAX_SENT_NODES = 2_000_000
 
@@ -74,18 +77,28 @@ def _node(tokens: np.ndarray) -> int:
         return int(mix(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """For each of the bit places, whether an odd number of tokens fall on it; packed into 64-bit words."""
+    odd = np.bincount((tokens % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def members(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """(doc_id, n, node) of every row; n is 0 and node null without words."""
+    """(doc_id, n, node, bits0 ...) of every row; n is 0 and node null without words."""
 
     def run(batches):
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            bits = np.zeros((BIT_WORDS, batch.num_rows), np.int64)
             for row, tokens in shingle_sets(batch.column(1), p.width):
                 n[row] = len(tokens)
-                node[row] = _node(tokens) if len(tokens) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0)], ["doc_id", "n", "node"])
+                if len(tokens):
+                    node[row] = _node(tokens)
+                    bits[:, row] = _bitmap(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), *map(pa.array, bits)], ["doc_id", "n", "node", *BITS])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "n", "node", *BITS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
@@ -236,6 +249,12 @@ def _fits(a_n, b_n, p: JaccardParams):
     return p.den * F.least(a_n, b_n) >= p.num * F.greatest(a_n, b_n)
 
 
+def _near_bits(a_n, b_n, p: JaccardParams):
+    """Whether the bitmaps u_bits and v_bits leave two sets a chance: sets that differ in d tokens differ in at most d bits."""
+    apart = sum((F.bit_count(F.col(f"u_{b}").bitwiseXOR(F.col(f"v_{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"u_{BITS[0]}").bitwiseXOR(F.col(f"v_{BITS[0]}"))))
+    return apart <= a_n + b_n - 2 * _overlap(a_n, b_n, p)
+
+
 def _early(a_n, a_pos, b_n, b_pos, p: JaccardParams):
     """Whether enough can still overlap after this shared token, if at most K - 1 shared ones precede it."""
     return K + F.least(a_n - 1 - a_pos, b_n - 1 - b_pos) >= _overlap(a_n, b_n, p)
@@ -300,7 +319,8 @@ def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _apart(p: JaccardParams):
-    return (F.col("u") < F.col("v")) & (F.col("u_comp") != F.col("v_comp")) & _fits(F.col("u_n"), F.col("v_n"), p)
+    u_n, v_n = F.col("u_n"), F.col("v_n")
+    return (F.col("u") < F.col("v")) & (F.col("u_comp") != F.col("v_comp")) & _fits(u_n, v_n, p) & _near_bits(u_n, v_n, p)
 
 
 def _early_pair(p: JaccardParams):
@@ -309,7 +329,7 @@ def _early_pair(p: JaccardParams):
 
 def _small_lists(lists: DataFrame, p: JaccardParams) -> DataFrame:
     """(u, v) that share enough tokens of small lists, given how many others they may share."""
-    u, v = _sides(lists, "token", "n", "pos", "comp", "others")
+    u, v = _sides(lists, "token", "n", "pos", "comp", "others", *BITS)
     found = u.join(v, (F.col("u_token") == F.col("v_token")) & _apart(p)).groupBy("u", "v")
     found = found.agg(F.count(F.lit(1)).alias("tokens"), F.bool_or(_early_pair(p)).alias("early"), *(F.first(c).alias(c) for c in ("u_n", "v_n", "u_others", "v_others")))
     enough = F.col("tokens") + F.least("u_others", "v_others") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
@@ -318,7 +338,7 @@ def _small_lists(lists: DataFrame, p: JaccardParams) -> DataFrame:
 
 def _long_lists(lists: DataFrame, keys: list[str], p: JaccardParams) -> DataFrame:
     """(u, v) once each: at the first tokens of their class (as many as there are keys) that both have in their prefixes."""
-    u, v = _sides(lists, *keys, "n", "pos", "comp", "own", "others")
+    u, v = _sides(lists, *keys, "n", "pos", "comp", "own", "others", *BITS)
     both = F.array_intersect("u_own", "v_own")
     at = _apart(p) & _early_pair(p)
     for i, key in enumerate(keys):
@@ -350,20 +370,22 @@ def _likely(pairs: DataFrame, p: JaccardParams) -> DataFrame:
     return found.where(2 * F.col("tokens") >= _shared_prefix(F.col("a"), F.col("b"), p)).select("u", "v")
 
 
-def _candidates(lists: DataFrame, p: JaccardParams) -> DataFrame:
+def _candidates(lists: DataFrame, people: DataFrame, p: JaccardParams) -> DataFrame:
     """(u, v): pairs between components that the index of single tokens and of combinations yields.
 
     A pair's first two shared tokens decide where it is found: one of a rare class finds it alone, two of the frequent
-    class find it as a combination.
+    class find it as a combination. Parity bitmaps of the sets then reject most pairs that share a lot but do not link;
+    they never reject one that links.
     """
     placed = F.struct("pos", "token")
     own = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, placed))), lambda x: x["token"])
-    nodes = lists.where("kind > 1").groupBy("node").agg(own(2).alias("middle"), own(3).alias("frequent"))
-    few = lists.where("kind = 1").groupBy("node").agg(F.count(F.lit(1)).alias("small"))
-    nodes = cut(nodes.join(few, "node", "left").fillna(0, ["small"]))
-    rare = lists.where("kind = 1").join(nodes.select("node", (F.size("middle") + F.size("frequent")).alias("others")), "node", "left").fillna(0, ["others"])
-    middle = lists.where("kind = 2").join(nodes.select("node", F.col("middle").alias("own"), (F.col("small") + F.size("frequent")).alias("others")), "node")
-    often = lists.where("kind = 3").join(nodes.select("node", F.col("frequent").alias("own"), (F.col("small") + F.size("middle")).alias("others")), "node")
+    few = F.count(F.when(F.col("kind") == 1, F.lit(1)))
+    nodes = lists.groupBy("node").agg(own(2).alias("middle"), own(3).alias("frequent"), few.alias("small"))
+    bitmaps = people.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(*(F.first(b).alias(b) for b in BITS))
+    nodes = cut(nodes.join(bitmaps, "node"))
+    rare = lists.where("kind = 1").join(nodes.select("node", (F.size("middle") + F.size("frequent")).alias("others"), *BITS), "node")
+    middle = lists.where("kind = 2").join(nodes.select("node", F.col("middle").alias("own"), (F.col("small") + F.size("frequent")).alias("others"), *BITS), "node")
+    often = lists.where("kind = 3").join(nodes.select("node", F.col("frequent").alias("own"), (F.col("small") + F.size("middle")).alias("others"), *BITS), "node")
     second = lists.where("kind = 3").select("node", F.col("token").alias("t2"), F.col("pos").alias("second"))
     combined = often.withColumnRenamed("token", "t1").join(second, "node").where("pos < second").withColumn("pos", F.col("second"))
     return _small_lists(rare, p).union(_long_lists(middle, ["token"], p)).union(_long_lists(combined, ["t1", "t2"], p)).distinct()
@@ -413,7 +435,7 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
             release(spark)
             lists = _lists(shared, components(links))
     release(spark)
-    pairs = cut(_candidates(lists, p).join(tried, ["u", "v"], "left_anti"))
+    pairs = cut(_candidates(lists, people, p).join(tried, ["u", "v"], "left_anti"))
     release(spark)
     if not pairs.isEmpty():
         rest = token_sets(docs, people, ends(pairs).join(sets, "node", "left_anti"), p)

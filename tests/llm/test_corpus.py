@@ -357,3 +357,13 @@ def test_pipeline(spark, tmp_path):
     assert kept[1] == kept[0] - {100, 101} and kept[2] == kept[1] - {102} and kept[4] == kept[3] <= kept[2]
     shards = {x["doc_id"]: x["shard"] for x in seen.collect()}
     assert all(s == sharding.jump_hash(np.array([i]), 8)[0] for i, s in shards.items())
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 700, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[: int(share * len(a))], rng.integers(0, 2**63, n - int(share * n), dtype=np.uint64))))
+            bits = int(sum(x.bit_count() for x in (ngram_jaccard._bitmap(a) ^ ngram_jaccard._bitmap(b)).view(np.uint64).tolist()))
+            assert bits <= len(np.setxor1d(a, b))
