@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import remove, write_out
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (u long, v long); component is the smallest node.
 
     Repeated edges, loops and both directions are allowed. Nodes that only have loops are left out.
+    Each turn's edges are written once to the shared checkpoint folder; the turn before is deleted then.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges, folder = write_out(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        past, (edges, folder) = folder, write_out(_small_star(_large_star(edges)))
+        remove(edges.sparkSession, past)
         if (now := _state(edges)) == state:
             break
         state = now

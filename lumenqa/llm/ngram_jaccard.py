@@ -42,7 +42,7 @@ SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
 FREQUENT_COMPONENTS = 1024
 #: Times that the longer lists are tried with other leaders, so that a large group is one component before pairs are made.
-STAR_TURNS = 3
+STAR_TURNS = 1
 #: 64-bit words of a node's parity bitmap.
 BIT_WORDS = 8
 BITS = [f"bits{i}" for i in range(BIT_WORDS)]
@@ -370,6 +370,11 @@ def _likely(pairs: DataFrame, p: JaccardParams) -> DataFrame:
     return found.where(2 * F.col("tokens") >= _shared_prefix(F.col("a"), F.col("b"), p)).select("u", "v")
 
 
+def _edges(labels: DataFrame) -> DataFrame:
+    """(u, v) of each node with its component: as good as the links that gave them, and fewer."""
+    return labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def _candidates(lists: DataFrame, people: DataFrame, p: JaccardParams) -> DataFrame:
     """(u, v): pairs between components that the index of single tokens and of combinations yields.
 
@@ -421,7 +426,8 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
     tried = cut(_likely(shared.where((F.col("node") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), p)), p))
     sets = token_sets(docs, people, ends(tried), p)
     links = cut(verify(tried, sets, p))
-    lists = _lists(shared, components(links))
+    labels = components(links)
+    lists = _lists(shared, labels)
     longer = lists.where("kind > 1").select("node").distinct()
     if not longer.isEmpty():
         sets = sets.union(token_sets(docs, people, longer.join(sets, "node", "left_anti"), p))
@@ -431,13 +437,13 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
             tried = tried.union(stars)
             if new.isEmpty():
                 break
-            links = links.union(new)
+            labels = components(_edges(labels).union(new))
             release(spark)
-            lists = _lists(shared, components(links))
+            lists = _lists(shared, labels)
     release(spark)
     pairs = cut(_candidates(lists, people, p).join(tried, ["u", "v"], "left_anti"))
     release(spark)
     if not pairs.isEmpty():
         rest = token_sets(docs, people, ends(pairs).join(sets, "node", "left_anti"), p)
-        links = cut(links.union(verify(pairs, sets.union(rest), p)))
-    return components(links)
+        labels = components(_edges(labels).union(verify(pairs, sets.union(rest), p)))
+    return labels
