@@ -2,11 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import remove, write_out
 
+#: Edges that a task contracts at once.
+FOREST_EDGES = 1_000_000
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that these edges reach from each): larger roots hang on smaller ones until no edge joins two."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    parent = np.arange(len(nodes))
+    while (apart := parent[a] != parent[b]).any():
+        a, b = a[apart], b[apart]
+        x, y = parent[a], parent[b]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while ((up := parent[parent]) != parent).any():
+            parent = up
+    return nodes, nodes[parent]
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each task replaces runs of its edges by one for each node but the roots."""
+
+    def contract(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        nodes, roots = _roots(u, v)
+        keep = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["u", "v"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= FOREST_EDGES:
+                yield contract(held)
+                held, size = [], 0
+        if size:
+            yield contract(held)
+
+    return edges.mapInArrow(run, "u long, v long")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +73,8 @@ def components(edges: DataFrame) -> DataFrame:
     Repeated edges, loops and both directions are allowed. Nodes that only have loops are left out.
     Each turn's edges are written once to the shared checkpoint folder; the turn before is deleted then.
     """
-    edges, folder = write_out(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges, folder = write_out(_forest(_forest(edges).distinct()))
     state = _state(edges)
     while state[0]:
         past, (edges, folder) = folder, write_out(_small_star(_large_star(edges)))

@@ -93,6 +93,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(15)}, **{i: 15 for i in range(15, 31)}, 39: 39, 40: 39}
 
 
+def test_components_of_dense_groups(spark):
+    group = [(a, b) for a in range(40) for b in range(40) if a != b and (a * b) % 3 < 2]
+    path = [(100 + (i * 37) % 101, 100 + ((i + 1) * 37) % 101) for i in range(100)]  # one long path in scattered order
+    edges = spark.createDataFrame(group + path + [(-(2**62), 2**62)], "u long, v long").repartition(7)
+    got = {r[0]: r[1] for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(40)}, **{100 + i: 100 for i in range(101)}, 2**62: -(2**62), -(2**62): -(2**62)}
+
+
 # 3 --------------------------------------------------------------------------------------------------------------------
 
 
