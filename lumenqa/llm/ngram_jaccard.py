@@ -37,6 +37,8 @@ BASE_COUNT = 4
 MAX_COUNTED = 500_000
 #: Tokens of a task that are counted at once.
 FLUSH = 4_000_000
+#: Postings, or tokens of sets, that a task hands over at once.
+SENT_ROWS = 250_000
 #: Tokens whose lists span more components are indexed one by one still, but with each node's other tokens beside them.
 SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
@@ -117,8 +119,8 @@ def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int32()),
-                pa.array([r[1][r[2] == 1].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-                pa.array([r[1][r[2] > 1].astype(np.uint32).tobytes() for r in rows], pa.binary()),
+                pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
+                pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
                 pa.array([r[2][r[2] > 1].astype(np.int64).tobytes() for r in rows], pa.binary()),
             ],
             ["part", "once", "more", "times"],
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for _, tokens in shingle_sets(batch.column(0), p.width):
-                held.append(tokens >> np.uint64(32))
+                held.append((tokens >> np.uint64(32)).astype(np.uint32))
                 size += len(tokens)
                 if size >= FLUSH:
                     yield flush(held)
@@ -176,11 +178,15 @@ def postings(docs: DataFrame, p: JaccardParams, table: tuple[np.ndarray, np.ndar
     """
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
+    def packed(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "node", "n", "pos"])
+
     def run(batches):
         known, classes = sent.value
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             seen: set[int] = set()
+            size = 0
             for _, tokens in shingle_sets(batch.column(0), p.width):
                 n = len(tokens)
                 if not n or (node := _node(tokens)) in seen:
@@ -197,8 +203,12 @@ def postings(docs: DataFrame, p: JaccardParams, table: tuple[np.ndarray, np.ndar
                 out[1].append(np.full(first, node, np.int64))
                 out[2].append(np.full(first, n, np.int64))
                 out[3].append(np.arange(first, dtype=np.int64))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "node", "n", "pos"])
+                size += first
+                if size >= SENT_ROWS:
+                    yield packed(out)
+                    out, size = [[], [], [], []], 0
+            if size:
+                yield packed(out)
 
     return docs.select("text").mapInArrow(run, "token long, node long, n long, pos long")
 
@@ -278,12 +288,17 @@ def token_sets(docs: DataFrame, people: DataFrame, nodes: DataFrame, p: JaccardP
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(ids, doc), max(0, len(ids) - 1))
                 batch = batch.filter(pa.array(ids[at] == doc if len(ids) else np.zeros(len(doc), bool)))
-            node, sets = [], []
+            node, sets, size = [], [], 0
             for _, tokens in shingle_sets(batch.column(1), p.width) if batch.num_rows else ():
                 if len(tokens):
                     node.append(_node(tokens))
                     sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
+                    size += len(tokens)
+                if size >= SENT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
+                    node, sets, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     if wanted.count() <= MAX_SENT_NODES:
@@ -445,5 +460,5 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
     release(spark)
     if not pairs.isEmpty():
         rest = token_sets(docs, people, ends(pairs).join(sets, "node", "left_anti"), p)
-        labels = components(_edges(labels).union(verify(pairs, sets.union(rest), p)))
+        labels = components(_edges(labels).union(cut(verify(pairs, sets.union(rest), p))))
     return labels
