@@ -3,7 +3,8 @@
 Base patterns give the seeds. The words around them are lexical patterns; identifier-like strings that no base pattern
 takes are the other instances. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the
 mean score of its distinct instances (seeds 1), an instance's score the chance that not all its trusted patterns are
-wrong. Trusted patterns need several distinct seeds in several documents. Instances whose score passes are added as ``id`` spans.
+wrong. Trusted patterns need several distinct accepted instances in several documents, counted anew in every round. Instances
+whose score passes are added as ``id`` spans.
 """
 
 from __future__ import annotations
@@ -143,21 +144,28 @@ def scan(docs: DataFrame, p: BootstrapParams) -> DataFrame:
 def discover(edges: DataFrame, p: BootstrapParams) -> DataFrame:
     """(surface, score) of accepted new instances, from edges(pattern, surface, seed, doc_id).
 
-    Every round: patterns from the scores of their distinct instances, then instances from their trusted patterns.
+    Every round: which patterns have enough accepted instances (seeds and those found) in enough documents, their
+    confidence from the scores of all their distinct instances, then instances from their trusted patterns. Only patterns
+    that could not have enough even if all their instances were accepted are left out beforehand.
     """
-    graph = cut(edges.groupBy("pattern", "surface").agg(F.max("seed").alias("seed"), F.min("doc_id").alias("doc_id")))
-    seeds = graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_distinct(F.when(F.col("seed"), F.col("doc_id"))).alias("docs"))
-    able = seeds.where((F.col("seeds") >= p.least_seeds) & (F.col("docs") >= p.least_docs)).select("pattern")
-    graph = cut(graph.join(able, "pattern", "left_semi"))
-    scores = graph.select("surface", F.col("seed").cast("double").alias("score")).groupBy("surface").agg(F.max("score").alias("score"))
+    surfaces = edges.groupBy("surface").agg(F.max("seed").alias("seed"))
+    most = edges.groupBy("pattern").agg(F.count_distinct("surface").alias("instances"), F.count_distinct("doc_id").alias("docs"))
+    able = most.where((F.col("instances") >= p.least_seeds) & (F.col("docs") >= p.least_docs)).select("pattern")
+    places = cut(edges.select("pattern", "surface", "doc_id").distinct().join(able, "pattern", "left_semi"))
+    graph = cut(places.select("pattern", "surface").distinct().join(surfaces, "surface"))
+    scores = cut(graph.select("surface", F.col("seed").cast("double").alias("score")).distinct())
     if graph.isEmpty():
         return scores.where("false")
     for _ in range(p.rounds):
-        patterns = graph.join(scores, "surface").groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= p.trust)
-        wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
-        found = graph.join(patterns, "pattern", "left").groupBy("surface").agg(F.max("seed").alias("seed"), F.coalesce(1 - wrong, F.lit(0.0)).alias("new"))
+        accepted = scores.where(F.col("score") >= p.accept).select("surface")
+        docs = places.join(accepted, "surface", "left_semi").groupBy("pattern").agg(F.count_distinct("doc_id").alias("docs"))
+        patterns = graph.join(scores, "surface").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= p.accept).alias("instances"))
+        patterns = patterns.where((F.col("confidence") >= p.trust) & (F.col("instances") >= p.least_seeds))
+        patterns = patterns.join(docs.where(F.col("docs") >= p.least_docs), "pattern", "left_semi").select("pattern", "confidence")
+        wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.coalesce("confidence", F.lit(0.0))))))  # greatest() skips nulls
+        found = graph.join(patterns, "pattern", "left").groupBy("surface").agg(F.max("seed").alias("seed"), (1 - wrong).alias("new"))
         scores = cut(found.select("surface", F.when(F.col("seed"), 1.0).otherwise(F.col("new")).alias("score")))
-    fresh = graph.where("not seed").select("surface").distinct()
+    fresh = edges.where("not seed").select("surface").distinct()
     return scores.join(fresh, "surface").where(F.col("score") >= p.accept)
 
 

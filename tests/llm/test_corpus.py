@@ -344,6 +344,56 @@ def test_bootstrapping(spark):
     assert personal_data.find_personal_data(docs(spark, [])).count() == 0
 
 
+def found_by_hand(edges, p):
+    """discover() over a list of edges, in plain Python."""
+    instances, seeds, score = {}, {s for _, s, seed, _ in edges if seed}, {}
+    for pattern, surface, _, _ in edges:
+        instances.setdefault(pattern, set()).add(surface)
+        score[surface] = float(surface in seeds)
+    for _ in range(p.rounds):
+        sure = {s for s in score if score[s] >= p.accept}
+        trusted = {}
+        for pattern, mine in instances.items():
+            docs = {d for q, s, _, d in edges if q == pattern and s in sure and d is not None}
+            mean = sum(score[s] for s in mine) / len(mine)
+            if len(mine & sure) >= p.least_seeds and len(docs) >= p.least_docs and mean >= p.trust:
+                trusted[pattern] = mean
+        for s in set(score) - seeds:
+            score[s] = 1 - np.prod([max(1e-6, 1 - c) for pattern, c in trusted.items() if s in instances[pattern]])
+    return {s for _, s, seed, _ in edges if not seed and score[s] >= p.accept}
+
+
+def discovered(spark, edges, p):
+    return {r["surface"] for r in personal_data.discover(spark.createDataFrame(edges, "pattern string, surface string, seed boolean, doc_id long"), p).collect()}
+
+
+def test_bootstrapping_widens(spark):
+    p = personal_data.BootstrapParams()
+    first = [("a _ b", f"seed{i}", True, i) for i in range(120)] + [("a _ b", f"id{i}", False, i) for i in range(9)]
+    second = [("c _ d", f"id{i}", False, 200 + i) for i in range(9)]
+    rare = [("e _ f", f"seed{i}", True, 500) for i in range(20)] + [("e _ f", "once", False, 500)]  # one document only
+    odd = [("g _ h", f"seed{i}", True, i) for i in range(3)] + [("g _ h", f"other{i}", False, i) for i in range(3)]  # half of them unknown
+    edges = first + second + rare + odd + [("c _ d", "late", False, 400)]
+    # no seed at all in the second pattern: its identifiers of round 1 make it trusted in round 2, which gives the late one
+    assert discovered(spark, edges, p) == {*(f"id{i}" for i in range(9))} | {"late"} == found_by_hand(edges, p)
+    one = personal_data.BootstrapParams(rounds=1)
+    assert discovered(spark, edges, one) == {f"id{i}" for i in range(9)} == found_by_hand(edges, one)
+
+
+def test_bootstrapping_counts_documents(spark):
+    copies = [("a _ b", f"seed{i}", True, d) for i in range(30) for d in (1, 2, 3)] + [("a _ b", "id", False, 9)]
+    assert discovered(spark, copies, personal_data.BootstrapParams()) == {"id"} == found_by_hand(copies, personal_data.BootstrapParams())
+    two = [e for e in copies if e[3] != 3]
+    assert discovered(spark, two, personal_data.BootstrapParams()) == set() == found_by_hand(two, personal_data.BootstrapParams())
+
+
+def test_bootstrapping_by_brute_force(spark):
+    p, r = personal_data.BootstrapParams(trust=0.6, accept=0.8), random.Random(6)
+    edges = [(f"p{r.randrange(25)}", f"s{x}", x < 25, r.choice([None, *range(12)])) for x in (r.randrange(45) for _ in range(120))]
+    assert discovered(spark, edges, p) == found_by_hand(edges, p)
+    assert set() < found_by_hand(edges, p) < {s for _, s, seed, _ in edges if not seed}
+
+
 # pipeline -------------------------------------------------------------------------------------------------------------
 
 
