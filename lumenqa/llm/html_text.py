@@ -184,7 +184,7 @@ def content(root: Node) -> list[Node]:
     at = best
     while at.parent is not None and at.tag != "body":
         for c in at.parent.children:
-            if not isinstance(c, str) and c is not at and c.density >= threshold and (c.tag in ("p", "h1", "h2") or c.tag == best.tag and c.total >= 0.25 * best.total):
+            if not isinstance(c, str) and c is not at and c.density >= threshold:
                 chosen.add(id(c))
         at = at.parent
     return [x for x in _preorder(root) if id(x) in chosen]

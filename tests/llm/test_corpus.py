@@ -233,6 +233,17 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("more", [
+    "<div><p>{}</p></div>", "<blockquote>{}</blockquote>", "<pre>{}</pre>", "<h4>{}</h4>", "<section><p>{}</p></section>", "<span>{}</span>",
+    "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>", "<div><p>{}</p></div><blockquote>{}</blockquote>",
+])
+def test_dense_siblings_of_any_kind(more):
+    say = lambda c, n: " ".join([c * 9] * (n // 10))
+    first = "<div>" + "".join(f"<p>{say('a', 300)}</p>" for _ in range(10)) + "</div>"
+    page = f"<body><div id=content>{first}{more.replace('{}', say('b', 900))}<div><a href=x>one link</a></div></div></body>"
+    assert html_text.main_text(page) == " ".join(["a" * 9] * 300 + ["b" * 9] * 90 * more.count("{}"))
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "x"), (1, "u", "<p>a b</p>", "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert key(html_text.extract_text(pages).collect()) == key([(1, "u", "a b", 3), (1, "u", "a b", 3), (2, None, "", 0)])
