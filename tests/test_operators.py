@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,22 @@ def test_selection(spark):
     assert S.densest(edges.limit(0)).count() == 0
 
 
+def test_submodular_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.normal(0.4, 1, (40, 5)) * rng.uniform(0.1, 9, (40, 1))).astype(np.float32)
+    x[11] = 0
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-30)
+    like = lambda ids: u[ids].mean(0) @ u.mean(0) / np.linalg.norm(u[ids].mean(0)) / np.linalg.norm(u.mean(0))
+    for share in (0.5, 0.1):
+        chosen = [0]
+        while len(chosen) < 8:
+            rest = [i for i in range(40) if i not in chosen]
+            gain = [share * min(1 - u[i] @ u[j] for j in chosen) + (1 - share) * (like([*chosen, i]) - like(chosen)) for i in rest]
+            chosen.append(rest[int(np.argmax(np.round(gain, 9)))])
+        assert [r["vec_id"] for r in S.submodular(vectors, 8, share).orderBy("place").collect()] == chosen
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "qa.jsonl").write_text('{"id": "1", "query": "q", "answer_ground_truth": "x", "text_ground_truth": ["d2", "d9", "d1"]}\nbroken\n{"query": "r"}\n')
     raw = tables.read_records(spark, str(tmp_path / "qa.jsonl"), "id string, query string, answer_ground_truth string, text_ground_truth array<string>")
