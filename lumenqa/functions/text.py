@@ -23,9 +23,9 @@ def tokens(text: Column) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """Cut what follows a blank line, a rule or an explanation; strip blanks, full stops and one pair of quotes."""
-    cut = F.regexp_replace(text, r"(?is)(\n\n|\n---|\nExplanation:|\nNote:).*$", "")
+    cut = F.regexp_replace(text, r"(?is)(\n\n|\n-|\n(Explanation|Reasoning|Context|Question):).*$", "")
     stripped = F.trim(F.regexp_replace(F.trim(cut), r"\.+$", ""))
-    return F.regexp_replace(stripped, "^([\"'])(.*)\\1$", "$2")
+    return F.regexp_replace(stripped, "(?s)^([\"'])(.*)\\1$", "$2")
 
 
 def extract_answer(text: Column) -> Column:
@@ -38,7 +38,8 @@ def extract_answer(text: Column) -> Column:
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:
-    return (normalize(prediction) == normalize(gold)).cast("double")
+    """1 if the answer extracted from the prediction equals the gold one, both normalised."""
+    return (normalize(extract_answer(prediction)) == normalize(gold)).cast("double")
 
 
 def overlap_size(a: Column, b: Column) -> Column:
@@ -48,8 +49,8 @@ def overlap_size(a: Column, b: Column) -> Column:
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
-    """Harmonic mean of multiset precision and recall; both empty: 1, one empty: 0."""
-    p, g = tokens(prediction), tokens(gold)
+    """Harmonic mean of multiset precision and recall of the answer extracted from the prediction; both empty: 1, one empty: 0."""
+    p, g = tokens(extract_answer(prediction)), tokens(gold)
     same = overlap_size(p, g)
     return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * same / (F.size(p) + F.size(g)))
 

@@ -27,6 +27,15 @@ def test_token_f1_and_match(spark):
     assert values(spark, [("The cat.", "cat")], T.exact_match(F.col("a"), F.col("b"))) == [(1.0,)]
 
 
+def test_f1_and_match_extract_the_answer(spark):
+    rows = [
+        ("The reasoning is long. Answer: Paris", "Paris"), ("Paris\n\nIt lies on the Seine.", "paris"), ("答案: Paris\nExplanation: so", "Paris"), ('Answer: "The Paris."\nReasoning: x', "Paris"),
+        ("Paris\n--- sources", "Paris"), ("Answer: Paris\nQuestion: where", "Paris"), ("Answer: Paris, additional_kwargs={}", "Paris"), ("so a: New Paris", "Paris"), ("Answer:", ""), (None, "x"),
+    ]
+    got = values(spark, rows, T.exact_match(F.col("a"), F.col("b")), T.token_f1(F.col("a"), F.col("b")))
+    assert got == [(1, 1)] * 7 + [(0, pytest.approx(2 / 3)), (1, 1), (None, 0)]
+
+
 def test_sets_coverage_faithfulness(spark):
     em, f1 = T.set_scores(T.tokens(F.col("a")), T.tokens(F.col("b")))
     assert values(spark, [("", ""), ("x", ""), ("x y", "y x"), ("x y", "y z")], em, f1) == [(1, 1), (0, 0), (1, 1), (0, 0.5)]
