@@ -145,6 +145,12 @@ def lsh_clusters(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
 
 
+@query()
+def lsh_clusters_all(spark, sf_dir):
+    """64 planes over all coordinates; lsh_clusters and its SQL have 8 over every fourth."""
+    return S.lsh_codes(table(spark, sf_dir, "embeddings")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+
+
 @query(f"select a.vec_id, b.label, round(max(list_distance(a.e, b.e)), 6) as bound from {_EMB} a cross join {_EMB} b group by all")
 def cluster_upper_bounds(spark, sf_dir):
     return S.cluster_bounds(table(spark, sf_dir, "embeddings")).withColumn("bound", F.round("bound", 6))

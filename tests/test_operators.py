@@ -88,6 +88,16 @@ def test_submodular_by_brute_force(spark):
         assert [r["vec_id"] for r in S.submodular(vectors, 8, share).orderBy("place").collect()] == chosen
 
 
+def test_lsh_codes(spark):
+    x = np.random.default_rng(1).normal(size=(30, 64)).astype(np.float32)
+    x[1] = x[0]
+    x[1, 1::4] *= -9  # alike in every fourth coordinate
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["code"] for r in S.lsh_codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = x.astype(float) @ np.random.RandomState(42).randn(64, 64).T > 0
+    assert got == {i: "".join("01"[int(b)] for b in row) for i, row in enumerate(want)} and got[0] != got[1]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "qa.jsonl").write_text('{"id": "1", "query": "q", "answer_ground_truth": "x", "text_ground_truth": ["d2", "d9", "d1"]}\nbroken\n{"query": "r"}\n')
     raw = tables.read_records(spark, str(tmp_path / "qa.jsonl"), "id string, query string, answer_ground_truth string, text_ground_truth array<string>")
