@@ -85,3 +85,14 @@ def neighbours(chunks: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """Each chunk with the text of those up to k before and after it."""
     window = Window.partitionBy(key).orderBy("chunk").rowsBetween(-k, k)
     return chunks.select(key, "chunk", F.array_join(F.collect_list("text").over(window), " ").alias("context"))
+
+
+def max_sim(tokens: DataFrame) -> DataFrame:
+    """(query_label, label, score) of tokens(vec_id, label, embedding): each label's tokens as a query against each label's as a document.
+
+    The score is the mean over all query tokens of their largest dot product with the document's.
+    """
+    q = tokens.select(F.col("label").alias("query_label"), F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
+    pairs = tokens.select("label", F.col("embedding").alias("y")).crossJoin(q)
+    best = pairs.groupBy("query_label", "q", "label").agg(F.max(V.dot(F.col("x"), F.col("y"))).alias("best"))
+    return best.groupBy("query_label", "label").agg((F.sum("best") / F.count(F.lit(1))).alias("score"))

@@ -118,6 +118,12 @@ def maxsim_colbert(spark, sf_dir):
     return best.groupBy("query_label", "label").agg(F.round(F.sum("best") / F.count(F.lit(1)), 6).alias("score"))
 
 
+@query()
+def maxsim_colbert_all(spark, sf_dir):
+    """All vectors of each label as query tokens; maxsim_colbert and its SQL take every fiftieth."""
+    return R.max_sim(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
 sql("tournament_rerank", """
 with r as (select doc_id, source, n_chars, row_number() over (partition by source order by doc_id) - 1 as pos from {documents}),
      c as (select *, floor(pos / 5) as heat, row_number() over (partition by source, floor(pos / 5) order by n_chars desc, doc_id) as place from r)

@@ -98,6 +98,14 @@ def test_lsh_codes(spark):
     assert got == {i: "".join("01"[int(b)] for b in row) for i, row in enumerate(want)} and got[0] != got[1]
 
 
+def test_max_sim_uses_every_token(spark):
+    x = np.random.default_rng(2).normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)]
+    got = {(r["query_label"], r["label"]): r["score"] for r in R.max_sim(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()}
+    dots = x.astype(float) @ x.astype(float).T
+    assert got == {(a, b): pytest.approx(dots[a::3, b::3].max(1).mean()) for a in range(3) for b in range(3)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "qa.jsonl").write_text('{"id": "1", "query": "q", "answer_ground_truth": "x", "text_ground_truth": ["d2", "d9", "d1"]}\nbroken\n{"query": "r"}\n')
     raw = tables.read_records(spark, str(tmp_path / "qa.jsonl"), "id string, query string, answer_ground_truth string, text_ground_truth array<string>")
