@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenqa.llm import decontamination, language_id, mixing, ngram_jaccard, sharding
-from lumenqa.llm.shared import checkpoint_root, load
+from lumenqa.llm.shared import checkpoint_root, cut, load
 
 #: A text whose best cosine is lower has no language that was learned.
 MIN_LANGUAGE_SCORE = 0.02
@@ -31,10 +31,21 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that links of 5-word shingles at 0.8 join."""
-    groups = ngram_jaccard.ngram_jaccard_join(docs, ngram_jaccard.JaccardParams(5, 80, 100))
+    """Keeps the document with the smallest doc_id of each group that links of 5-word shingles at 0.8 join; rows without an id come last."""
+    params = ngram_jaccard.JaccardParams(5, 80, 100)
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return _without(docs, "doc_id", ngram_jaccard.ngram_jaccard_join(docs, params))
+    nameless = cut(nameless.withColumn("_last", F.lit(2**63 - 1) - F.monotonically_increasing_id()))
+    named = docs.where("doc_id is not null")
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(nameless.select("_last", "text"))
+    groups = cut(ngram_jaccard.ngram_jaccard_join(texts, params))
+    return _without(named, "doc_id", groups).union(_without(nameless, "_last", groups).drop("_last"))
+
+
+def _without(docs: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,12 +300,15 @@ def token_sets(docs: DataFrame, people: DataFrame, nodes: DataFrame, p: JaccardP
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, named = whole.where("doc_id is not null"), wanted.where("doc_id is not null").select("doc_id")
     if wanted.count() <= MAX_SENT_NODES:
-        sent = spark.sparkContext.broadcast(np.sort(wanted.select("doc_id").toArrow()["doc_id"].to_numpy()))
+        sent = spark.sparkContext.broadcast(np.sort(named.toArrow()["doc_id"].to_numpy()))
         out = rows.mapInArrow(lambda b: packed(b, sent.value), "node long, tokens binary")
     else:
-        out = rows.join(wanted.select("doc_id"), "doc_id").select("doc_id", "text").mapInArrow(packed, "node long, tokens binary")
+        out = rows.join(named, "doc_id").select("doc_id", "text").mapInArrow(packed, "node long, tokens binary")
+    if not wanted.where("doc_id is null").isEmpty():  # texts that only rows without an id carry
+        out = out.union(whole.where("doc_id is null").mapInArrow(packed, "node long, tokens binary"))
     return cut(out.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 

@@ -87,6 +87,23 @@ def test_jaccard_odd(spark):
         ngram_jaccard.JaccardParams(5, 50, 100)
 
 
+def test_links_through_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    swap = lambda n: " ".join([f"x{i}" for i in range(n)] + words[n:])
+    # at width 1 and 90 %: the null-id text links with both, 5 and 9 do not link; 20 has no partner but a null-id one
+    rows = [(5, swap(0), None, None), (None, swap(3), None, None), (9, swap(6), None, None), (20, " ".join("ab" + w for w in words), None, None), (None, " ".join("ab" + w for w in words[:59]), None, None)]
+    rows += [(i, f"apart {i}", None, None) for i in range(30, 40)]
+    got = ngram_jaccard.ngram_jaccard_join(docs(spark, rows), ngram_jaccard.JaccardParams(1, 90, 100)).collect()
+    assert key((r[0], r[2]) for r in got) == key([(5, 5), (None, 5), (9, 5), (20, 20), (None, 20)] + [(i, i) for i in range(30, 40)])
+
+
+def test_near_copies_without_an_id_are_dropped(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(5, text("a"), None, None), (None, text("a"), None, None), (None, text("a") + " more", None, None), (None, text("b"), None, None), (None, text("b") + " more", None, None), (7, text("c"), None, None), (None, None, None, None), (None, None, None, None)]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
+    assert key((r["doc_id"], (r["text"] or "")[:2]) for r in got) == key([(5, "a0"), (None, "b0"), (7, "c0"), (None, ""), (None, "")])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 14] + [(5, 5), (40, 39), (39, 40)], "u long, v long")
     got = {r[0]: r[1] for r in components.components(edges).collect()}
