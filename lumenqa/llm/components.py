@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .shared import remove, write_out
 
-#: Edges that a task contracts at once.
+#: Edges that a task contracts at once; as few are left to one task.
 FOREST_EDGES = 1_000_000
 
 
@@ -70,17 +70,20 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (u long, v long); component is the smallest node.
 
-    Repeated edges, loops and both directions are allowed. Nodes that only have loops are left out.
-    Each turn's edges are written once to the shared checkpoint folder; the turn before is deleted then.
+    Repeated edges, loops and both directions are allowed; null ends are not. Nodes that only have loops are left out; an
+    empty table gives an empty one. Each turn's edges are written once to the shared checkpoint folder; the turn before
+    is deleted then. Once FOREST_EDGES or fewer are left, one task contracts them, which is exact and bounded.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges, folder = write_out(_forest(_forest(edges).distinct()))
     state = _state(edges)
-    while state[0]:
+    while state[0] > FOREST_EDGES:
         past, (edges, folder) = folder, write_out(_small_star(_large_star(edges)))
         remove(edges.sparkSession, past)
         if (now := _state(edges)) == state:
             break
         state = now
+    else:
+        edges = _forest(edges.coalesce(1))
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -8,11 +8,13 @@ nodes that link share at least K = 2 prefix tokens. The index then holds
 * combinations of K tokens for the frequent class (tokens that many unconnected components have in their prefixes),
 
 and what it finds is verified on the whole sets. Only components are wanted, so before the index is searched each list's
-smallest node is tried against the others (a star); a large group of near copies becomes one component by that, and
-the lists only yield pairs between components, without those that a parity bitmap of 512 bits rules out.
+smallest node is tried against the others (a star), then some others by hash; a large group of near copies becomes one
+component by that. The index then yields pairs between components only, without those that a parity bitmap of 512 bits
+rules out, and in portions by the pair's hash: a small portion's links join components before the next portion is made,
+so that few pairs of a group are ever made though every pair is in one portion.
 
-Hashes have 64 bits, a node is (64-bit set hash, set size); at a billion distinct texts the expected number of
-confusions is about 0.03 before sizes are compared.
+Hashes have 64 bits and a node is its set's hash alone; at a billion distinct texts the expected number of confusions is
+about 0.03.
 """
 
 from __future__ import annotations
@@ -43,8 +45,17 @@ SENT_ROWS = 250_000
 SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
 FREQUENT_COMPONENTS = 1024
-#: Times that the longer lists are tried with other leaders, so that a large group is one component before pairs are made.
-STAR_TURNS = 1
+#: Leaders with which a turn tries the nodes of each longer list, so that a large group is one component before pairs are made.
+LEADERS = 4
+#: Another turn follows while at least this share of a turn's pairs link.
+STAR_YIELD = 0.1
+MAX_STAR_TURNS = 8
+#: Pairs of the index are made in portions, of which the first is about as many pairs at most, and each PORTION_GROWTH times the one before.
+PORTION_PAIRS = 2_000_000
+PORTION_GROWTH = 16
+PORTION_PARTS = 1 << 20
+#: A key with more than this share of the rows is joined by a broadcast; there are at most as many such keys as its inverse.
+HOT_SHARE = 1 / 2000
 #: 64-bit words of a node's parity bitmap.
 BIT_WORDS = 8
 BITS = [f"bits{i}" for i in range(BIT_WORDS)]
@@ -278,7 +289,10 @@ def _shared_prefix(a_n, b_n, p: JaccardParams):
 
 
 def token_sets(docs: DataFrame, people: DataFrame, nodes: DataFrame, p: JaccardParams) -> DataFrame:
-    """(node, tokens): the whole set of each of the nodes, sorted uint64 in a binary value, from one text of each."""
+    """(node, tokens): the whole set of each of the nodes, sorted uint64 in a binary value, from one text of each.
+
+    Texts are found by their row's id where it has one; those of nodes that only rows without an id carry, by their set.
+    """
     spark = docs.sparkSession
     wanted = cut(people.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
 
@@ -331,38 +345,89 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _spanning(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with comp, the node's component, and top, the largest component of the list; lists within one component are left out."""
+    now = rows.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spans = now.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy(*keys)
+    spans = spans.agg(F.max_by("comp", F.struct("rows", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return cut(now.join(spans.drop("comps"), keys))
+
+
 def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    side = lambda x: rows.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
-    return side("u"), side("v")
+    """Both sides of the pairs of a list: the left one without the list's largest component, whose nodes need no pairs among them."""
+    side = lambda x, these: these.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in (*columns, "n", "pos", "comp", "top", "others", *BITS)))
+    return side("u", rows.where("comp <> top")), side("v", rows)
 
 
-def _apart(p: JaccardParams):
+def _apart(p: JaccardParams, portion: tuple[int, int]):
+    """Whether a pair of this portion joins two components and may link; a pair of which neither is in the largest one counts once."""
     u_n, v_n = F.col("u_n"), F.col("v_n")
-    return (F.col("u") < F.col("v")) & (F.col("u_comp") != F.col("v_comp")) & _fits(u_n, v_n, p) & _near_bits(u_n, v_n, p)
+    once = (F.col("u") < F.col("v")) | (F.col("v_comp") == F.col("v_top"))
+    return (F.col("u_comp") != F.col("v_comp")) & once & _in_portion(portion) & _fits(u_n, v_n, p) & _near_bits(u_n, v_n, p)
 
 
 def _early_pair(p: JaccardParams):
     return _early(F.col("u_n"), F.col("u_pos"), F.col("v_n"), F.col("v_pos"), p)
 
 
-def _small_lists(lists: DataFrame, p: JaccardParams) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _small_lists(lists: DataFrame, portion: tuple[int, int], p: JaccardParams) -> DataFrame:
     """(u, v) that share enough tokens of small lists, given how many others they may share."""
-    u, v = _sides(lists, "token", "n", "pos", "comp", "others", *BITS)
-    found = u.join(v, (F.col("u_token") == F.col("v_token")) & _apart(p)).groupBy("u", "v")
-    found = found.agg(F.count(F.lit(1)).alias("tokens"), F.bool_or(_early_pair(p)).alias("early"), *(F.first(c).alias(c) for c in ("u_n", "v_n", "u_others", "v_others")))
-    enough = F.col("tokens") + F.least("u_others", "v_others") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
-    return found.where(F.col("early") & enough).select("u", "v")
+    u, v = _sides(lists, "token")
+    ends = F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")
+    found = u.join(v, (F.col("u_token") == F.col("v_token")) & _apart(p, portion)).groupBy(*ends)
+    shared = _shared_prefix(F.col("u_n"), F.col("v_n"), p) - F.least("u_others", "v_others")
+    found = found.agg(F.count(F.lit(1)).alias("tokens"), F.bool_or(_early_pair(p)).alias("early"), F.max(shared).alias("least"))
+    return found.where(F.col("early") & (F.col("tokens") >= F.col("least"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _long_lists(lists: DataFrame, keys: list[str], p: JaccardParams) -> DataFrame:
+def _long_lists(lists: DataFrame, keys: list[str], portion: tuple[int, int], p: JaccardParams) -> DataFrame:
     """(u, v) once each: at the first tokens of their class (as many as there are keys) that both have in their prefixes."""
-    u, v = _sides(lists, *keys, "n", "pos", "comp", "own", "others", *BITS)
+    u, v = _sides(lists, *keys, "own")
     both = F.array_intersect("u_own", "v_own")
-    at = _apart(p) & _early_pair(p)
+    at = _apart(p, portion) & _early_pair(p)
     for i, key in enumerate(keys):
         at = at & (F.col(f"u_{key}") == F.col(f"v_{key}")) & (F.col(f"u_{key}") == F.element_at(both, i + 1))
     enough = F.size(both) + F.least("u_others", "v_others") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
-    return u.join(v, at & enough).select("u", "v")
+    return _ordered(u.join(v, at & enough))
+
+
+def _portions(spans: list[DataFrame], keys: list[list[str]]) -> list[tuple[int, int]]:
+    """Ranges of parts, growing, that hold every pair: the first is so small that its pairs are few whatever the groups."""
+    most = None
+    for rows, key in zip(spans, keys):
+        one = rows.groupBy(*key).agg((F.count(F.lit(1)) * F.count_if(F.col("comp") != F.col("top")).cast("double")).alias("most")).select("most")
+        most = one if most is None else most.union(one)
+    total = most.agg(F.sum("most")).first()[0] or 0.0
+    end = max(1, min(PORTION_PARTS // PORTION_GROWTH, int(PORTION_PARTS * PORTION_PAIRS / max(1.0, total))))
+    out = [(0, end)]
+    while end < PORTION_PARTS:
+        out.append((end, min(PORTION_PARTS, end * PORTION_GROWTH)))
+        end = out[-1][1]
+    return out
+
+
+def _candidates(spans: list[DataFrame], keys: list[list[str]], portion: tuple[int, int], p: JaccardParams) -> DataFrame:
+    """(u, v): this portion's pairs between components that the index yields."""
+    found = _small_lists(spans[0], portion, p)
+    for rows, key in zip(spans[1:], keys[1:]):
+        found = found.union(_long_lists(rows, key, portion, p))
+    return found.distinct()
+
+
+def _join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left-joined with table(key, size, ...) by a unique key, where size is how many rows have it.
+
+    Keys with over HOT_SHARE of the total are joined by a broadcast of at most 1 / HOT_SHARE rows, the others by a
+    shuffle, so that no task gets a hot key's rows.
+    """
+    hot = F.col("size") > max(1000, total * HOT_SHARE)
+    sent = F.broadcast(table.where(hot).drop("size"))
+    rest = rows.join(sent.select(key), key, "left_anti").join(table.where(~hot).drop("size"), key, "left")
+    return rows.join(sent, key).unionByName(rest)
 
 
 def _lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -374,10 +439,14 @@ def _lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _stars(lists: DataFrame, turn: int, p: JaccardParams) -> DataFrame:
-    """(u, v): each node of the longer lists with its list's leader, the node whose hash of this turn is the least."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")
-    leaders = lists.where("kind > 1").groupBy("token").agg(F.min(rank).alias("lead"))
-    pairs = lists.where("kind > 1").join(leaders, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), p))
+    """(u, v): each node of the longer lists with its list's leaders, the nodes whose hashes of this turn are the least."""
+    longer = lists.where("kind > 1")
+    leaders = None
+    for i in range(LEADERS):
+        one = longer.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)), "node", "n", "comp")).alias(f"lead{i}"))
+        leaders = one if leaders is None else leaders.join(one, "token")
+    pairs = longer.join(leaders, "token").select("node", "n", "comp", F.explode(F.array_distinct(F.array(*[F.struct(f"lead{i}.node", f"lead{i}.n", f"lead{i}.comp") for i in range(LEADERS)]))).alias("lead"))
+    pairs = pairs.where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), p))
     return _likely(pairs.select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), p)
 
 
@@ -388,13 +457,24 @@ def _likely(pairs: DataFrame, p: JaccardParams) -> DataFrame:
     return found.where(2 * F.col("tokens") >= _shared_prefix(F.col("a"), F.col("b"), p)).select("u", "v")
 
 
-def _edges(labels: DataFrame) -> DataFrame:
-    """(u, v) of each node with its component: as good as the links that gave them, and fewer."""
-    return labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, component) after links(u, v): only the graph of components is searched."""
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    everyone = cut(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    of = lambda x: everyone.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp"))
+    edges = links.join(of("u"), "u").join(of("v"), "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v")).distinct()
+    moved = components(edges).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return cut(everyone.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+
 
+def _in_portion(portion: tuple[int, int]):
+    """Whether the pair of u and v, in either order, is in this portion; every pair is in one."""
+    part = F.pmod(F.xxhash64(F.least("u", "v"), F.greatest("u", "v")), F.lit(PORTION_PARTS))
+    return part.between(portion[0], portion[1] - 1)
 
-def _candidates(lists: DataFrame, people: DataFrame, p: JaccardParams) -> DataFrame:
-    """(u, v): pairs between components that the index of single tokens and of combinations yields.
+
+def _index(lists: DataFrame, people: DataFrame) -> list[DataFrame]:
+    """The index's three classes (rare tokens, longer lists, combinations of two frequent tokens), each with what its node has beside them.
 
     A pair's first two shared tokens decide where it is found: one of a rare class finds it alone, two of the frequent
     class find it as a combination. Parity bitmaps of the sets then reject most pairs that share a lot but do not link;
@@ -411,7 +491,7 @@ def _candidates(lists: DataFrame, people: DataFrame, p: JaccardParams) -> DataFr
     often = lists.where("kind = 3").join(nodes.select("node", F.col("frequent").alias("own"), (F.col("small") + F.size("middle")).alias("others"), *BITS), "node")
     second = lists.where("kind = 3").select("node", F.col("token").alias("t2"), F.col("pos").alias("second"))
     combined = often.withColumnRenamed("token", "t1").join(second, "node").where("pos < second").withColumn("pos", F.col("second"))
-    return _small_lists(rare, p).union(_long_lists(middle, ["token"], p)).union(_long_lists(combined, ["t1", "t2"], p)).distinct()
+    return [cut(x.drop("kind", "comp")) for x in (rare, middle, combined)]
 
 
 def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -420,18 +500,22 @@ def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams())
     component_id is the smallest doc_id that links reach, the row's own included. Null and word-less texts have no
     shingle, link with nothing and are their own component; a null doc_id counts as the largest of its component and
     stays null only where no other is reachable. Rows that repeat are alike, and so are kept apart as rows but not as
-    components. An empty table gives an empty result; columns other than doc_id and text are not read.
+    components. Texts of any length are taken whole. An empty table gives an empty result; columns other than doc_id and
+    text are not read.
     """
     p = params
     spark: SparkSession = docs.sparkSession
     people = cut(members(docs, p))
-    total = people.agg(F.sum("n")).first()[0] or 0
+    rows, total = people.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("node", "component")]))
     labels = _node_components(docs, people, p, total) if total else empty
-    placed = people.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = placed.join(least, "component", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = people.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    nodes = cut(nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = _join_hot(nodes.withColumnRenamed("size", "copies"), least, "component", rows).select("node", "component_id", F.col("copies").alias("size"))
+    joined = _join_hot(people.where("node is not null").select("doc_id", "n", "node"), named, "node", rows)
+    alone = people.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
 
 
 def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total: int) -> DataFrame:
@@ -443,25 +527,35 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
     ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     tried = cut(_likely(shared.where((F.col("node") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), p)), p))
     sets = token_sets(docs, people, ends(tried), p)
-    links = cut(verify(tried, sets, p))
-    labels = components(links)
+    labels = components(cut(verify(tried, sets, p)))
     lists = _lists(shared, labels)
     longer = lists.where("kind > 1").select("node").distinct()
     if not longer.isEmpty():
         sets = sets.union(token_sets(docs, people, longer.join(sets, "node", "left_anti"), p))
-        for turn in range(STAR_TURNS):
-            stars = cut(_stars(lists, turn, p).join(tried, ["u", "v"], "left_anti"))
+        for turn in range(MAX_STAR_TURNS):
+            stars = cut(_stars(lists, turn, p))
             new = cut(verify(stars, sets, p))
-            tried = tried.union(stars)
-            if new.isEmpty():
-                break
-            labels = components(_edges(labels).union(new))
+            found, tries = new.count(), stars.count()
+            if found:
+                labels = _joined(labels, new)
+                lists = _lists(shared, labels)
             release(spark)
-            lists = _lists(shared, labels)
-    release(spark)
-    pairs = cut(_candidates(lists, people, p).join(tried, ["u", "v"], "left_anti"))
+            if found < STAR_YIELD * tries or not tries:
+                break
+    index, keys = _index(lists, people), [["token"], ["token"], ["t1", "t2"]]
     release(spark)
-    if not pairs.isEmpty():
-        rest = token_sets(docs, people, ends(pairs).join(sets, "node", "left_anti"), p)
-        labels = components(_edges(labels).union(cut(verify(pairs, sets.union(rest), p))))
+    portions = None
+    while portions is None or portions:
+        spans = [_spanning(rows, labels, key) for rows, key in zip(index, keys)]
+        portions = _portions(spans, keys) if portions is None else portions
+        pairs = cut(_candidates(spans, keys, portions.pop(0), p))
+        release(spark)
+        if pairs.isEmpty():
+            continue
+        rest = ends(pairs).join(sets, "node", "left_anti")
+        if not rest.isEmpty():
+            sets = sets.union(token_sets(docs, people, rest, p))
+        new = cut(verify(pairs, sets, p))
+        if not new.isEmpty():
+            labels = _joined(labels, new)
     return labels

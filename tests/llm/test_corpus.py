@@ -29,7 +29,7 @@ def key(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-# words ----------------------------------------------------------------------------------------------------------------
+# words
 
 
 @settings(max_examples=60, deadline=None)
@@ -47,7 +47,7 @@ def test_shingles(texts, width):
             assert len(got[i] & got[j]) == len(brute(a) & brute(b))
 
 
-# 10 -------------------------------------------------------------------------------------------------------------------
+# 10
 
 
 def brute_groups(rows, width, num):
@@ -63,8 +63,10 @@ def brute_groups(rows, width, num):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("small,often,seed,width,num", [(8, 1024, 1, 4, 85), (0, 0, 2, 2, 70), (1, 3, 3, 3, 80)])
-def test_jaccard_join(spark, monkeypatch, small, often, seed, width, num):
+@pytest.mark.parametrize("small,often,seed,width,num,pairs,leaders", [(8, 1024, 1, 4, 85, 2_000_000, 4), (0, 0, 2, 2, 70, 50, 1), (1, 3, 3, 3, 80, 5, 2)])
+def test_jaccard_join(spark, monkeypatch, small, often, seed, width, num, pairs, leaders):
+    monkeypatch.setattr(ngram_jaccard, "PORTION_PAIRS", pairs)
+    monkeypatch.setattr(ngram_jaccard, "LEADERS", leaders)
     monkeypatch.setattr(ngram_jaccard, "SMALL_COMPONENTS", small)
     monkeypatch.setattr(ngram_jaccard, "FREQUENT_COMPONENTS", often)
     r = random.Random(seed)
@@ -104,13 +106,17 @@ def test_near_copies_without_an_id_are_dropped(spark):
     assert key((r["doc_id"], (r["text"] or "")[:2]) for r in got) == key([(5, "a0"), (None, "b0"), (7, "c0"), (None, ""), (None, "")])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "FOREST_EDGES", one_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 14] + [(5, 5), (40, 39), (39, 40)], "u long, v long")
     got = {r[0]: r[1] for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(15)}, **{i: 15 for i in range(15, 31)}, 39: 39, 40: 39}
 
 
-def test_components_of_dense_groups(spark):
+@pytest.mark.parametrize("one_task", [0, 20, 1_000_000])
+def test_components_of_dense_groups(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "FOREST_EDGES", one_task)
     group = [(a, b) for a in range(40) for b in range(40) if a != b and (a * b) % 3 < 2]
     path = [(100 + (i * 37) % 101, 100 + ((i + 1) * 37) % 101) for i in range(100)]  # one long path in scattered order
     edges = spark.createDataFrame(group + path + [(-(2**62), 2**62)], "u long, v long").repartition(7)
@@ -118,7 +124,7 @@ def test_components_of_dense_groups(spark):
     assert got == {**{i: 0 for i in range(40)}, **{100 + i: 100 for i in range(101)}, 2**62: -(2**62), -(2**62): -(2**62)}
 
 
-# 3 --------------------------------------------------------------------------------------------------------------------
+# 3
 
 
 def test_language(spark):
@@ -142,7 +148,7 @@ def test_hypervectors_by_brute_force():
     assert has.tolist() == [True, False, True] and not got[1].any()
 
 
-# 5 --------------------------------------------------------------------------------------------------------------------
+# 5
 
 
 def test_jump_hash():
@@ -171,7 +177,7 @@ def test_sharding(spark, monkeypatch):
     assert sharding.shard_documents(docs(spark, []), 8).count() == 0
 
 
-# 6 --------------------------------------------------------------------------------------------------------------------
+# 6
 
 
 def test_mixing(spark):
@@ -207,7 +213,7 @@ def test_mixing(spark):
     assert mixing.mix_report(docs(spark, [])).count() == 0
 
 
-# 8 --------------------------------------------------------------------------------------------------------------------
+# 8
 
 
 def test_decontamination(spark):
@@ -239,7 +245,7 @@ def test_search_equals_scoring_everything():
         assert {i for i, _ in index.search(query)} == set(np.flatnonzero(whole >= 0.6 - 1e-9).tolist())
 
 
-# 1 --------------------------------------------------------------------------------------------------------------------
+# 1
 
 
 @pytest.mark.parametrize("page,text", [
@@ -266,7 +272,7 @@ def test_extract(spark):
     assert key(html_text.extract_text(pages).collect()) == key([(1, "u", "a b", 3), (1, "u", "a b", 3), (2, None, "", 0)])
 
 
-# 2 --------------------------------------------------------------------------------------------------------------------
+# 2
 
 
 @settings(max_examples=200, deadline=None)
@@ -285,7 +291,7 @@ def test_token_counts(spark):
     assert len(got.collect()) == len(ODD) and {r["n_tokens"] for r in got.where("doc_id = 1").collect()} == {0}
 
 
-# 4 --------------------------------------------------------------------------------------------------------------------
+# 4
 
 
 def test_chats(spark):
@@ -317,7 +323,7 @@ def test_long_conversation_in_pieces(spark):
     assert len(got) == 1 and got[0]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
 
 
-# 7 --------------------------------------------------------------------------------------------------------------------
+# 7
 
 
 def test_fingerprints(spark):
@@ -340,7 +346,7 @@ def test_homomorphic(spark):
     assert df.select(fingerprints.subtract(a, c) == b, fingerprints.add(b, c) == a, fingerprints.likeness(a, a)).first() == (True, True, 1.0)
 
 
-# 9 --------------------------------------------------------------------------------------------------------------------
+# 9
 
 PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
@@ -422,7 +428,7 @@ def test_bootstrapping_by_brute_force(spark):
     assert set() < found_by_hand(edges, p) < {s for _, s, seed, _ in edges if not seed}
 
 
-# pipeline -------------------------------------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline(spark, tmp_path):
