@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import remove, write_out
+from .shared import cut, remove, write_out
 
 #: Edges that a task contracts at once; as few are left to one task.
 FOREST_EDGES = 1_000_000
@@ -27,13 +27,13 @@ def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[parent]
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Fewer edges with the same components: each task replaces runs of its edges by one for each node but the roots."""
+def _forest(edges: DataFrame, loops: bool = False) -> DataFrame:
+    """Fewer edges with the same components: each task replaces runs of its edges by one for each node but the roots, or for roots too."""
 
     def contract(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
         nodes, roots = _roots(u, v)
-        keep = nodes != roots
+        keep = (nodes != roots) | loops
         return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["u", "v"])
 
     def run(batches):
@@ -75,15 +75,14 @@ def components(edges: DataFrame) -> DataFrame:
     is deleted then. Once FOREST_EDGES or fewer are left, one task contracts them, which is exact and bounded.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges, folder = write_out(_forest(_forest(edges).distinct()))
-    state = _state(edges)
-    while state[0] > FOREST_EDGES:
-        past, (edges, folder) = folder, write_out(_small_star(_large_star(edges)))
-        remove(edges.sparkSession, past)
-        if (now := _state(edges)) == state:
-            break
-        state = now
-    else:
-        edges = _forest(edges.coalesce(1))
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    if edges.count() > FOREST_EDGES:
+        edges, folder = write_out(_forest(_forest(edges).distinct()))
+        state = _state(edges)
+        while state[0] > FOREST_EDGES:
+            past, (edges, folder) = folder, write_out(_small_star(_large_star(edges)))
+            remove(edges.sparkSession, past)
+            if (now := _state(edges)) == state:
+                stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+                return cut(stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+            state = now
+    return cut(_forest(edges.coalesce(1), loops=True).toDF("node", "component"))

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
-from .shared import cut, partitions, release
+from .components import FOREST_EDGES, components
+from .shared import cut, join_hot, partitions, release
 from .words import mix, shingle_sets
 
 K = 2
@@ -54,8 +54,6 @@ MAX_STAR_TURNS = 8
 PORTION_PAIRS = 2_000_000
 PORTION_GROWTH = 16
 PORTION_PARTS = 1 << 20
-#: A key with more than this share of the rows is joined by a broadcast; there are at most as many such keys as its inverse.
-HOT_SHARE = 1 / 2000
 #: 64-bit words of a node's parity bitmap.
 BIT_WORDS = 8
 BITS = [f"bits{i}" for i in range(BIT_WORDS)]
@@ -96,8 +94,11 @@ def _bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def members(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """(doc_id, n, node, bits0 ...) of every row; n is 0 and node null without words."""
+def members(docs: DataFrame, p: JaccardParams, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, node, bits0 ..., and the columns to carry) of every row; n is 0 and node null without words, so for null and empty texts.
+
+    Repeated rows and equal texts have one node; a null doc_id stays null; an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -108,10 +109,12 @@ def members(docs: DataFrame, p: JaccardParams) -> DataFrame:
                 if len(tokens):
                     node[row] = _node(tokens)
                     bits[:, row] = _bitmap(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), *map(pa.array, bits)], ["doc_id", "n", "node", *BITS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node, mask=n == 0), *map(pa.array, bits), *batch.columns[2:]], names)
 
-    schema = ", ".join(f"{c} long" for c in ("doc_id", "n", "node", *BITS))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *carry)
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n", "node", *BITS)), *rows.schema.fields[2:]])
+    names = schema.names
+    return rows.mapInArrow(run, schema)
 
 
 def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
@@ -327,7 +330,10 @@ def token_sets(docs: DataFrame, people: DataFrame, nodes: DataFrame, p: JaccardP
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
-    """The pairs (u, v) whose whole sets link."""
+    """The rows of pairs(u, v) whose whole sets of sets(node, tokens) link; a pair with an end that has no set, a null one included, is left out.
+
+    Repeated pairs stay repeated; empty tables give no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -342,15 +348,25 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
 
     left = sets.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    pairs = pairs.select("u", "v")
+    if pairs.count() <= MAX_SENT_NODES:  # only the sets of these pairs are shuffled
+        found = left.join(F.broadcast(pairs), "u").join(right.join(F.broadcast(pairs), "v"), ["u", "v"])
+    else:
+        found = pairs.join(left, "u").join(right, "v")
+    return found.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with comp, the node's component."""
+    return rows.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _spanning(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with comp, the node's component, and top, the largest component of the list; lists within one component are left out."""
-    now = rows.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    """rows with comp and top, the largest component of the list; lists within one component are left out."""
+    now = _placed(rows, labels)
     spans = now.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy(*keys)
     spans = spans.agg(F.max_by("comp", F.struct("rows", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    return cut(now.join(spans.drop("comps"), keys))
+    return now.join(spans.drop("comps"), keys)
 
 
 def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -359,11 +375,11 @@ def _sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return side("u", rows.where("comp <> top")), side("v", rows)
 
 
-def _apart(p: JaccardParams, portion: tuple[int, int]):
-    """Whether a pair of this portion joins two components and may link; a pair of which neither is in the largest one counts once."""
+def _apart(p: JaccardParams):
+    """Whether a pair joins two components and may link; a pair of which neither is in the largest one counts once."""
     u_n, v_n = F.col("u_n"), F.col("v_n")
     once = (F.col("u") < F.col("v")) | (F.col("v_comp") == F.col("v_top"))
-    return (F.col("u_comp") != F.col("v_comp")) & once & _in_portion(portion) & _fits(u_n, v_n, p) & _near_bits(u_n, v_n, p)
+    return (F.col("u_comp") != F.col("v_comp")) & once & _fits(u_n, v_n, p) & _near_bits(u_n, v_n, p)
 
 
 def _early_pair(p: JaccardParams):
@@ -374,11 +390,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def _small_lists(lists: DataFrame, portion: tuple[int, int], p: JaccardParams) -> DataFrame:
+def _small_lists(lists: DataFrame, p: JaccardParams) -> DataFrame:
     """(u, v) that share enough tokens of small lists, given how many others they may share."""
     u, v = _sides(lists, "token")
     ends = F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")
-    found = u.join(v, (F.col("u_token") == F.col("v_token")) & _apart(p, portion)).groupBy(*ends)
+    found = u.join(v, (F.col("u_token") == F.col("v_token")) & _apart(p)).groupBy(*ends)
     shared = _shared_prefix(F.col("u_n"), F.col("v_n"), p) - F.least("u_others", "v_others")
     found = found.agg(F.count(F.lit(1)).alias("tokens"), F.bool_or(_early_pair(p)).alias("early"), F.max(shared).alias("least"))
     return found.where(F.col("early") & (F.col("tokens") >= F.col("least"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -388,7 +404,7 @@ def _long_lists(lists: DataFrame, keys: list[str], portion: tuple[int, int], p:
     """(u, v) once each: at the first tokens of their class (as many as there are keys) that both have in their prefixes."""
     u, v = _sides(lists, *keys, "own")
     both = F.array_intersect("u_own", "v_own")
-    at = _apart(p, portion) & _early_pair(p)
+    at = _in_portion(portion) & _apart(p) & _early_pair(p)
     for i, key in enumerate(keys):
         at = at & (F.col(f"u_{key}") == F.col(f"v_{key}")) & (F.col(f"u_{key}") == F.element_at(both, i + 1))
     enough = F.size(both) + F.least("u_others", "v_others") >= _shared_prefix(F.col("u_n"), F.col("v_n"), p)
@@ -410,42 +426,20 @@ def _portions(spans: list[DataFrame], keys: list[list[str]]) -> list[tuple[int,
     return out
 
 
-def _candidates(spans: list[DataFrame], keys: list[list[str]], portion: tuple[int, int], p: JaccardParams) -> DataFrame:
-    """(u, v): this portion's pairs between components that the index yields."""
-    found = _small_lists(spans[0], portion, p)
-    for rows, key in zip(spans[1:], keys[1:]):
-        found = found.union(_long_lists(rows, key, portion, p))
-    return found.distinct()
-
-
-def _join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """rows left-joined with table(key, size, ...) by a unique key, where size is how many rows have it.
-
-    Keys with over HOT_SHARE of the total are joined by a broadcast of at most 1 / HOT_SHARE rows, the others by a
-    shuffle, so that no task gets a hot key's rows.
-    """
-    hot = F.col("size") > max(1000, total * HOT_SHARE)
-    sent = F.broadcast(table.where(hot).drop("size"))
-    rest = rows.join(sent.select(key), key, "left_anti").join(table.where(~hot).drop("size"), key, "left")
-    return rows.join(sent, key).unionByName(rest)
-
-
 def _lists(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, node, n, pos, comp, kind) of the lists that span several components; kind is 1 for small, 3 for frequent ones."""
-    lists = shared.select("token", "node", "n", "pos").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    """(token, node, n, pos, kind) of the lists that span several components; kind is 1 for small, 2 for longer ones."""
+    lists = _placed(shared.select("token", "node", "n", "pos"), labels)
     spans = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    kind = F.when(F.col("comps") <= SMALL_COMPONENTS, 1).when(F.col("comps") <= FREQUENT_COMPONENTS, 2).otherwise(3)
-    return cut(lists.join(spans, "token").withColumn("kind", kind).drop("comps"))
+    return lists.drop("comp").join(spans.select("token", F.when(F.col("comps") <= SMALL_COMPONENTS, 1).otherwise(2).alias("kind")), "token")
 
 
-def _stars(lists: DataFrame, turn: int, p: JaccardParams) -> DataFrame:
+def _stars(longer: DataFrame, labels: DataFrame, turn: int, p: JaccardParams) -> DataFrame:
     """(u, v): each node of the longer lists with its list's leaders, the nodes whose hashes of this turn are the least."""
-    longer = lists.where("kind > 1")
-    leaders = None
-    for i in range(LEADERS):
-        one = longer.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)), "node", "n", "comp")).alias(f"lead{i}"))
-        leaders = one if leaders is None else leaders.join(one, "token")
-    pairs = longer.join(leaders, "token").select("node", "n", "comp", F.explode(F.array_distinct(F.array(*[F.struct(f"lead{i}.node", f"lead{i}.n", f"lead{i}.comp") for i in range(LEADERS)]))).alias("lead"))
+    longer = _placed(longer, labels)
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)), "node", "n", "comp")).alias(f"lead{i}") for i in range(LEADERS)]
+    leaders = longer.groupBy("token").agg(*least)
+    each = F.array_distinct(F.array(*[F.struct(f"lead{i}.node", f"lead{i}.n", f"lead{i}.comp") for i in range(LEADERS)]))
+    pairs = longer.join(leaders, "token").select("node", "n", "comp", F.explode(each).alias("lead"))
     pairs = pairs.where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), p))
     return _likely(pairs.select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), p)
 
@@ -458,11 +452,13 @@ def _likely(pairs: DataFrame, p: JaccardParams) -> DataFrame:
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels(node, component) after links(u, v): only the graph of components is searched."""
+    """labels(node, component) after links(u, v): beyond what one task contracts, only the graph of components is searched."""
+    if labels.count() + links.count() <= FOREST_EDGES:
+        return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links.select("u", "v")))
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
     everyone = cut(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))))
     of = lambda x: everyone.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp"))
-    edges = links.join(of("u"), "u").join(of("v"), "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v")).distinct()
+    edges = cut(links.join(of("u"), "u").join(of("v"), "v").select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v")).distinct())
     moved = components(edges).select(F.col("node").alias("component"), F.col("component").alias("least"))
     return cut(everyone.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
 
@@ -473,49 +469,54 @@ def _in_portion(portion: tuple[int, int]):
     return part.between(portion[0], portion[1] - 1)
 
 
-def _index(lists: DataFrame, people: DataFrame) -> list[DataFrame]:
+def _index(lists: DataFrame, longer: DataFrame, labels: DataFrame, people: DataFrame) -> list[DataFrame]:
     """The index's three classes (rare tokens, longer lists, combinations of two frequent tokens), each with what its node has beside them.
 
     A pair's first two shared tokens decide where it is found: one of a rare class finds it alone, two of the frequent
     class find it as a combination. Parity bitmaps of the sets then reject most pairs that share a lot but do not link;
     they never reject one that links.
     """
+    spans = _placed(longer, labels).groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"))
+    frequent = F.when(F.col("comps") > FREQUENT_COMPONENTS, 3).otherwise(2).alias("kind")
+    longer = cut(longer.join(spans.where("comps > 1").select("token", frequent), "token"))
+    rare = lists.where("kind = 1").select(*longer.columns)
     placed = F.struct("pos", "token")
     own = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, placed))), lambda x: x["token"])
     few = F.count(F.when(F.col("kind") == 1, F.lit(1)))
-    nodes = lists.groupBy("node").agg(own(2).alias("middle"), own(3).alias("frequent"), few.alias("small"))
+    nodes = rare.union(longer).groupBy("node").agg(own(2).alias("middle"), own(3).alias("frequent"), few.alias("small"))
     bitmaps = people.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(*(F.first(b).alias(b) for b in BITS))
     nodes = cut(nodes.join(bitmaps, "node"))
-    rare = lists.where("kind = 1").join(nodes.select("node", (F.size("middle") + F.size("frequent")).alias("others"), *BITS), "node")
-    middle = lists.where("kind = 2").join(nodes.select("node", F.col("middle").alias("own"), (F.col("small") + F.size("frequent")).alias("others"), *BITS), "node")
-    often = lists.where("kind = 3").join(nodes.select("node", F.col("frequent").alias("own"), (F.col("small") + F.size("middle")).alias("others"), *BITS), "node")
-    second = lists.where("kind = 3").select("node", F.col("token").alias("t2"), F.col("pos").alias("second"))
+    rare = rare.join(nodes.select("node", (F.size("middle") + F.size("frequent")).alias("others"), *BITS), "node")
+    middle = longer.where("kind = 2").join(nodes.select("node", F.col("middle").alias("own"), (F.col("small") + F.size("frequent")).alias("others"), *BITS), "node")
+    often = longer.where("kind = 3").join(nodes.select("node", F.col("frequent").alias("own"), (F.col("small") + F.size("middle")).alias("others"), *BITS), "node")
+    second = longer.where("kind = 3").select("node", F.col("token").alias("t2"), F.col("pos").alias("second"))
     combined = often.withColumnRenamed("token", "t1").join(second, "node").where("pos < second").withColumn("pos", F.col("second"))
-    return [cut(x.drop("kind", "comp")) for x in (rare, middle, combined)]
+    return [rare.drop("kind"), cut(middle.drop("kind")), cut(combined.drop("kind"))]
 
 
-def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text, ...).
+def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text, ...); with columns to carry, then component and those.
 
     component_id is the smallest doc_id that links reach, the row's own included. Null and word-less texts have no
     shingle, link with nothing and are their own component; a null doc_id counts as the largest of its component and
     stays null only where no other is reachable. Rows that repeat are alike, and so are kept apart as rows but not as
-    components. Texts of any length are taken whole. An empty table gives an empty result; columns other than doc_id and
-    text are not read.
+    components. Texts of any length are taken whole. An empty table gives an empty result; columns other than doc_id,
+    text and those to carry are not read. component is a hash that tells components apart without ids, null without words.
     """
     p = params
     spark: SparkSession = docs.sparkSession
-    people = cut(members(docs, p))
+    people = cut(members(docs, p, carry))
     rows, total = people.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("node", "component")]))
     labels = _node_components(docs, people, p, total) if total else empty
     nodes = people.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     nodes = cut(nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    named = _join_hot(nodes.withColumnRenamed("size", "copies"), least, "component", rows).select("node", "component_id", F.col("copies").alias("size"))
-    joined = _join_hot(people.where("node is not null").select("doc_id", "n", "node"), named, "node", rows)
-    alone = people.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
+    named = join_hot(nodes.withColumnRenamed("size", "copies"), least, "component", rows).select("node", "component", "component_id", F.col("copies").alias("size"))
+    joined = join_hot(people.where("node is not null").drop(*BITS), named, "node", rows)
+    alone = people.where("node is null").drop(*BITS).withColumns({"component": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    found = joined.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", *carry)
+    return found if carry else found.drop("component")
 
 
 def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total: int) -> DataFrame:
@@ -528,27 +529,31 @@ def _node_components(docs: DataFrame, people: DataFrame, p: JaccardParams, total
     tried = cut(_likely(shared.where((F.col("node") != F.col("lead")) & _fits(F.col("n"), F.col("lead_n"), p)), p))
     sets = token_sets(docs, people, ends(tried), p)
     labels = components(cut(verify(tried, sets, p)))
-    lists = _lists(shared, labels)
-    longer = lists.where("kind > 1").select("node").distinct()
+    lists = cut(_lists(shared, labels))
+    del shared, tried
+    release(spark)
+    longer = cut(lists.where("kind = 2").drop("kind"))
     if not longer.isEmpty():
-        sets = sets.union(token_sets(docs, people, longer.join(sets, "node", "left_anti"), p))
-        for turn in range(MAX_STAR_TURNS):
-            stars = cut(_stars(lists, turn, p))
-            new = cut(verify(stars, sets, p))
-            found, tries = new.count(), stars.count()
-            if found:
-                labels = _joined(labels, new)
-                lists = _lists(shared, labels)
-            release(spark)
-            if found < STAR_YIELD * tries or not tries:
-                break
-    index, keys = _index(lists, people), [["token"], ["token"], ["t1", "t2"]]
+        sets = sets.union(token_sets(docs, people, longer.select("node").distinct().join(sets, "node", "left_anti"), p))
+    for turn in range(MAX_STAR_TURNS if not longer.isEmpty() else 0):
+        stars = cut(_stars(longer, labels, turn, p))
+        new = cut(verify(stars, sets, p))
+        found, tries = new.count(), stars.count()
+        if found:
+            labels = _joined(labels, new)
+        if found < STAR_YIELD * tries or not tries:
+            break
+    rare, *frequent = _index(lists, longer, labels, people)
     release(spark)
-    portions = None
+    keys, portions = [["token"], ["t1", "t2"]], None
     while portions is None or portions:
-        spans = [_spanning(rows, labels, key) for rows, key in zip(index, keys)]
+        spans = [cut(_spanning(rows, labels, key)) for rows, key in zip(frequent, keys)]
         portions = _portions(spans, keys) if portions is None else portions
-        pairs = cut(_candidates(spans, keys, portions.pop(0), p))
+        portion = portions.pop(0)
+        pairs = _long_lists(spans[0], keys[0], portion, p).union(_long_lists(spans[1], keys[1], portion, p))
+        if not portions:  # the small lists come with the last portion, when most components are joined
+            pairs = pairs.union(_small_lists(_spanning(rare, labels, ["token"]), p))
+        pairs = cut(pairs.distinct())
         release(spark)
         if pairs.isEmpty():
             continue

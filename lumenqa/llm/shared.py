@@ -7,19 +7,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A key with more than this share of the rows is joined by a broadcast; there are at most as many such keys as its inverse.
+HOT_SHARE = 1 / 2000
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that setting is absent."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that setting is absent and Spark runs in one process."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenqa-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="lumenqa-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -51,3 +57,15 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle and checkpoint files of steps that nothing refers to; it waits for the driver's garbage collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left-joined with table(key, size, ...) by a unique key, where size is how many rows have it.
+
+    Keys with over HOT_SHARE of the total are joined by a broadcast of at most 1 / HOT_SHARE rows, the others by a
+    shuffle, so that no task gets a hot key's rows.
+    """
+    hot = F.col("size") > max(1000, total * HOT_SHARE)
+    sent = F.broadcast(table.where(hot).drop("size"))
+    rest = rows.join(sent.select(key), key, "left_anti").join(table.where(~hot).drop("size"), key, "left")
+    return rows.join(sent, key).unionByName(rest)
