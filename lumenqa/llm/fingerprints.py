@@ -1,12 +1,18 @@
 """Operator 7: document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A paragraph is a run up to a line feed or the end of a sentence, without white space around it; long runs are cut every 64
-characters, so that text without punctuation has paragraphs too. Its md5 gives two
-words of 60 bits; each bit is one lane of a wide vector of zeros and ones. A text's fingerprint is the sum of its
-paragraphs' vectors, three lanes of 20 bits packed in a word (so lanes count modulo 2**20, and words add modulo 2**63 or fail), and the number of
-paragraphs. It doesn't depend on their order, adding or subtracting a paragraph's vector inserts or deletes it, and
-equal multisets have equal fingerprints. The likeness of two fingerprints is the cosine of their lanes as sums of +1 and
--1, which estimates the cosine of the paragraph multisets.
+A paragraph is a run up to a line feed or the end of a sentence, without white space around it, or a run of marks that end
+sentences alone; long runs are cut every 64 characters, so that text without punctuation has paragraphs too. Its md5
+gives two words of 60 bits. A text's fingerprint is a vector of sums over its paragraphs:
+
+* LANES sums of +1 and -1, one a bit of the words, as long integers that no text can overflow,
+* the two words added modulo 2**60, residues wide enough for equality,
+* the number of paragraphs.
+
+It doesn't depend on the paragraphs' order, adding or subtracting a paragraph's vector inserts or deletes it, and equal
+multisets have equal fingerprints. The likeness of two fingerprints is the cosine of their lanes, which estimates the cosine of the
+paragraph multisets.
+
+Three lanes of 20 bits are added at once in one word, RUN paragraphs at a time, before they are spread out.
 """
 
 from __future__ import annotations
@@ -16,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .shared import cut, partitions
 
-PARAGRAPH = r"[^\n.!?]{1,64}[.!?]*"
+PARAGRAPH = r"[^\n.!?]{1,64}[.!?]{0,64}|[.!?]{1,64}"
 _BLANKS = " \t\n\x0b\x0c\r"
-SHIFTS = 20  # words a hash: bits s, s + 20 and s + 40 of it are lanes of word s
+SHIFTS = 20  # packed words a hash word: bits s, s + 20 and s + 40 of it are lanes of packed word s
 _MASK = 1 + (1 << SHIFTS) + (1 << 2 * SHIFTS)
 _LANE = (1 << SHIFTS) - 1
-WIDTH = 2 * SHIFTS + 1  # packed words, and the number of paragraphs
+#: Paragraphs whose lanes are added in packed form; a lane of 20 bits holds as many.
+RUN = 1_000_000
+LANES = 6 * SHIFTS
+RESIDUE = (1 << 60) - 1
 
 
 def paragraphs(text: Column) -> Column:
@@ -34,48 +43,71 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _sums(digests: Column) -> Column:
-    """The packed sum of the vectors of paragraphs with these md5 digests: one running sum for each word."""
+def _run_lanes(first: Column, second: Column) -> Column:
+    """LANES sums of +1 and -1 of at most RUN paragraphs, from their hash words: one running sum for each packed word."""
     zero, mask = F.lit(0).cast("long"), F.lit(_MASK).cast("long")
 
+    def word(values: Column, s: int) -> Column:
+        return F.aggregate(values, zero, lambda total, w: total + F.shiftright(w, s).bitwiseAND(mask))
+
+    packed = F.array(*[word(x, s) for x in (first, second) for s in range(SHIFTS)])
+    n = F.size(first)
+    lane = lambda words, k: F.transform(words, lambda x: 2 * F.shiftright(x, k * SHIFTS).bitwiseAND(F.lit(_LANE).cast("long")) - n)
+    return _once(packed, lambda words: F.concat(lane(words, 0), lane(words, 1), lane(words, 2)))
+
+
+def _sums(digests: Column) -> Column:
+    """The sum of the vectors of paragraphs with these md5 digests."""
+    zero, mask = F.lit(0).cast("long"), F.lit(RESIDUE).cast("long")
+
     def words(at: int) -> Column:
         return F.transform(digests, lambda d: F.conv(F.substring(d, at, 15), 16, 10).cast("long"))
 
-    def word(values: Column, s: int) -> Column:
-        return F.aggregate(values, zero, lambda total, w: total + F.shiftright(w, s).bitwiseAND(mask))
+    def residue(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda total, w: (total + w).bitwiseAND(mask))
+
+    def whole(x: Column) -> Column:
+        n = F.size(x["a"])
+        run = lambda i: _run_lanes(F.slice(x["a"], i * RUN + 1, RUN), F.slice(x["b"], i * RUN + 1, RUN))
+        runs = F.aggregate(F.sequence(F.lit(1), F.floor((n - 1) / RUN).cast("int")), run(F.lit(0)), lambda total, i: add(total, run(i)))
+        lanes = F.when(n <= RUN, _run_lanes(x["a"], x["b"])).otherwise(runs)
+        return F.concat(lanes, F.array(residue(x["a"]), residue(x["b"]), n.cast("long")))
+
+    return _once(F.struct(words(1).alias("a"), words(16).alias("b")), whole)
 
-    def packed(values: Column) -> Column:
-        return F.array(*[word(values, s) for s in range(SHIFTS)])
 
-    return F.concat(_once(words(1), packed), _once(words(16), packed), F.array(F.size(digests).cast("long")))
+def _moduli(words: Column) -> Column:
+    """words with the two residues brought back to 0 ... RESIDUE."""
+    mask = F.lit(RESIDUE).cast("long")
+    return F.concat(F.slice(words, 1, LANES), F.transform(F.slice(words, LANES + 1, 2), lambda x: x.bitwiseAND(mask)), F.slice(words, LANES + 3, 1))
 
 
 def add(a: Column, b: Column) -> Column:
+    """The fingerprint of both texts' paragraphs; lane sums alone may be added as they are."""
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
+def insert(a: Column, b: Column) -> Column:
+    """The fingerprint a with the paragraphs of b added."""
+    return _moduli(add(a, b))
+
+
+def delete(a: Column, b: Column) -> Column:
+    """The fingerprint a with the paragraphs of b taken out."""
+    return _moduli(F.zip_with(a, b, lambda x, y: x - y))
 
 
 def fingerprint(text: Column) -> Column:
-    """array<long> of WIDTH words; all zero for null, empty and blank texts."""
+    """array<long> of LANES + 3 words; all zero for null, empty and blank texts. Texts of any length are taken whole."""
     return _once(F.transform(paragraphs(text), lambda x: F.md5(x.cast("binary"))), _sums)
 
 
 def as_text(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
-
-
-def _lanes(words: Column) -> Column:
-    """Lanes as sums of +1 and -1."""
-    n = F.element_at(words, -1)
-    lane = lambda k: F.transform(F.slice(words, 1, WIDTH - 1), lambda x: 2 * F.shiftright(x, k * SHIFTS).bitwiseAND(F.lit(_LANE).cast("long")) - n)
-    return F.concat(lane(0), lane(1), lane(2))
+    return F.array_join(words.cast("array<string>"), ",")
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,10 +115,10 @@ def likeness(a: Column, b: Column) -> Column:
 
     def cosine(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        norm = F.sqrt(_dot(x, x).cast("double")) * F.sqrt(_dot(y, y).cast("double"))
-        return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(x, y).cast("double"), norm))), F.lit(0.0))
+        norm = F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))
+        return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(x, y), norm))), F.lit(0.0))
 
-    lanes = F.struct(_lanes(a).alias("x"), _lanes(b).alias("y"))
+    lanes = F.struct(F.slice(a, 1, LANES).alias("x"), F.slice(b, 1, LANES).alias("y"))
     return F.when(a == b, F.lit(1.0)).otherwise(F.round(_once(lanes, cosine), 9))
 
 
@@ -106,9 +138,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of docs(doc_id, text, ...).
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many, or all, of the next
-    document's. Rows that share a doc_id share the next document; where several rows have the next id, the smallest text
-    is taken. A null doc_id comes after all others, so its next is the largest id; a document alone is its own next.
-    Null texts count as empty; an empty table gives no rows.
+    document's. Rows that share a doc_id share the next document; where several rows have the next id, the one whose
+    head (as many characters as a row before it needs) is the smallest is taken, of equal heads the one with the smaller
+    hash of its text. A null doc_id comes after all others, so its next is the largest id; a document alone is its own
+    next. Null texts count as empty; texts of blanks alone have the fingerprint of the empty text; texts of any length are
+    taken whole; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     links = next_ids(docs)

@@ -45,31 +45,34 @@ g as (select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) ||
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
 """
 
-_STEPS = 20
-_MASK = 1 + (1 << 20) + (1 << 40)
+_LANES = "range(0, 120)"
 
 
 def _vector(units: str) -> str:
-    words = [f"coalesce(list_sum(list_transform({units}, lambda u: (('0x' || substr(md5(u), {at}, 15))::bigint >> {s}) & {_MASK}))::bigint, 0)" for at in (1, 16) for s in range(_STEPS)]
-    return f"[{', '.join(words)}, len({units})::bigint]"
+    """A lane i is bit s + 20 * k of hash word h, where k = i // 40, h = i % 40 // 20 and s = i % 20."""
+    halves = [f"list_transform({units}, lambda u: ('0x' || substr(md5(u), {at}, 15))::bigint)" for at in (1, 16)]
+    bit = "(list_extract(w, 1 + i % 40 // 20) >> (i % 20 + 20 * (i // 40))) & 1"
+    pairs = f"list_transform(list_zip({halves[0]}, {halves[1]}), lambda z: [z[1], z[2]])"
+    lanes = f"list_transform({_LANES}, lambda i: coalesce(list_sum(list_transform({pairs}, lambda w: 2 * ({bit}) - 1)), 0)::bigint)"
+    residues = [f"(coalesce(list_sum(list_transform({x}, lambda v: v::hugeint)), 0) % 1152921504606846976)::bigint" for x in halves]
+    return f"list_concat({lanes}, [{residues[0]}, {residues[1]}, len({units})::bigint])"
 
 
 def _like(a: str, b: str) -> str:
-    lanes = lambda w: f"list_transform(range(0, 120), lambda i: 2 * (({w}[(i % 40) + 1] >> (20 * (i // 40))) & 1048575) - {w}[41])"
-    dot = lambda x, y: f"list_dot_product({lanes(x)}::double[], {lanes(y)}::double[])"
+    dot = lambda x, y: f"list_dot_product({x}[1:120]::double[], {y}[1:120]::double[])"
     norm = f"(sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
     return f"case when {a} = {b} then 1.0 when {norm} > 0 then round(greatest(0.0, least(1.0, {dot(a, b)} / {norm})), 9) else 0.0 end"
 
 
-_UNITS = r"list_filter(list_transform(regexp_extract_all({0}, '[^\n.!?]{{1,64}}[.!?]*'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
-_HEX = "array_to_string(list_transform({0}, lambda x: lpad(lower(to_hex(x)), 16, '0')), '')"
+_UNITS = r"list_filter(list_transform(regexp_extract_all({0}, '[^\n.!?]{{1,64}}[.!?]{{0,64}}|[.!?]{{1,64}}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
+_JOINED = "array_to_string({0}, ',')"
 OP7 = f"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 n as (select *, length(text)::bigint as n, coalesce(lead(text) over (order by doc_id desc), first_value(text) over (order by doc_id desc)) as following from d),
 e as (select *, left(text, (n - n // 3)::int) || left(following, (n // 3)::int) as edited from n),
 u as (select *, {_UNITS.format("text")} as a, {_UNITS.format("edited")} as b, {_UNITS.format("following")} as c from e),
 w as (select doc_id, n, edited, {_vector("a")} as x, {_vector("b")} as y, {_vector("c")} as z from u)
-select doc_id, n as n_chars, sha256(edited) as edited_sha256, {_HEX.format("x")} as fingerprint, {_HEX.format("y")} as edited_fingerprint,
+select doc_id, n as n_chars, sha256(edited) as edited_sha256, {_JOINED.format("x")} as fingerprint, {_JOINED.format("y")} as edited_fingerprint,
        {_like("x", "y")} as near_edited, {_like("x", "z")} as near_next from w
 """
 
