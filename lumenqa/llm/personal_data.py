@@ -1,10 +1,12 @@
 """Operator 9: personal data by bootstrapped contextual extraction.
 
-Base patterns give the seeds. The words around them are lexical patterns; identifier-like strings that no base pattern
-takes are the other instances. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the
-mean score of its distinct instances (seeds 1), an instance's score the chance that not all its trusted patterns are
-wrong. Trusted patterns need several distinct accepted instances in several documents, counted anew in every round. Instances
-whose score passes are added as ``id`` spans.
+Base patterns give the seeds of four kinds, and literals that a text assigns to a key word (``token = "..."``) those of a
+fifth, secrets. Patterns are the words around a span (two before it, one on each side, two after it), one word beside it
+together with the span's surface shape, and the shape alone, so that kinds of different shapes are learned apart.
+Identifier-like strings that no base pattern takes are the other instances. Spark scores the graph of patterns and
+instances in rounds: a pattern's confidence is the mean score of its distinct instances (seeds 1), an instance's score the
+chance that not all its trusted patterns are wrong. Trusted patterns need several distinct accepted instances in several
+documents, counted anew in every round. Secrets, and instances whose score passes, are added as ``id`` spans.
 """
 
 from __future__ import annotations
@@ -26,10 +28,16 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Key words of the secrets that are seeds.
+_KEY = re.compile(r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*[=:]\s*[\"']?\Z")
+_KEY_CHARS = 24
 _TOKEN = re.compile(r"[^\s]+")
 _EDGE = "\"'`()[]{}<>,;:!?.#$%&*|=\\"
 _DIGIT = re.compile(r"[0-9]")
 _NEAR = re.compile(r"\w+")
+_HEX = re.compile(r"[0-9a-f]+\Z")
+_RUN = re.compile(r"([0-9]+)|([^\W\d_]+)")
+SHAPE_CHARS = 64
 
 
 @dataclass(frozen=True)
@@ -78,11 +86,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def shape(surface: str) -> str:
+    """The surface form: digits or lower-case hexadecimal digits with their number, of anything else its runs of letters, digits and marks."""
+    if surface.isascii() and surface.isdigit():
+        return f"d{len(surface)}"
+    if _HEX.match(surface) and _DIGIT.search(surface):
+        return f"x{len(surface)}"
+    return _RUN.sub(lambda m: "d" if m[1] else "a", surface[:SHAPE_CHARS])
+
+
 def _patterns(text: str, a: int, b: int, p: BootstrapParams) -> list[str]:
-    """Lexical patterns of a span: two words before it, one on each side, two after it."""
+    """Patterns of a span: words around it, one word beside it with its shape, its shape."""
     left = _NEAR.findall(text[max(0, a - p.context_chars) : a].lower())[-2:]
     right = _NEAR.findall(text[b : b + p.context_chars].lower())[:2]
-    out = []
+    form = shape(text[a:b])
+    out = [f"[{form}]"]
+    if left:
+        out.append(f"{left[-1]} [{form}]")
+    if right:
+        out.append(f"[{form}] {right[0]}")
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} _")
     if left and right:
@@ -92,9 +114,9 @@ def _patterns(text: str, a: int, b: int, p: BootstrapParams) -> list[str]:
     return out
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]], p: BootstrapParams) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, surface, is a seed, patterns) of base spans and of other identifier-like strings."""
-    out = [(a, b, text[a:b], True, _patterns(text, a, b, p)) for _, a, b in spans]
+def mentions(text: str, spans: list[tuple[str, int, int]], p: BootstrapParams) -> list[tuple[int, int, str, bool, bool, list[str]]]:
+    """(start, end, surface, is a seed, is a base span, patterns) of base spans and of other identifier-like strings."""
+    out = [(a, b, text[a:b], True, True, _patterns(text, a, b, p)) for _, a, b in spans]
     if not _DIGIT.search(text):
         return out
     taken = sorted((a, b) for _, a, b in spans)
@@ -106,23 +128,27 @@ def mentions(text: str, spans: list[tuple[str, int, int]], p: BootstrapParams) -
         core = word.strip(_EDGE)
         a = m.start() + len(word) - len(word.lstrip(_EDGE))
         b = a + len(core)
+        assigned = max(core.rfind("="), core.rfind(":")) + 1  # key=value without blanks
+        if assigned and _KEY.search(text[max(0, a + assigned - _KEY_CHARS) : a + assigned]):
+            inner = core[assigned:].strip(_EDGE)
+            a, core = a + core.index(inner, assigned), inner
         if len(core) < p.least_length or len(_DIGIT.findall(core)) < p.least_digits:
             continue
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         if any(x < b and a < y for x, y in taken[at : at + 4]):
             continue
-        out.append((a, b, core, False, _patterns(text, a, b, p)))
+        out.append((a, b, core, bool(_KEY.search(text[max(0, a - _KEY_CHARS) : a])), False, _patterns(text, a, b, p)))
     return out
 
 
-FOUND = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<string>, mentions array<struct<start:long,end:long,surface:string,seed:boolean,patterns:array<string>>>"
+FOUND = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<string>, mentions array<struct<start:long,end:long,surface:string,seed:boolean,base:boolean,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame, p: BootstrapParams) -> DataFrame:
     """One row for each row of docs(doc_id, text): counts and digest of base spans, and all mentions."""
     numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("surface", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("surface", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches):
         for batch in batches:
@@ -134,7 +160,7 @@ def scan(docs: DataFrame, p: BootstrapParams) -> DataFrame:
                 counts.append([sum(k == x for x, _, _ in spans) for k in KINDS])
                 digests.append(hashlib.sha256(",".join(base).encode()).hexdigest())
                 bases.append(base)
-                found.append([dict(zip(("start", "end", "surface", "seed", "patterns"), m)) for m in mentions(text, spans, p)])
+                found.append([dict(zip(("start", "end", "surface", "seed", "base", "patterns"), m)) for m in mentions(text, spans, p)])
             cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(digests, pa.string()), pa.array(bases, pa.list_(pa.string())), pa.array(found, kind)], [c.split()[0] for c in FOUND.split("array<struct")[0].split(", ")])
 
@@ -165,7 +191,7 @@ def discover(edges: DataFrame, p: BootstrapParams) -> DataFrame:
         wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.coalesce("confidence", F.lit(0.0))))))  # greatest() skips nulls
         found = graph.join(patterns, "pattern", "left").groupBy("surface").agg(F.max("seed").alias("seed"), (1 - wrong).alias("new"))
         scores = cut(found.select("surface", F.when(F.col("seed"), 1.0).otherwise(F.col("new")).alias("score")))
-    fresh = edges.where("not seed").select("surface").distinct()
+    fresh = edges.where("not seed").select("surface").distinct()  # a surface may be a seed in one place and not in another
     return scores.join(fresh, "surface").where(F.col("score") >= p.accept)
 
 
@@ -173,14 +199,16 @@ def find_personal_data(docs: DataFrame, p: BootstrapParams = BootstrapParams())
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id) of every row of docs(doc_id, text, ...).
 
     spans: base spans by kind as listed, then start; then ``id`` spans that the bootstrapping found, by start. Null and
-    empty texts have none (the digest is that of the empty text). Repeated rows are alike; an empty table gives no rows.
+    empty texts have none (the digest is that of the empty text). Texts of any length are scanned whole. Repeated rows
+    are alike, a null doc_id stays null and counts as no document; an empty table gives no rows. Other columns are not read.
     """
     found = cut(scan(docs, p))
     each = found.select("row", "doc_id", F.explode("mentions").alias("m"))
     edges = each.select(F.explode("m.patterns").alias("pattern"), F.col("m.surface").alias("surface"), F.col("m.seed").alias("seed"), "doc_id")
     fresh = discover(edges, p).select("surface")
-    spans = each.where("not m.seed").select("row", F.col("m.surface").alias("surface"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
-    hits = spans.join(fresh, "surface").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ids"))
+    spans = each.where("not m.base").select("row", F.col("m.surface").alias("surface"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.seed").alias("seed"))
+    known = spans.where("not seed").join(fresh, "surface").select(*spans.columns)
+    hits = spans.where("seed").union(known).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ids"))
     joined = found.drop("mentions").join(hits, "row", "left")
     named = F.transform(F.coalesce("ids", F.array()), lambda x: F.concat_ws(":", F.lit("id"), x["start"].cast("string"), x["end"].cast("string")))
     return joined.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.array_join(F.concat("base", named), ",").alias("spans"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_id"))
