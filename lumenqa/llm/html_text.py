@@ -2,8 +2,11 @@
 
 Every DOM node's density is its characters per tag, adjusted for links: a node whose text is mostly links is worth
 little. The density sum of a node adds up its children's densities; the subtree with the largest sum is the content, and
-siblings along its path to the body join it if their density reaches the lowest density on that path. Boilerplate by
-element, role or class name (menus, forms, notices, adverts, comments ...) is cut from the tree before.
+siblings along its path to the body join it if their density reaches the lowest density on that path. Where the subtree
+is part of an article, the article is taken whole, and of the other articles those whose density reaches that threshold and
+that aren't mostly links.
+Boilerplate by element, role or class name (menus, forms, notices, adverts, comments ...) is cut from the tree before; a
+class or id counts only as a whole, so ``entry-header`` or ``related-work`` are no boilerplate.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")  # a quote opens a value only right after the sign
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -34,6 +37,11 @@ _NOISE = frozenset(
     "comment comments disqus respond replies related recommended recommendation recommendations pagination pager widget toolbar skip contentinfo complementary "
     "dialog hidden tags tagcloud byline copyright legal disclaimer toc".split()
 )
+# Words that add nothing to the former in a name of several words.
+_PLAIN = frozenset(
+    "area bar bars block body bottom box button buttons center column container content floating fixed form global group header inner item items layer left link links list main "
+    "outer page panel post posts primary right row section secondary site slot sticky strip top unit widget widgets wrap wrapper zone".split()
+)
 _KEPT = frozenset(("html", "body", "main", "article"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -50,6 +58,15 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _names_noise(value: str) -> bool:
+    """Whether one of the names of a class, id or role value is a boilerplate word, or made of such words and plain ones."""
+    for name in value.split():
+        words = [_DIGITS.sub("", w.lower()) for w in _SPLIT.split(name) if w]
+        if any(w in _NOISE for w in words) and all(not w or w in _NOISE or w in _PLAIN for w in words):
+            return True
+    return False
+
+
 def _is_noise(tag: str, raw: str) -> bool:
     if tag in _DROPPED:
         return True
@@ -60,8 +77,7 @@ def _is_noise(tag: str, raw: str) -> bool:
         if name == "hidden":
             return True
         if name in ("class", "id", "role"):
-            value = m[2] or m[3] or m[4] or ""
-            if any(_DIGITS.sub("", w.lower()) in _NOISE for w in _SPLIT.split(value)):
+            if _names_noise(m[2] or m[3] or m[4] or ""):
                 return True
         elif name == "style" and _HIDDEN.search(m[2] or m[3] or m[4] or "") or name == "aria-hidden" and "true" in (m[2] or m[3] or m[4] or ""):
             return True
@@ -166,7 +182,7 @@ def score(root: Node) -> None:
 
 
 def content(root: Node) -> list[Node]:
-    """The main subtree, lifted to its article where it has one, and what belongs to it along its path to the body, in page order."""
+    """The subtree with the largest density sum, and what reaches the threshold of its path to the body, in page order."""
     nodes = _order(root)
     best = max(nodes, key=lambda x: x.total)
     if not best.total:
@@ -174,12 +190,14 @@ def content(root: Node) -> list[Node]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    least = lambda way: min((x.density for x in way if x.density), default=0.0)
     whole = [x for x in path if x.tag == "article"] or [x for x in path if x.tag == "main"]
-    if whole:
-        return [whole[-1]]
+    if whole:  # the page names its articles: the best one, and the others that are as dense
+        threshold = least(path[path.index(whole[-1]) :])
+        return [x for x in _outermost(root, whole[-1].tag) if x is whole[-1] or x.density >= threshold and 2 * x.link_chars < x.chars]
     if best.tag not in _BLOCKS or best.tag in ("p", "li", "tr", "td"):
         best = next((x for x in path if x.tag in _BLOCKS and x.tag not in ("p", "li", "tr", "td")), root)
-    threshold = min((x.density for x in path[path.index(best) :] if x.density), default=0.0)
+    threshold = least(path[path.index(best) :])
     chosen = {id(best)}
     at = best
     while at.parent is not None and at.tag != "body":
@@ -190,6 +208,18 @@ def content(root: Node) -> list[Node]:
     return [x for x in _preorder(root) if id(x) in chosen]
 
 
+def _outermost(root: Node, tag: str) -> list[Node]:
+    """The nodes of this tag that no other such node holds, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == tag:
+            out.append(node)
+        else:
+            stack += reversed([c for c in node.children if not isinstance(c, str)])
+    return out
+
+
 def _preorder(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
@@ -227,7 +257,8 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages(page_id, url, html, ...).
 
-    A null or empty page, and one without text, has an empty text. Repeated rows stay repeated; an empty table gives no rows.
+    A null or empty page, and one without text, has an empty text; null ids and urls stay null. Pages of any length and
+    depth are parsed whole. Repeated rows stay repeated; an empty table gives no rows. Other columns are not read.
     """
     rows = pages.select("page_id", "url", "html")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
