@@ -16,9 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut
 from .words import mix
 
 UNKNOWN = "und"
+#: Distinct n-grams whose vectors are made at once, and characters of a long text that are counted at once.
+GRAMS = 4096
+PART = 200_000
+#: Labels whose shares are broadcast; beyond it, they are joined by a shuffle.
+MAX_SENT_LABELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -29,7 +35,6 @@ class LanguageParams:
     gram: int = 3
     seed: int = 20
     max_train_rows: int = 10_000
-    max_labels: int = 4096
 
 
 def letter_vectors(points: np.ndarray, p: LanguageParams) -> np.ndarray:
@@ -40,66 +45,100 @@ def letter_vectors(points: np.ndarray, p: LanguageParams) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1).reshape(len(points), p.dims)
 
 
-def gram_counts(texts: list[str | None], p: LanguageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(has a letter, n-grams as rows of code points, counts by text and n-gram).
+def _distinct(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with its inverse, by a table over the code points."""
+    present = np.zeros(int(points.max()) + 1 if len(points) else 0, bool)
+    present[points] = True
+    return np.flatnonzero(present).astype(np.uint32), (np.cumsum(present, dtype=np.int32) - 1)[points]
 
-    Letters are folded to lower case; whatever is no letter becomes one blank between runs of letters, and a text
-    starts and ends with a blank.
+
+def _codes(texts: list[str | None], at_start: bool = True, was_letter: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(code points, the text of each, has a letter, whether the last one was a letter) of lower-case texts.
+
+    Whatever is no letter becomes one blank between runs of letters. A text that is one part of a longer one starts after
+    a letter or not, as the part before it ended.
     """
-    parts = [np.frombuffer((" " + (t or "").lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    points = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    kinds, code = np.unique(points, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in kinds])
-    solid = letter[code]
+    parts = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    points, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    kinds, code = _distinct(points)
+    solid = np.array([chr(c).isalpha() for c in kinds], bool)[code]
     keep = solid.copy()
     keep[1:] |= solid[:-1]  # the first blank after a run
-    keep[np.concatenate(([0], np.cumsum([len(x) for x in parts])[:-1]))] = True
+    firsts = np.concatenate(([0], np.cumsum([len(x) for x in parts])[:-1]))
+    firsts = firsts[firsts < len(keep)]
+    keep[firsts] = True if at_start else solid[firsts] | was_letter
     has = np.zeros(len(parts), bool)
     has[np.unique(owner[solid])] = True
-    alphabet = np.concatenate(([32], kinds[letter]))
-    small = np.zeros(len(kinds), np.int64)
-    small[letter] = np.arange(1, letter.sum() + 1)
-    code, owner = small[code[keep]], owner[keep]
+    return np.where(solid, points, 32)[keep].astype(np.uint32), owner[keep], has, bool(solid[-1]) if len(solid) else was_letter
+
+
+def _bundle(points: np.ndarray, owner: np.ndarray, texts: int, p: LanguageParams) -> np.ndarray:
+    """The sums of the vectors of all n-grams of points that lie within one text, GRAMS distinct n-grams at a time: exact integers as float64."""
+    out = np.zeros((texts, p.dims), np.float64)
+    alphabet, code = _distinct(points)
     n = max(0, len(code) - p.gram + 1)
     key, size = np.zeros(n, np.int64), len(alphabet)
     for i in range(p.gram):
         key = key * size + code[i : i + n]
-    own = owner[:n]
-    inside = own == owner[p.gram - 1 : p.gram - 1 + n]
-    key, own = key[inside], own[inside]
+    inside = owner[:n] == owner[p.gram - 1 : p.gram - 1 + n]
+    key, own = key[inside], owner[:n][inside]
+    if not len(key):
+        return out
     if size**p.gram <= 1 << 22:
         present = np.zeros(size**p.gram, bool)
         present[key] = True
         grams = np.flatnonzero(present)
-        column = np.cumsum(present)[key] - 1
+        column = np.cumsum(present, dtype=np.int32)[key] - 1
     else:
         grams, column = np.unique(key, return_inverse=True)
-    counts = np.bincount(own * max(1, len(grams)) + column, minlength=len(parts) * len(grams)).reshape(len(parts), -1)
-    places = np.stack([grams // size ** (p.gram - 1 - i) % size for i in range(p.gram)], 1) if len(grams) else np.zeros((0, p.gram), np.int64)
-    return has, alphabet[places], counts
+    if len(grams) > GRAMS:
+        order = np.argsort(column, kind="stable")
+        column, own = column[order], own[order]
+    ends = np.searchsorted(column, np.arange(GRAMS, len(grams) + GRAMS, GRAMS)) if len(grams) > GRAMS else [len(column)]
+    start = 0
+    for low, end in zip(range(0, len(grams), GRAMS), ends):
+        some = grams[low : low + GRAMS]
+        counts = np.bincount(own[start:end] * len(some) + (column[start:end] - low), minlength=texts * len(some)).reshape(texts, -1)
+        places = np.stack([some // size ** (p.gram - 1 - i) % size for i in range(p.gram)], 1)
+        letters, at = np.unique(places, return_inverse=True)
+        at, table = at.reshape(places.shape), letter_vectors(alphabet[letters], p)
+        bound = np.ones((len(some), p.dims), np.int8)
+        for i in range(p.gram):
+            bound *= np.roll(table, p.gram - 1 - i, axis=1)[at[:, i]]
+        # float32 sums are exact up to 2**24; longer texts are added in float64
+        kind = np.float32 if counts.sum(1).max() < 1 << 24 else np.float64
+        out += counts.astype(kind) @ bound.astype(kind)
+        start = end
+    return out
 
 
 def bundles(texts: list[str | None], p: LanguageParams) -> tuple[np.ndarray, np.ndarray]:
-    """(has a letter, vectors): exact integers as float64, one row a text."""
-    has, grams, counts = gram_counts(texts, p)
-    out = np.zeros((len(texts), p.dims), np.float64)
-    if not len(grams):
-        return has, out
-    letters, at = np.unique(grams, return_inverse=True)
-    at, table = at.reshape(grams.shape), letter_vectors(letters, p)
-    bound = np.ones((len(grams), p.dims), np.int8)
-    for i in range(p.gram):
-        bound *= np.roll(table, p.gram - 1 - i, axis=1)[at[:, i]]
-    # float32 sums are exact up to 2**24; longer texts are added in float64
-    kind = np.float32 if counts.sum(1).max() < 1 << 24 else np.float64
-    return has, (counts.astype(kind) @ bound.astype(kind)).astype(np.float64)
+    """(has a letter, vectors): exact integers as float64, one row a text; a text starts and ends with a blank.
+
+    A text of over PART characters is added up part by part, each with the last gram - 1 characters of the one before.
+    """
+    lower = [" " + (t or "").lower() + " " for t in texts]
+    has, out = np.zeros(len(texts), bool), np.zeros((len(texts), p.dims), np.float64)
+    short = [i for i, t in enumerate(lower) if len(t) <= PART]
+    if short:
+        points, owner, has[short], _ = _codes([lower[i] for i in short])
+        out[short] = _bundle(points, owner, len(short), p)
+    for i in (i for i, t in enumerate(lower) if len(t) > PART):
+        carried, letter = np.zeros(0, np.uint32), False
+        for start in range(0, len(lower[i]), PART):
+            points, _, some, letter = _codes([lower[i][start : start + PART]], start == 0, letter)
+            points = np.concatenate((carried, points))
+            has[i] |= some[0]
+            out[i] += _bundle(points, np.zeros(len(points), np.int64), 1, p)[0]
+            carried = points[-(p.gram - 1) :] if p.gram > 1 else carried
+    return has, out
 
 
 def _pieces(column: pa.Array, budget: int = 400_000) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of rows of about as many characters in all, so that a batch of long texts stays small."""
     start, held, size = 0, [], 0
-    for i, text in enumerate(column.to_pylist()):
+    for i, value in enumerate(column):
+        text = value.as_py()
         held.append(text)
         size += len(text or "")
         if size >= budget or len(held) >= 256:
@@ -128,18 +167,20 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, p: LanguageParams = LanguageParams(), key: str = "doc_id") -> LanguageModel:
-    """Prototypes from labelled(key, text, lang), null labels left out; sums are exact, so any partitioning gives the same."""
+    """Prototypes from labelled(key, text, lang), null labels left out; sums are exact, so any partitioning gives the same.
+
+    A null key is drawn by its text instead, null texts add nothing, repeated rows count as often as they occur, and an empty
+    table gives a model without labels. The model holds dims numbers a label, whatever the number of rows.
+    """
     rows = labelled.where("lang is not null")
-    sizes = rows.groupBy("lang").count().limit(p.max_labels + 1).collect()
-    if len(sizes) > p.max_labels:
-        raise ValueError(f"over {p.max_labels} distinct labels")
-    if not sizes:
+    shares = rows.groupBy("lang").agg((F.lit(float(p.max_train_rows)) / F.count(F.lit(1))).alias("_share")).withColumnRenamed("lang", "_lang")
+    shares = cut(shares)
+    labels = shares.count()
+    if not labels:
         return LanguageModel(p)
-    share = F.lit(None).cast("double")
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(p.max_train_rows / row["count"])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(p.seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.where((draw < share) | F.col(key).isNull())
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), "text"), F.lit(p.seed)), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select(F.col("text"), F.col("lang"), draw.alias("_draw")).join(F.broadcast(shares) if labels <= MAX_SENT_LABELS else shares, F.col("lang") == F.col("_lang"))
+    rows = rows.where("_draw < _share")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -166,8 +207,13 @@ def train(labelled: DataFrame, p: LanguageParams = LanguageParams(), key: str =
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score added (or replaced); reads nothing of a row but its text."""
-    clash = [c for c in docs.columns if c in ("lang_pred", "lang_score")]
+    """docs with lang_pred and lang_score added; columns that have these names, in any case, are replaced.
+
+    Reads nothing of a row but its text. A null, empty or letterless text gets UNKNOWN and 0, as does every text if
+    nothing was learned; of languages that are equally near the first by name wins. Texts of any length are taken whole,
+    repeated rows are alike, an empty table gives no rows.
+    """
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "lang_score")]
     docs = docs.drop(*clash)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.prototypes))
@@ -195,7 +241,8 @@ def held_out(doc_id: Column) -> Column:
 def language_id(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs(doc_id, text, lang, ...), repeated rows included.
 
-    Learns from rows that aren't held out. A null doc_id counts as not held out. Other columns are not read.
+    Learns from rows that aren't held out. A null doc_id counts as not held out; null and letterless texts get ``und`` and
+    0; texts of any length are taken whole; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = train(rows.where("not held_out"), p)
