@@ -1,10 +1,12 @@
 """Operator 8: find training passages that hold benchmark items, by BM25 with block-max WAND and a check of both parts.
 
 The index is over the test items, the queries are all passages (overlapping windows of words) of all training texts.
-Impacts are divided by the item's score for itself, so 1 is the whole item and one threshold serves all. A passage
-whose terms' list maxima can't reach the threshold has no pivot and ends there; then blocks of items whose block maxima
-can't reach it are skipped; only the postings of the blocks that are left are scored. A hit counts if the passage
-holds enough of the item's question and of its answer.
+Impacts are divided by the item's score for itself, so 1 is the whole item and one threshold serves all. A passage's lists
+are put in the order of their maxima: the pivot is the first list at which the sum of maxima reaches the threshold, and an
+item that no list from the pivot on holds can't reach it. A passage without a pivot ends there. The blocks of items in the
+lists from the pivot on are bounded by block maxima, first of those lists, then, where cursors on the others find the block,
+of all; only the postings of blocks that are left are scored (numpy moves all cursors of a passage at once). A hit counts if the passage holds enough of the item's
+question and of its answer. Lists and blocks are stored without their gaps, so an index is as large as its postings.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ HITS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """threshold: share of an item's own BM25 score; overlap: share of each part's gram-word runs; items_at_once bounds the index that is
-    broadcast, of which there are as many, one after the other, as the benchmark needs."""
+    """threshold: share of an item's own BM25 score; overlap: share of each part's gram-word runs; items_at_once bounds an index;
+    there are as many as the benchmark needs, all broadcast, and a task holds one at a time while it reads its passages once."""
 
     k1: float = 1.2
     b: float = 0.75
@@ -35,7 +37,7 @@ class DecontaminationParams:
     overlap: float = 0.7
     gram: int = 3
     block: int = 4
-    items_at_once: int = 2048
+    items_at_once: int = 16384
     least_window: int = 64
 
 
@@ -70,10 +72,24 @@ def held(part: set[tuple[str, ...]], n: int, words: list[str], cache: dict[int,
     return len(part & cache[size]) / len(part)
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+#: Entries of an index's block maxima up to which they are kept as a matrix.
+DENSE = 1 << 22
+
+
 class ItemIndex:
-    """Postings with list and block maxima over items whose lengths one window suits."""
+    """Postings with list and block maxima over items whose lengths one window suits.
 
-    def __init__(self, items: list[tuple[int, str]], df: Counter, n_items: int, mean: float, window: int, p: DecontaminationParams):
+    Term t's postings are places[bounds[t]:bounds[t + 1]] and impacts, by place; its blocks are blocks[block_bounds[t] ...]
+    with their maxima and the start of each one's postings.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean: float, window: int, p: DecontaminationParams):
         self.p, self.window = p, window
         self.ids = [i for i, _ in items]
         self.parts = [tuple(grams(x, p.gram) for x in parts(t)) for _, t in items]
@@ -89,35 +105,73 @@ class ItemIndex:
                 if term == len(lists):
                     lists.append([])
                 lists[term].append((at, x / own))
-        blocks = -(-len(items) // p.block)
-        self.block_max = np.zeros((len(lists), blocks), np.float32)
-        self.postings = []
-        for term, pairs in enumerate(lists):
-            at, x = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
-            self.postings.append((at, x))
-            np.maximum.at(self.block_max[term], at // p.block, x.astype(np.float32))
-        self.list_max = self.block_max.max(1) if len(lists) else np.zeros(0, np.float32)
+        self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        self.places = np.array([a for x in lists for a, _ in x], np.int64)
+        self.impacts = np.array([b for x in lists for _, b in x], np.float64)
+        term = np.repeat(np.arange(len(lists)), np.diff(self.bounds))
+        block = self.places // p.block
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.blocks, self.block_starts = block[new], np.concatenate((new, [len(term)]))
+        self.block_max = np.maximum.reduceat(self.impacts, new) if len(new) else np.zeros(0)
+        self.block_bounds = np.searchsorted(new, self.bounds)
+        self.n_blocks = -(-len(items) // p.block)
+        self.dense = None  # the block maxima as a matrix, where that is small: all lists are bounded in one step then
+        if len(lists) * self.n_blocks <= DENSE:
+            self.dense = np.zeros((len(lists), self.n_blocks), np.float32)
+            self.dense[term[new], self.blocks] = self.block_max
+        self.list_max = np.maximum.reduceat(self.impacts, self.bounds[:-1]) if len(lists) else np.zeros(0)
 
     def search(self, query: np.ndarray) -> list[tuple[int, float]]:
         """(place, score) of all items at or above the threshold, for distinct query terms."""
-        least = self.p.threshold - 1e-5
-        if self.list_max[query].sum() < least:
-            return []
-        alive = self.block_max[query].sum(0) >= least
-        if not alive.any():
+        least = self.p.threshold - 1e-9
+        maxima = self.list_max[query]
+        if maxima.sum() < least:  # no pivot: all lists together can't reach the threshold
             return []
-        at = np.concatenate([self.postings[t][0] for t in query])
-        x = np.concatenate([self.postings[t][1] for t in query])
-        keep = alive[at // self.p.block]
-        scores = np.bincount(at[keep], weights=x[keep], minlength=len(self.ids))
-        return [(i, float(scores[i])) for i in np.flatnonzero(scores >= self.p.threshold - 1e-9)]
-
-    def hits(self, words: list[str]) -> dict[int, list[float]]:
+        if self.dense is None:
+            alive = self._alive(query, maxima, least)
+            if alive is None:
+                return []
+        else:
+            bound = self.dense[query].sum(0)
+            alive = bound >= least - 1e-5  # float32
+            if not alive.any():
+                return []
+        at = _ranges(self.bounds[query], self.bounds[query + 1]) if self.dense is not None else self._postings(query, alive)
+        places = self.places[at]
+        if self.dense is not None:
+            at, places = at[keep := alive[places // self.p.block]], places[keep]
+        scores = np.bincount(places, weights=self.impacts[at], minlength=len(self.ids))
+        return [(i, float(scores[i])) for i in np.flatnonzero(scores >= least)]
+
+    def _postings(self, query: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Where the postings of these terms are in the blocks that are left."""
+        at = _ranges(self.block_bounds[query], self.block_bounds[query + 1])
+        at = at[alive[self.blocks[at]]]
+        return _ranges(self.block_starts[at], self.block_starts[at + 1])
+
+    def _alive(self, query: np.ndarray, maxima: np.ndarray, least: float) -> np.ndarray | None:
+        """Which blocks can reach the threshold, from the pivot on and then with the lists before it; None if no block can."""
+        order = np.argsort(maxima, kind="stable")
+        query, reach = query[order], np.cumsum(maxima[order])
+        pivot = min(int(np.searchsorted(reach, least)), len(query) - 1)
+        low, high = self.block_bounds[query], self.block_bounds[query + 1]
+        at = _ranges(low[pivot:], high[pivot:])
+        bound = np.bincount(self.blocks[at], weights=self.block_max[at], minlength=self.n_blocks)
+        if pivot:  # the lists before the pivot are read only where the others leave a chance
+            if bound.max() + reach[pivot - 1] < least:
+                return None
+            alive = bound + reach[pivot - 1] >= least
+            at = _ranges(low[:pivot], high[:pivot])
+            at = at[alive[self.blocks[at]]]
+            bound += np.bincount(self.blocks[at], weights=self.block_max[at], minlength=self.n_blocks)
+        return bound >= least if bound.max() >= least else None
+
+    def hits(self, words: list[str]) -> dict[int | None, list[float]]:
         """item id -> [best score, its question and answer overlap, passages that hold it]."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], np.int64)
         at = np.flatnonzero(ids >= 0)
-        out: dict[int, list[float]] = {}
+        out: dict[int | None, list[float]] = {}
         if not len(at) or self.list_max[np.unique(known := ids[at])].sum() < self.p.threshold - 1e-5:
             return out
         step = self.window // 2
@@ -137,7 +191,7 @@ class ItemIndex:
         return out
 
 
-def build_indexes(items: list[tuple[int, str]], df: Counter, n_items: int, mean: float, p: DecontaminationParams) -> list[ItemIndex]:
+def build_indexes(items: list[tuple[int | None, str]], df: dict[str, int], n_items: int, mean: float, p: DecontaminationParams) -> list[ItemIndex]:
     """One index for each class of lengths (up to 32 words, then fourfold), with windows of twice the class's longest item."""
     classes: dict[int, list[tuple[int, str]]] = {}
     for item in items:
@@ -164,42 +218,62 @@ def item_statistics(benchmark: DataFrame) -> tuple[int, float, DataFrame]:
     return (whole["df"], whole["total"] / whole["df"], counts.where("term is not null")) if whole else (0, 1.0, counts)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """(doc_id, item_id, bm25, question_overlap, answer_overlap, passages): each item that a document holds.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, item_id, bm25, question_overlap, answer_overlap, passages, and the columns of docs to carry): each item that a document holds.
 
     Reads docs(doc_id, text) and benchmark(item_id, text). Null and empty texts hold nothing, items without words are
-    held by nothing, repeated rows give repeated hits, empty tables give none. All passages are searched against all
-    items: the items in as many blocks as their number needs, each block's index broadcast.
+    held by nothing, a null doc_id or item_id stays null, items that share an id count as one, repeated rows give repeated hits,
+    empty tables give none. Texts of any length are searched whole. All passages are searched against all items in one
+    pass over docs; the driver holds items_at_once items at a time.
     """
     spark = docs.sparkSession
     n_items, mean, df = item_statistics(benchmark)
-    out = spark.createDataFrame([], HITS)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *carry).where("text is not null")
+    schema = T.StructType([*T._parse_datatype_string(HITS).fields, *rows.schema.fields[2:]])
     blocks = -(-n_items // p.items_at_once)
+    sent = []
     for block in range(blocks):
         mine = benchmark.select(F.col("item_id").cast("long"), "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        items = sorted((r[0] if r[0] is not None else -1, r[1]) for r in mine.collect() if terms(r[1]))
+        items = sorted(((r[0], r[1]) for r in mine.collect() if terms(r[1])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if not items:
             continue
         seen = {w for _, t in items for w in terms(t)}
         need = spark.createDataFrame([(w,) for w in sorted(seen)], "term string")
-        known = Counter({r["term"]: r["df"] for r in df.join(need, "term").select("term", "df").collect()})
-        sent = spark.sparkContext.broadcast((items, known, n_items, mean))
-        out = out.union(rows.mapInArrow(_searcher(sent, p), HITS))
-    return out
-
+        known = {r["term"]: r["df"] for r in df.join(need, "term").select("term", "df").collect()}
+        sent.append(spark.sparkContext.broadcast(build_indexes(items, known, n_items, mean, p)))
+    return rows.mapInArrow(_searcher(sent, len(carry)), schema) if sent else spark.createDataFrame([], schema)
+
+
+#: Characters of passages that a task holds while it goes through the indexes.
+HELD_CHARS = 4_000_000
+
+
+def _searcher(sent: list, carried: int):
+    def search(batch: pa.RecordBatch):
+        texts = [terms(x.as_py()) for x in batch.column(1)]
+        found = []
+        for one in sent:
+            for index in one.value:
+                for i, words in enumerate(texts):
+                    found += [(i, item, *x) for item, x in sorted(index.hits(words).items(), key=lambda x: (x[0] is None, x[0] or 0))]
+            if len(sent) > 1:
+                one.__dict__.pop("_value", None)  # read again from the local copy for the next passages
+        found.sort(key=lambda x: x[0])
+        cols = list(zip(*found)) or [()] * 6
+        rows = pa.array(cols[0], pa.int64())
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+        hits = [batch.column(0).take(rows), *(pa.array(c, k) for c, k in zip(cols[1:], kinds)), *(batch.column(2 + i).take(rows) for i in range(carried))]
+        return pa.RecordBatch.from_arrays(hits, ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "passages", *batch.schema.names[2:]])
 
-def _searcher(sent, p: DecontaminationParams):
     def run(batches):
-        indexes = build_indexes(*sent.value, p)
         for batch in batches:
-            found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = terms(text.as_py())
-                for index in indexes:
-                    found += [(doc_id, item, *x) for item, x in sorted(index.hits(words).items())]
-            cols = list(zip(*found)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "passages"])
+            start, size = 0, 0
+            for i, text in enumerate(batch.column(1)):
+                size += len(text.as_buffer())
+                if size >= HELD_CHARS:
+                    yield search(batch.slice(start, i + 1 - start))
+                    start, size = i + 1, 0
+            if start < batch.num_rows:
+                yield search(batch.slice(start))
 
     return run
