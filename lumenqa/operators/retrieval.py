@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
+from . import blocks as B
 
 
 def chunk_tokens(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,21 +19,26 @@ def chunk_tokens(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
     return rows.select(key, "chunk", F.array_join(F.slice("w", F.col("start") + 1, size), " ").alias("text"))
 
 
-def term_counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, length): explode and count; partial aggregation happens before the shuffle."""
-    words = rows.select(key, T.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+#: Distinct query words that are sent to all tasks; beyond it, postings are joined with them by a shuffle.
+MAX_SENT_WORDS = 200_000
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, key, score, rank): top k documents of each query by an inverted index joined on terms."""
-    postings = term_counts(docs, key)
+    """(query, key, score, rank): top k documents of each query by an inverted index of the queries' words.
+
+    Texts are split once; only words that a query has become postings, and their document frequencies are counted on those.
+    The list of a word is joined with the queries that have it, whose number the queries bound.
+    """
+    wanted = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    words = wanted.select("term").distinct()
+    split = docs.select(key, T.tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
     stats = docs.select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+    sent = F.broadcast(words) if words.count() <= MAX_SENT_WORDS else words
+    postings = split.select(key, "length", F.explode("w").alias("term")).join(sent, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    hits = postings.join(wanted, "term").join(frequency, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    hits = postings.join(wanted.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))  # stats is one row
     scored = hits.groupBy(query, key).agg(F.sum(idf * weight).alias("score"))
     return top_k(scored, query, key, k)
 
@@ -44,16 +50,22 @@ def top_k(scored: DataFrame, query: str, key: str, k: int, score: str = "score")
 
 
 def dense(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) by exact cosine of queries(query_id, query) with base(vec_id, embedding); queries are the small side."""
-    pairs = base.crossJoin(queries).where("query_id <> vec_id")
-    return top_k(pairs.select("query_id", "vec_id", V.cosine(F.col("query"), F.col("embedding")).alias("score")), "query_id", "vec_id", k)
+    """(query_id, vec_id, score, rank) by exact cosine of queries(query_id, query) with base(vec_id, embedding), in blocks; an id is no hit of itself."""
+
+    def score(a, b):
+        cosine = B.unit(a["query"]) @ B.unit(b["embedding"]).T
+        row, column = B.best_columns(cosine, b["vec_id"], k, a["query_id"][:, None] != b["vec_id"][None, :])
+        return a["query_id"][row], b["vec_id"][column], cosine[row, column]
+
+    hits = B.pairs(queries.select("query_id", "query").dropna(), base.select("vec_id", "embedding").dropna(), score, "query_id long, vec_id long, score double")
+    return top_k(hits, "query_id", "vec_id", k)
 
 
-def fuse(hits: DataFrame, mode: str, k: int, query: str = "item_id", key: str = "doc_id") -> DataFrame:
+def fuse(hits: DataFrame, mode: str, k: int, query: str = "item_id", key: str = "doc_id", weight: Column | float = 1.0) -> DataFrame:
     """(query, key, score, rank) from hits(query, key, list, score, rank).
 
     simple: the largest score; reciprocal_rerank: sum of 1 / (60 + rank); relative_score: sum of scores on the scale of
-    their list's least and largest; dist_based_score: the same with mean -+ 3 population deviations, held to 0..1.
+    their list's least and largest; dist_based_score: the same with mean -+ 3 population deviations, held to 0..1. What a hit adds is multiplied by its weight.
     """
     one = Window.partitionBy(query, "list")
     lo, hi = F.min("score").over(one), F.max("score").over(one)
@@ -63,10 +75,15 @@ def fuse(hits: DataFrame, mode: str, k: int, query: str = "item_id", key: str =
     scaled = F.when(hi > lo, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") - lo) / (hi - lo)))).otherwise(1.0)
     value: Column = {"simple": F.col("score"), "reciprocal_rerank": 1 / (60 + F.col("rank")), "relative_score": scaled, "dist_based_score": scaled}[mode]
     total = F.max("value") if mode == "simple" else F.sum("value")
-    rows = hits.withColumn("value", value).groupBy(query, key).agg(total.alias("score"))
+    rows = hits.withColumn("value", value * weight).groupBy(query, key).agg(total.alias("score"))
     return top_k(rows, query, key, k)
 
 
+def dedup(hits: DataFrame, k: int, query: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """(query, key, score, rank) from hits(query, key, place, score): each key once, as in the list of the smallest place."""
+    return top_k(hits.groupBy(query, key).agg(F.min_by("score", "place").alias("score")), query, key, k)
+
+
 def fuse_subqueries(hits: DataFrame, k: int, query: str = "item_id", key: str = "doc_id") -> DataFrame:
     """(query, key, score, weighted, rank): best weighted score over sub-queries, weight 1 - 0.1 * place; the unweighted score stays."""
     weighted = F.col("score") * (1 - 0.1 * F.col("sub"))
@@ -92,7 +109,22 @@ def max_sim(tokens: DataFrame) -> DataFrame:
 
     The score is the mean over all query tokens of their largest dot product with the document's.
     """
-    q = tokens.select(F.col("label").alias("query_label"), F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
-    pairs = tokens.select("label", F.col("embedding").alias("y")).crossJoin(q)
-    best = pairs.groupBy("query_label", "q", "label").agg(F.max(V.dot(F.col("x"), F.col("y"))).alias("best"))
+    return max_sim_of(tokens, tokens)
+
+
+def max_sim_of(queries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """max_sim with query tokens of their own; every pair is scored in blocks, and a block keeps the best of each token and label."""
+
+    def score(a, b):
+        dots = a["embedding"] @ b["embedding"].T
+        labels, at = np.unique(b["label"], return_inverse=True)
+        best = np.full((len(dots), len(labels)), -np.inf)
+        for i in range(len(labels)):
+            best[:, i] = dots[:, at == i].max(1)
+        n = len(labels)
+        return np.repeat(a["label"], n), np.repeat(a["vec_id"], n), np.tile(labels, len(dots)), best.ravel()
+
+    rows = lambda x: x.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").dropna()
+    best = B.pairs(rows(queries), rows(tokens), score, "query_label long, q long, label long, best double")
+    best = best.groupBy("query_label", "q", "label").agg(F.max("best").alias("best"))
     return best.groupBy("query_label", "label").agg((F.sum("best") / F.count(F.lit(1))).alias("score"))

@@ -60,3 +60,29 @@ def average_rank_share(rows: DataFrame, group: str, value: str) -> DataFrame:
     order = Window.partitionBy(group).orderBy(value)
     ties = F.count(F.lit(1)).over(Window.partitionBy(group, value))
     return rows.withColumn("pct", (F.rank().over(order) + (ties - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy(group)))
+
+
+def _ranked(rows: DataFrame, group: str, key: str, score: str) -> DataFrame:
+    """rows with i, the place from 0 by score from the highest, and n, the size of the group."""
+    order = Window.partitionBy(group).orderBy(F.desc(score), key)
+    return rows.withColumns({"i": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(group))})
+
+
+def representatives(rows: DataFrame, group: str, key: str, score: str) -> DataFrame:
+    """(group, key, kind): the five best (high), the five last of over five (low), and of over ten five from the middle third (medium).
+
+    Of six to ten, high and low may name one row twice in the definition; a row is named once here, high first.
+    """
+    i, n = F.col("i"), F.col("n")
+    third, end = F.floor(n / 3), F.least(F.floor(n / 3) + 5, F.floor(2 * n / 3))
+    kind = F.when(i < 5, "high").when((n > 5) & (i >= n - 5), "low").when((n > 10) & (i >= third) & (i < end), "medium")
+    return _ranked(rows, group, key, score).select(group, key, kind.alias("kind")).where("kind is not null")
+
+
+def diverse_sample(rows: DataFrame, group: str, key: str, score: str) -> DataFrame:
+    """(group, key): of ten or more the three best, the three last and four from the middle third; of five or more two, two and the middle one; else all."""
+    i, n = F.col("i"), F.col("n")
+    third, end = F.floor(n / 3), F.least(F.floor(n / 3) + 4, F.floor(2 * n / 3))
+    many = (n >= 10) & ((i < 3) | (i >= n - 3) | ((i >= third) & (i < end)))
+    some = (n >= 5) & (n < 10) & ((i < 2) | (i >= n - 2) | (i == F.floor(n / 2)))
+    return _ranked(rows, group, key, score).where((n < 5) | many | some).select(group, key)
