@@ -86,3 +86,80 @@ def diverse_sample(rows: DataFrame, group: str, key: str, score: str) -> DataFra
     many = (n >= 10) & ((i < 3) | (i >= n - 3) | ((i >= third) & (i < end)))
     some = (n >= 5) & (n < 10) & ((i < 2) | (i >= n - 2) | (i == F.floor(n / 2)))
     return _ranked(rows, group, key, score).where((n < 5) | many | some).select(group, key)
+
+
+def front_polyline(trials: DataFrame, study: str = "study") -> DataFrame:
+    """(study, x, y): the front by rising v1 as a staircase; between two points the middle of the step, its corner, and the middle of the rise."""
+    order = Window.partitionBy(study).orderBy("v1")
+    rows = pareto_front(trials, study).withColumns({"a": F.lead("v0").over(order), "b": F.lead("v1").over(order)})
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    v0, v1, a, b = (F.col(c) for c in ("v0", "v1", "a", "b"))
+    here = F.array(point(v0, v1))
+    steps = F.when(a.isNull(), here).otherwise(F.concat(here, F.array(point((v0 + a) / 2, v1), point(a, v1), point(a, (v1 + b) / 2))))
+    return rows.select(study, F.explode(steps).alias("p")).select(study, "p.x", "p.y")
+
+
+def cumulative_area(trials: DataFrame, study: str = "study") -> DataFrame:
+    """(study, number, area): the Pareto area of each study's trials up to each one, in the limits of the whole study.
+
+    One pass over a study's trials in order: the front so far is kept sorted, and a new trial adds the part of its box that
+    the front leaves, so a study of n trials with fronts of f points takes n log f steps plus the points it removes. A
+    study's trials are one task's, read in Arrow batches; they are as many as the study has run.
+    """
+    import bisect
+
+    import pandas as pd
+
+    limits = trials.groupBy(study).agg(F.percentile("v0", 0.1).alias("y0"), F.max("v0").alias("y1"), F.min("v1").alias("x0"), F.percentile("v1", 0.9).alias("x1"))
+    rows = trials.select(study, "number", "v0", "v1").where("v0 is not null and v1 is not null").join(F.broadcast(limits), study)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("number")
+        y0, y1, x0, x1 = (float(pdf[c].iloc[0]) for c in ("y0", "y1", "x0", "x1"))
+        xs, ys, total, out = [], [], 0.0, []  # the front: x and y both rise
+        for v0, v1 in zip(pdf["v0"].astype(float), pdf["v1"].astype(float)):
+            x, y = max(x0, min(x1, v1)), max(y0, min(y1, v0))
+            at = bisect.bisect_right(xs, x)
+            base = ys[at - 1] if at else y0
+            if y > base:
+                level, left, end = base, x, at
+                while end < len(xs) and ys[end] <= y:
+                    total += (xs[end] - left) * (y - level)
+                    level, left, end = ys[end], xs[end], end + 1
+                total += ((xs[end] if end < len(xs) else x1) - left) * (y - level)
+                start = at - 1 if at and xs[at - 1] == x else at
+                xs[start:end], ys[start:end] = [x], [y]
+            out.append(total)
+        whole = (x1 - x0) * (y1 - y0)
+        return pd.DataFrame({study: pdf[study], "number": pdf["number"], "area": [t / whole if whole else None for t in out]})
+
+    kinds = dict(trials.dtypes)
+    return rows.groupBy(study).applyInPandas(run, f"{study} {kinds[study]}, number {kinds['number']}, area double")
+
+
+def study_matrix(trials: DataFrame, setting: str, value: str, study: str = "study") -> DataFrame:
+    """(study_a, study_b, tau): rank correlation of the medians of shared settings for every two studies of three or more pairs; 0 for a study itself."""
+    medians = trials.groupBy(study, setting).agg(F.median(value).alias("v"))
+    a, b = medians.select(F.col(study).alias("study_a"), setting, F.col("v").alias("x")), medians.select(F.col(study).alias("study_b"), setting, F.col("v").alias("y"))
+    both = a.join(b, setting).where("study_a <> study_b").withColumn("pair", F.struct("study_a", "study_b"))
+    found = kendall(both, "pair", "x", "y", setting).where("n >= 3").select("pair.study_a", "pair.study_b", "tau")
+    return found.union(trials.select(F.col(study).alias("study_a"), F.col(study).alias("study_b"), F.lit(0.0).alias("tau")).distinct())
+
+
+def kneedle(trials: DataFrame, study: str = "study", sensitivity: float = 1.0) -> DataFrame:
+    """The knee of each front by its difference curve: the first local peak of y - x, both on 0..1, after which the curve falls under the peak less
+    sensitivity times the mean step of x before it rises again; the last peak if none falls so far; none for fronts of under three points."""
+    whole, order = Window.partitionBy(study), Window.partitionBy(study).orderBy("v1")
+    scale = lambda c: F.try_divide(F.col(c) - F.min(c).over(whole), F.max(c).over(whole) - F.min(c).over(whole))
+    rows = pareto_front(trials, study).withColumns({"d": scale("v0") - scale("v1"), "n": F.count(F.lit(1)).over(whole)})
+    rows = rows.withColumns({"before": F.lag("d").over(order), "after": F.lead("d").over(order), "place": F.row_number().over(order)})
+    peak = (F.col("n") >= 3) & (F.col("d") >= F.coalesce("before", F.lit(-2.0))) & (F.col("d") >= F.coalesce("after", F.lit(-2.0)))
+    rows = rows.withColumn("peak", F.coalesce(peak, F.lit(False)))
+    run = F.count_if("peak").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("run", run).where("run > 0")
+    own = Window.partitionBy(study, "run")
+    rows = rows.withColumns({"top": F.max(F.when(F.col("peak"), F.col("d"))).over(own), "low": F.min("d").over(own)})
+    falls = F.col("low") < F.col("top") - sensitivity / (F.col("n") - 1)
+    peaks = rows.where("peak").withColumn("falls", falls)
+    best = Window.partitionBy(study).orderBy(F.desc("falls"), F.when(F.col("falls"), F.col("place")), F.desc("place"))
+    return peaks.withColumn("r", F.row_number().over(best)).where("r = 1").select(study, "number", "v0", "v1", F.round("d", 9).alias("rise"))

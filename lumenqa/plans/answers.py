@@ -157,5 +157,4 @@ union all select doc_id, 'test' as part from (select doc_id, row_number() over (
 sql("kb_export", """
 select c.c_custkey as config, coalesce(avg(o.o_totalprice), c.c_acctbal) as average, coalesce(max(o.o_totalprice), c.c_acctbal) as best, coalesce(min(o.o_totalprice), c.c_acctbal) as worst, count(o.o_orderkey) as evaluations
 from {customer} c left join {orders} o on o.o_custkey = c.c_custkey group by c.c_custkey, c.c_acctbal""".replace("coalesce(avg(o.o_totalprice), c.c_acctbal)", "round(coalesce(avg(o.o_totalprice), c.c_acctbal), 6)"))
-sql("text_to_bool", "select event_id, case when event_type in ('view', 'click') then true else false end as flag from {events}")
 sql("html_title", r"select page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) as title from {pages}")

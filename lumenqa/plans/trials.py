@@ -22,12 +22,6 @@ def part_trials(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("study"), F.col("p_partkey").alias("number"), F.col("p_retailprice").alias("v0"), F.col("p_size").cast("double").alias("v1"))
 
 
-sql("trials_completed", """
-with t as (select event_type as study, event_id, value, user_id % 10 as ok, event_id % 13 = 0 as failed from {events}),
-     m as (select *, max(ok) over () as most from t)
-select study, event_id, round(value, 4) as value from m where not failed and value is not null and ok / cast(most as double) >= 0.9""")
-sql("trials_failed", "select event_id, event_type from {events} where event_id % 13 = 0")
-sql("study_names", "select n_name as study from {nation} where regexp_like(n_name, '^(?:A|C|I).*') and not regexp_like(n_name, '^(?:.*IA)') order by 1", "select n_name as study from nation where regexp_matches(n_name, '^(?:A|C|I).*') and not regexp_matches(n_name, '^(?:.*IA)') order by 1")
 sql("trial_curves", """
 select event_type as study, event_id, row_number() over w as number, round(sum(value) over w, 4) as total, max(value) over w as best, min(value) over w as least
 from {events} window w as (partition by event_type order by ts, event_id rows between unbounded preceding and current row)""")
@@ -39,7 +33,7 @@ select event_type as study, number, round(mean, 6) as mean, n from (
          count(value) over (partition by event_type order by ts, event_id rows between 99 preceding and current row) as n
   from {events}) r where number > 0 and number % 10 = 0""")
 sql("fraction_of_best", f"select study, number, round(v0 / max(v0) over (partition by study), 9) as share from {_TRIALS}")
-sql("group_quantiles", f"select study, number, ntile(4) over (partition by study order by v0, number) as quarter from {_TRIALS}")
+sql("group_quarters", f"select study, number, ntile(4) over (partition by study order by v0, number) as quarter from {_TRIALS}")
 
 
 @query(f"with t as {_DUCK['t']} select study, number, v0, v1 from {_FRONT}")
@@ -93,12 +87,6 @@ with m as (select l_returnflag as study, l_linestatus as status, l_linenumber as
 select a.study as study_a, b.study as study_b, a.status, a.line, a.q as q_a, b.q as q_b from m a join m b on a.status = b.status and a.line = b.line and a.study < b.study""")
 sql("percentile_rank", f"""
 select study, number, round((rank() over (partition by study order by v1) + cast(count(*) over (partition by study, v1) - 1 as double) / 2) / count(*) over (partition by study), 9) as pct from {_PARTS}""")
-sql("study_stats", """
-select event_type as study, count(*) as trials, sum(case when event_id % 13 = 0 then 1 else 0 end) as failed, sum(case when user_id % 7 = 0 then 1 else 0 end) as seeds,
-       round(avg(value), 6) as mean, round(sum(value), 4) as cost, min(ts) as started from {events} group by event_type""", """
-select event_type as study, count(*) as trials, sum(case when event_id % 13 = 0 then 1 else 0 end)::bigint as failed, sum(case when user_id % 7 = 0 then 1 else 0 end)::bigint as seeds,
-       round(avg(value), 6) as mean, round(sum(value), 4) as cost, min(ts) as started from events group by event_type""")
-sql("exception_stats", "select regexp_replace(coalesce(props, 'None'), '[0-9]+', 'd') as message, count(*) as n from {events} where event_type = 'error' group by 1 order by n desc, message limit 25", "select regexp_replace(coalesce(props, 'None'), '[0-9]+', 'd', 'g') as message, count(*) as n from events where event_type = 'error' group by 1 order by n desc, message limit 25")
 
 
 @query("""with e as (select min(p_size) as lo, max(p_size) as hi from part), b as (select p.*, greatest(1, ceil((p_size - lo) / ((hi - lo) / 10.0)))::int as bin from part p, e)
