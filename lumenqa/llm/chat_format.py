@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import map_batches, partitions
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 PIECES = "conv_id long, piece long, formatted string, mask_start array<long>, mask_end array<long>, last boolean"
@@ -115,7 +115,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     dealt = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition(partitions(turns.sparkSession), "conv_id")
     ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, PIECES)
+    return map_batches(ordered, run, PIECES)
 
 
 def _rows(rows: list[list]) -> pa.RecordBatch:
@@ -157,4 +157,4 @@ def digest_chats(pieces: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return pieces.mapInArrow(run, DIGEST)
+    return map_batches(pieces, run, DIGEST)

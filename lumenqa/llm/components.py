@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, remove, write_out
+from .shared import cut, map_batches, remove, write_out
 
 #: Edges that a task contracts at once; as few are left to one task.
 FOREST_EDGES = 1_000_000
@@ -47,7 +47,7 @@ def _forest(edges: DataFrame, loops: bool = False) -> DataFrame:
         if size:
             yield contract(held)
 
-    return edges.mapInArrow(run, "u long, v long")
+    return map_batches(edges, run, "u long, v long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import map_batches
+
 _WORD = re.compile(r"\w+")
 HITS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, passages long"
 
@@ -213,7 +215,7 @@ def item_statistics(benchmark: DataFrame) -> tuple[int, float, DataFrame]:
             rows = [(w, c) for x in counted for w, c in x.items()] + [(None, sum(x.values())) for x in counted if x]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "tf"])
 
-    counts = benchmark.select("text").mapInArrow(run, schema).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    counts = map_batches(benchmark.select("text"), run, schema).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     whole = counts.where("term is null").first()
     return (whole["df"], whole["total"] / whole["df"], counts.where("term is not null")) if whole else (0, 1.0, counts)
 
@@ -241,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
         need = spark.createDataFrame([(w,) for w in sorted(seen)], "term string")
         known = {r["term"]: r["df"] for r in df.join(need, "term").select("term", "df").collect()}
         sent.append(spark.sparkContext.broadcast(build_indexes(items, known, n_items, mean, p)))
-    return rows.mapInArrow(_searcher(sent, len(carry)), schema) if sent else spark.createDataFrame([], schema)
+    return map_batches(rows, _searcher(sent, len(carry)), schema) if sent else spark.createDataFrame([], schema)
 
 
 #: Characters of passages that a task holds while it goes through the indexes.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, map_batches
 from .words import mix
 
 UNKNOWN = "und"
@@ -195,7 +195,7 @@ def train(labelled: DataFrame, p: LanguageParams = LanguageParams(), key: str =
             n = len(sums)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(sums), p.dims).tolist()), pa.array(np.tile(np.arange(p.dims), n)), pa.array(np.concatenate(list(sums.values())).astype(np.int64))], ["lang", "dim", "total"])
 
-    totals = rows.select("text", "lang").mapInArrow(run, "lang string, dim long, total long").groupBy("lang", "dim").agg(F.sum("total").alias("total"))
+    totals = map_batches(rows.select("text", "lang"), run, "lang string, dim long, total long").groupBy("lang", "dim").agg(F.sum("total").alias("total"))
     table = totals.toArrow()
     labels = sorted(set(table["lang"].to_pylist()))
     matrix = np.zeros((len(labels), p.dims))
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names)
 
     names = schema.names
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

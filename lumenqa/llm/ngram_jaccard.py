@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import FOREST_EDGES, components
-from .shared import cut, join_hot, partitions, release
+from .shared import cut, join_hot, map_batches, partitions, release
 from .words import mix, shingle_sets
 
 K = 2
@@ -38,7 +38,7 @@ BASE_COUNT = 4
 #: Entries of the broadcast count table; the least count that has an entry rises until they fit.
 MAX_COUNTED = 500_000
 #: Tokens of a task that are counted at once.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Postings, or tokens of sets, that a task hands over at once.
 SENT_ROWS = 250_000
 #: Tokens whose lists span more components are indexed one by one still, but with each node's other tokens beside them.
@@ -114,7 +114,7 @@ def members(docs: DataFrame, p: JaccardParams, carry: tuple[str, ...] = ()) -> D
     rows = docs.select(F.col("doc_id").cast("long"), "text", *carry)
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n", "node", *BITS)), *rows.schema.fields[2:]])
     names = schema.names
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
@@ -152,22 +152,20 @@ def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
         if size:
             yield flush(held)
 
-    def merge(pdf):
-        import pandas as pd
-
-        once = [np.frombuffer(x, np.uint32) for x in pdf["once"]]
-        more = [np.frombuffer(x, np.uint32) for x in pdf["more"]]
+    def merge(rows: pa.Table) -> pa.Table:
+        column = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows[name]]
+        once, more = column("once", np.uint32), column("more", np.uint32)
         tokens = np.concatenate(once + more)
-        weights = np.concatenate([np.ones(sum(map(len, once)), np.int64)] + [np.frombuffer(x, np.int64) for x in pdf["times"]])
+        weights = np.concatenate([np.ones(sum(map(len, once)), np.int64)] + column("times", np.int64))
         order = np.argsort(tokens, kind="stable")
         tokens, weights = tokens[order], weights[order]
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         sums = np.add.reduceat(weights, first)
         keep = sums > BASE_COUNT
-        return pd.DataFrame({"token": tokens[first][keep].astype(np.int64), "count": sums[keep]})
+        return pa.table({"token": tokens[first][keep].astype(np.int64), "count": sums[keep]})
 
-    sent = docs.select("text").mapInArrow(run, "part int, once binary, more binary, times binary")
-    return sent.groupBy("part").applyInPandas(merge, "token long, count long")
+    sent = map_batches(docs.select("text"), run, "part int, once binary, more binary, times binary")
+    return sent.groupBy("part").applyInArrow(merge, "token long, count long")
 
 
 def order_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +222,7 @@ def postings(docs: DataFrame, p: JaccardParams, table: tuple[np.ndarray, np.ndar
             if size:
                 yield packed(out)
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n long, pos long")
+    return map_batches(docs.select("text"), run, "token long, node long, n long, pos long")
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -261,7 +259,7 @@ def shared_postings(rows: DataFrame) -> DataFrame:
             last = (leader, node[-1], told or (tail < 0 and last[2]))
 
     dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "n", "node", "pos")
-    return dealt.mapInArrow(run, "token long, node long, n long, pos long, lead long, lead_n long, lead_pos long")
+    return map_batches(dealt, run, "token long, node long, n long, pos long, lead long, lead_n long, lead_pos long")
 
 
 def _overlap(a_n, b_n, p: JaccardParams):
@@ -321,11 +319,11 @@ def token_sets(docs: DataFrame, people: DataFrame, nodes: DataFrame, p: JaccardP
     rows, named = whole.where("doc_id is not null"), wanted.where("doc_id is not null").select("doc_id")
     if wanted.count() <= MAX_SENT_NODES:
         sent = spark.sparkContext.broadcast(np.sort(named.toArrow()["doc_id"].to_numpy()))
-        out = rows.mapInArrow(lambda b: packed(b, sent.value), "node long, tokens binary")
+        out = map_batches(rows, lambda b: packed(b, sent.value), "node long, tokens binary")
     else:
-        out = rows.join(named, "doc_id").select("doc_id", "text").mapInArrow(packed, "node long, tokens binary")
+        out = map_batches(rows.join(named, "doc_id").select("doc_id", "text"), packed, "node long, tokens binary")
     if not wanted.where("doc_id is null").isEmpty():  # texts that only rows without an id carry
-        out = out.union(whole.where("doc_id is null").mapInArrow(packed, "node long, tokens binary"))
+        out = out.union(map_batches(whole.where("doc_id is null"), packed, "node long, tokens binary"))
     return cut(out.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
@@ -353,7 +351,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: JaccardParams) -> DataFrame:
         found = left.join(F.broadcast(pairs), "u").join(right.join(F.broadcast(pairs), "v"), ["u", "v"])
     else:
         found = pairs.join(left, "u").join(right, "v")
-    return found.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return map_batches(found.select("u", "v", "a", "b"), run, "u long, v long")
 
 
 def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:

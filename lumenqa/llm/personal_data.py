@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, map_batches
 
 # The kinds and their base patterns. The look-behinds and possessive repeats only keep them linear: a run that fails from its start fails from within.
 KINDS = ("email", "ip", "card", "phone")
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, p: BootstrapParams) -> DataFrame:
             cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(digests, pa.string()), pa.array(bases, pa.list_(pa.string())), pa.array(found, kind)], [c.split()[0] for c in FOUND.split("array<struct")[0].split(", ")])
 
-    return numbered.mapInArrow(run, FOUND)
+    return map_batches(numbered, run, FOUND)
 
 
 def discover(edges: DataFrame, p: BootstrapParams) -> DataFrame:

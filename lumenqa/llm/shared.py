@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,29 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
     sent = F.broadcast(table.where(hot).drop("size"))
     rest = rows.join(sent.select(key), key, "left_anti").join(table.where(~hot).drop("size"), key, "left")
     return rows.join(sent, key).unionByName(rest)
+
+
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by the worker at once.
+ARROW_ROWS = 2_500
+
+
+def map_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches of at most ARROW_ROWS rows, whose workers give back what they no longer use.
+
+    Lowers the session's rows per Arrow batch where it is larger; it is read when the plan is made, so it stays lowered.
+    """
+    spark, key = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+                give_back(0)
+
+    return rows.mapInArrow(lean, schema)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import map_batches
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 _BEGIN = "▁"
 #: Words whose counts a task remembers.
@@ -119,4 +121,4 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER, text: str = "text", key
                 tokens.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words_of, chars, tokens))], names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
