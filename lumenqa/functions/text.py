@@ -24,17 +24,35 @@ def tokens(text: Column) -> Column:
 def clean_answer(text: Column) -> Column:
     """Cut what follows a blank line, a rule or an explanation; strip blanks, full stops and one pair of quotes."""
     cut = F.regexp_replace(text, r"(?is)(\n\n|\n-|\n(Explanation|Reasoning|Context|Question):).*$", "")
-    stripped = F.trim(F.regexp_replace(F.trim(cut), r"\.+$", ""))
-    return F.regexp_replace(stripped, "(?s)^([\"'])(.*)\\1$", "$2")
+    blank = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    stripped = F.regexp_replace(blank(cut), r"\.+$", "")
+    return blank(F.regexp_replace(stripped, "(?s)^([\"'])(.*)\\1$", "$2"))
+
+
+# Answer marks, tried in order.
+_MARKS = ("Answer:", "答案:", "A:", "回答:")
+
+
+def _after_mark(text: Column, found: str, other: Column, flags: str = "") -> Column:
+    """What the pattern ``found`` takes after the first mark that text has, or another value."""
+    out = other
+    for mark in reversed(_MARKS):
+        pattern = f"(?i{flags}){mark}{found}"
+        out = F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1))).otherwise(out)
+    return out
 
 
 def extract_answer(text: Column) -> Column:
-    """What follows the first answer mark (marks tried in order), cleaned; the whole text if there is none."""
-    out = text
-    for mark in reversed(("Answer:", "答案:", "A:", "回答:")):
-        pattern = f"(?is){mark}\\s*(.*)"
-        out = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(out)
-    return clean_answer(F.regexp_replace(out, r"(?s), additional_kwargs=.*$", ""))
+    """What follows the first answer mark (marks tried in order), cleaned; the whole text if there is none; null stays null.
+
+    Of a completion object, the answer is the rest of a sentence in its text field.
+    """
+    field, quoted = r"(?s)text=[\"']([^\"']*)[\"']", r'(?s)text="((?:[^"\\]|\\.)*)"'
+    inner = F.regexp_extract(text, field, 1)
+    sentence = clean_answer(_after_mark(inner, r"\s*(.*?)(?=\.|$)", inner).cast("string"))
+    whole = _after_mark(text, r"\s*(.*)", F.when(text.rlike(quoted), F.trim(F.regexp_extract(text, quoted, 1))).otherwise(F.trim(text)), "s")
+    whole = clean_answer(F.trim(F.regexp_replace(whole, r"(?s), additional_kwargs=.*$", "")))
+    return F.when(F.contains(text, F.lit("CompletionResponse")) & text.rlike(field), sentence).otherwise(whole)
 
 
 def exact_match(prediction: Column, gold: Column) -> Column:
@@ -73,6 +91,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
+def text_likeness(a: Column, b: Column) -> Column:
+    """Jaccard of normalised word sets; 0 if a raw text is empty."""
+    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(jaccard(a, b))
+
+
+def reciprocal_rank(contexts: Column, gold: Column, gold_texts: Column) -> Column:
+    """1 over the rank of the first context that names a gold id, is over 0.8 like a gold text, or holds a gold entry; else 0."""
+    from .parsing import document_id
+
+    def hit(c: Column) -> Column:
+        by_id = (document_id(c) != "") & F.array_contains(gold, document_id(c))
+        return by_id | F.exists(gold_texts, lambda g: text_likeness(c, g) > 0.8) | F.exists(gold, lambda g: F.contains(c, g))
+
+    first = F.array_position(F.transform(contexts, hit), F.lit(True))
+    return F.when(first > 0, 1.0 / first).otherwise(0.0)
+
+
 def _longest_common(p: list[str], g: list[str]) -> int:
     """Length of the longest common subsequence, one big-integer step a word (Hyyro's bit-vector recurrence)."""
     places: dict[str, int] = {}

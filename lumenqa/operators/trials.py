@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def pareto_front(trials: DataFrame, study: str = "study") -> DataFrame:
@@ -38,13 +41,43 @@ def knee(trials: DataFrame, study: str = "study") -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
 
 
-def kendall(pairs: DataFrame, group: str, x: str, y: str, key: str) -> DataFrame:
-    """(group, tau, n): tau-b by a self-join within groups of bounded size; null where a side is constant."""
-    a = pairs.select(group, F.col(key).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya"))
-    b = pairs.select(group, F.col(key).alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    sx, sy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    sums = a.join(b, group).where("i < j").groupBy(group).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("p"), F.sum(F.abs(sy)).alias("q"), F.count(F.lit(1)).alias("n"))
-    return sums.select(group, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("s") / F.sqrt(F.col("p") * F.col("q"))).alias("tau"), "n")
+def _inversions(rank: np.ndarray) -> int:
+    """Pairs that stand in falling order, bit by bit from the highest: equal higher bits, a one before a zero."""
+    total = 0
+    for bit in range(max(1, int(rank.max(initial=0)).bit_length())):
+        prefix = rank >> (bit + 1)
+        order = np.argsort(prefix, kind="stable")
+        one, start = (rank[order] >> bit) & 1, np.searchsorted(prefix[order], prefix[order])
+        ones = np.concatenate(([0], np.cumsum(one)))
+        total += int(((ones[:-1] - ones[start])[one == 0]).sum())
+    return total
+
+
+def _tau(x: np.ndarray, y: np.ndarray) -> tuple[float | None, int]:
+    """(tau-b, number of pairs) in n log n steps."""
+    ties = lambda *keys: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(keys, 1), axis=0, return_counts=True)[1])
+    pairs = len(x) * (len(x) - 1) // 2
+    same_x, same_y, same = ties(x), ties(y), ties(x, y)
+    rank = np.unique(y, return_inverse=True)[1][np.lexsort((y, x))]
+    p, q = pairs - same_x, pairs - same_y
+    both = pairs - same_x - same_y + same - 2 * _inversions(rank)
+    return (both / float(np.sqrt(float(p) * float(q))) if p and q else None), pairs
+
+
+def kendall(pairs: DataFrame, group: str | list[str], x: str, y: str) -> DataFrame:
+    """(group, tau, n): tau-b of each group's rows and the number of its pairs; null where a side is constant, nulls left out.
+
+    A group's two columns are one task's, as numbers in Arrow; groups without a pair have no row.
+    """
+    groups = [group] if isinstance(group, str) else group
+    rows = pairs.select(*groups, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+
+    def run(key, table):
+        tau, n = _tau(table["_x"].to_numpy(), table["_y"].to_numpy())
+        return pa.table({**{g: pa.array([k.as_py()], table.schema.field(g).type) for g, k in zip(groups, key)}, "tau": pa.array([tau], pa.float64()), "n": pa.array([n], pa.int64())})
+
+    schema = StructType([*rows.schema.fields[: len(groups)], StructField("tau", DoubleType()), StructField("n", LongType())])
+    return rows.groupBy(*groups).applyInArrow(run, schema).where("n > 0")
 
 
 def bins(rows: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -141,8 +174,7 @@ def study_matrix(trials: DataFrame, setting: str, value: str, study: str = "stud
     """(study_a, study_b, tau): rank correlation of the medians of shared settings for every two studies of three or more pairs; 0 for a study itself."""
     medians = trials.groupBy(study, setting).agg(F.median(value).alias("v"))
     a, b = medians.select(F.col(study).alias("study_a"), setting, F.col("v").alias("x")), medians.select(F.col(study).alias("study_b"), setting, F.col("v").alias("y"))
-    both = a.join(b, setting).where("study_a <> study_b").withColumn("pair", F.struct("study_a", "study_b"))
-    found = kendall(both, "pair", "x", "y", setting).where("n >= 3").select("pair.study_a", "pair.study_b", "tau")
+    found = kendall(a.join(b, setting).where("study_a <> study_b"), ["study_a", "study_b"], "x", "y").where("n >= 3").drop("n")
     return found.union(trials.select(F.col(study).alias("study_a"), F.col(study).alias("study_b"), F.lit(0.0).alias("tau")).distinct())
 
 
@@ -163,3 +195,14 @@ def kneedle(trials: DataFrame, study: str = "study", sensitivity: float = 1.0) -
     peaks = rows.where("peak").withColumn("falls", falls)
     best = Window.partitionBy(study).orderBy(F.desc("falls"), F.when(F.col("falls"), F.col("place")), F.desc("place"))
     return peaks.withColumn("r", F.row_number().over(best)).where("r = 1").select(study, "number", "v0", "v1", F.round("d", 9).alias("rise"))
+
+
+def ucb(nodes: DataFrame, c: float = 1.414) -> DataFrame:
+    """nodes(node, parent, visits, value_sum) with ucb: mean value + c * sqrt(ln parent's visits / visits); infinite without visits.
+
+    A root, or a node whose parent has no visits, has its mean value.
+    """
+    above = nodes.select(F.col("node").alias("_node"), F.col("visits").alias("_above"))
+    mean = F.col("value_sum") / F.col("visits")
+    score = F.when(F.col("visits") == 0, F.lit(float("inf"))).when(F.coalesce("_above", F.lit(0)) == 0, mean).otherwise(mean + c * F.sqrt(F.log("_above") / F.col("visits")))
+    return nodes.join(above, F.col("parent") == F.col("_node"), "left").withColumn("ucb", score).drop("_node", "_above")

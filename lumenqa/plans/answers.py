@@ -21,6 +21,17 @@ def _words(column: str) -> str:
 
 
 _WORDED = f"(select conv_id, turn, question, prediction, {_words('question')} as g, {_words('prediction')} as p from {_PAIRS})"
+
+
+def _extracted(column: str) -> str:
+    """What follows the first answer mark, cleaned; the data has no completion objects."""
+    marked = " ".join(f"when regexp_matches({column}, '(?is){m}') then regexp_extract({column}, '(?is){m}\\s*(.*)', 1)" for m in ("Answer:", "答案:", "A:", "回答:"))
+    cut = rf"regexp_replace(case {marked} else {column} end, '(?s), additional_kwargs=.*$', '')"
+    ended = rf"regexp_replace({cut}, '(?is)(\n\n|\n-|\n(Explanation|Reasoning|Context|Question):).*$', '')"
+    return rf"regexp_replace(regexp_replace({ended}, '^\s+|\s+$', '', 'g'), '\.+$', '')"
+
+
+_ANSWERED = f"(select conv_id, turn, question, prediction, {_words('question')} as g, {_words(_extracted('prediction'))} as p from {_PAIRS})"
 _SAME = "list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x)))))"
 _F1 = f"case when len(p) = 0 or len(g) = 0 then (len(p) = len(g))::int::double else 2.0 * {_SAME} / (len(p) + len(g)) end"
 
@@ -37,7 +48,7 @@ def qa_pairs_from_turns(spark, sf_dir):
     return qa_pairs(spark, sf_dir)
 
 
-@query(f"select conv_id, count(*)::bigint as n, round(avg({_F1}), 6) as f1, round(avg((array_to_string(p, ' ') = array_to_string(g, ' '))::int), 6) as em from {_WORDED} group by conv_id")
+@query(f"select conv_id, count(*)::bigint as n, round(avg({_F1}), 6) as f1, round(avg((array_to_string(p, ' ') = array_to_string(g, ' '))::int), 6) as em from {_ANSWERED} group by conv_id")
 def answer_quality_report(spark, sf_dir):
     p, q = F.col("prediction"), F.col("question")
     return qa_pairs(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(T.token_f1(p, q)), 6).alias("f1"), F.round(F.avg(T.exact_match(p, q)), 6).alias("em"))
@@ -48,12 +59,12 @@ def answer_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
-@query(f"select conv_id, turn, (array_to_string(p, ' ') = array_to_string(g, ' '))::int::double as em from {_WORDED}")
+@query(f"select conv_id, turn, (array_to_string(p, ' ') = array_to_string(g, ' '))::int::double as em from {_ANSWERED}")
 def answer_exact_match(spark, sf_dir):
     return qa_pairs(spark, sf_dir).select("conv_id", "turn", T.exact_match(F.col("prediction"), F.col("question")).alias("em"))
 
 
-@query(f"select conv_id, turn, round({_F1}, 6) as f1 from {_WORDED}")
+@query(f"select conv_id, turn, round({_F1}, 6) as f1 from {_ANSWERED}")
 def answer_token_f1(spark, sf_dir):
     return qa_pairs(spark, sf_dir).select("conv_id", "turn", F.round(T.token_f1(F.col("prediction"), F.col("question")), 6).alias("f1"))
 
@@ -88,7 +99,7 @@ def supporting_fact_scores(spark, sf_dir):
 _TYPE = "case when contains(lower(question), 'when') and (contains(lower(question), 'die') or contains(lower(question), 'death')) then 'temporal_death' when contains(lower(question), 'who') and (contains(lower(question), 'mother') or contains(lower(question), 'father')) then 'family_relation' when contains(lower(question), 'where') then 'location' when contains(lower(question), 'what') then 'factual' when contains(lower(question), 'are') and contains(lower(question), 'both') then 'comparison' else 'other' end"
 
 
-@query(f"select {_TYPE} as qtype, count(*)::bigint as n, round(avg({_F1}), 6) as f1 from {_WORDED} group by 1")
+@query(f"select {_TYPE} as qtype, count(*)::bigint as n, round(avg({_F1}), 6) as f1 from {_ANSWERED} group by 1")
 def question_type_report(spark, sf_dir):
     rows = qa_pairs(spark, sf_dir).select(T.question_type(F.col("question")).alias("qtype"), T.token_f1(F.col("prediction"), F.col("question")).alias("f1"))
     return rows.groupBy("qtype").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 6).alias("f1"))
@@ -112,7 +123,7 @@ def numbered_list_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.numbered_items(listed).alias("items"))
 
 
-@query(f"select count(*)::bigint as n, round(coalesce(avg({_F1}), 0), 6) as f1, round(coalesce(sum({_F1} * (turn + 1)) / sum(turn + 1), 0), 6) as weighted_f1, round(avg(case when conv_id % 10 < 7 then {_F1} end), 6) as train_f1, round(avg(case when conv_id % 10 >= 7 then {_F1} end), 6) as test_f1 from {_WORDED}")
+@query(f"select count(*)::bigint as n, round(coalesce(avg({_F1}), 0), 6) as f1, round(coalesce(sum({_F1} * (turn + 1)) / sum(turn + 1), 0), 6) as weighted_f1, round(avg(case when conv_id % 10 < 7 then {_F1} end), 6) as train_f1, round(avg(case when conv_id % 10 >= 7 then {_F1} end), 6) as test_f1 from {_ANSWERED}")
 def metric_summary(spark, sf_dir):
     rows = qa_pairs(spark, sf_dir).select("conv_id", (F.col("turn") + 1).alias("w"), T.token_f1(F.col("prediction"), F.col("question")).alias("f1"))
     train = F.col("conv_id") % 10 < 7
@@ -153,7 +164,7 @@ sql("context_to_map", "select conv_id, count(*) as turns, max(case when role = '
 sql("line_counts", "select source, count(*) as records, cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines from {documents} group by source")
 sql("merge_selected_and_test", """
 select doc_id, 'selected' as part from {documents} where doc_id % 5 = 0
-union all select doc_id, 'test' as part from (select doc_id, row_number() over (order by doc_id desc) as r from {documents}) t where r <= 200""")
+union all select doc_id, 'test' as part from (select doc_id from {documents} order by doc_id desc limit 200) t""")
 sql("kb_export", """
 select c.c_custkey as config, coalesce(avg(o.o_totalprice), c.c_acctbal) as average, coalesce(max(o.o_totalprice), c.c_acctbal) as best, coalesce(min(o.o_totalprice), c.c_acctbal) as worst, count(o.o_orderkey) as evaluations
 from {customer} c left join {orders} o on o.o_custkey = c.c_custkey group by c.c_custkey, c.c_acctbal""".replace("coalesce(avg(o.o_totalprice), c.c_acctbal)", "round(coalesce(avg(o.o_totalprice), c.c_acctbal), 6)"))

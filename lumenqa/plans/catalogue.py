@@ -1,4 +1,4 @@
 """All queries of the library, by name, with their SQL; importing the modules registers them."""
 
-from . import answers, retrieval, studies, trials  # noqa: F401
+from . import answers, records, retrieval, studies, trials  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

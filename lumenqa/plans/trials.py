@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import trials as T
+from ..operators.order import rolling, running
 from ..sources.tables import table
 from .base import query, sql
 
@@ -22,18 +23,49 @@ def part_trials(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("study"), F.col("p_partkey").alias("number"), F.col("p_retailprice").alias("v0"), F.col("p_size").cast("double").alias("v1"))
 
 
-sql("trial_curves", """
+sql("group_quarters", f"select study, number, ntile(4) over (partition by study order by v0, number) as quarter from {_TRIALS}")
+
+
+@query("""
 select event_type as study, event_id, row_number() over w as number, round(sum(value) over w, 4) as total, max(value) over w as best, min(value) over w as least
-from {events} window w as (partition by event_type order by ts, event_id rows between unbounded preceding and current row)""")
-sql("wall_clock", "select event_id, cast((unix_micros(cast(ts as timestamp)) - min(unix_micros(cast(ts as timestamp))) over (partition by event_type)) / 1000000 as bigint) as seconds from {events}", "select event_id, ((epoch_us(ts) - min(epoch_us(ts)) over (partition by event_type)) // 1000000)::bigint as seconds from events")
-sql("rolling_window_mean", """
+from events window w as (partition by event_type order by ts, event_id rows between unbounded preceding and current row)""")
+def trial_curves(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("study"), "ts", "event_id", "value")
+    curves = running(rows, "study", ["ts", "event_id"], {"number": ("count", "event_id"), "total": ("sum", "value"), "best": ("max", "value"), "least": ("min", "value")})
+    return curves.select("study", "event_id", "number", F.round("total", 4).alias("total"), "best", "least")
+
+
+@query("select event_id, ((epoch_us(ts) - min(epoch_us(ts)) over (partition by event_type)) // 1000000)::bigint as seconds from events")
+def wall_clock(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    start = rows.groupBy("event_type").agg(F.min("at").alias("began"))  # one row a study
+    return rows.join(start, "event_type").select("event_id", F.floor((F.col("at") - F.col("began")) / 1_000_000).cast("long").alias("seconds"))
+
+
+@query("""
 select event_type as study, number, round(mean, 6) as mean, n from (
   select event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as number,
          avg(value) over (partition by event_type order by ts, event_id rows between 99 preceding and current row) as mean,
          count(value) over (partition by event_type order by ts, event_id rows between 99 preceding and current row) as n
-  from {events}) r where number > 0 and number % 10 = 0""")
-sql("fraction_of_best", f"select study, number, round(v0 / max(v0) over (partition by study), 9) as share from {_TRIALS}")
-sql("group_quarters", f"select study, number, ntile(4) over (partition by study order by v0, number) as quarter from {_TRIALS}")
+  from events) r where number > 0 and number % 10 = 0""")
+def rolling_window_mean(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("study"), "ts", "event_id", "value")
+    means = rolling(rows, "study", ["ts", "event_id"], "value", 100).where("number > 0 and number % 10 = 0")
+    return means.select("study", "number", F.round("mean", 6).alias("mean"), "n")
+
+
+@query(f"select study, number, round(v0 / max(v0) over (partition by study), 9) as share from {_DUCK['t']}")
+def fraction_of_best(spark, sf_dir):
+    rows = order_trials(spark, sf_dir)
+    best = rows.groupBy("study").agg(F.max("v0").alias("best"))  # one row a study
+    return rows.join(best, "study").select("study", "number", F.round(F.col("v0") / F.col("best"), 9).alias("share"))
+
+
+@query("""with o as (select p_partkey as id, p_retailprice as y, p_size as x from part), j as (select sign(a.x - b.x) as dx, sign(a.y - b.y) as dy from o a join o b on a.id < b.id)
+select 'p_size' as param, round(sum(dx * dy) / sqrt(sum(abs(dx)) * sum(abs(dy))), 9) as tau from j""")
+def param_correlation(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("param", F.lit("p_size"))
+    return T.kendall(rows, "param", "p_size", "p_retailprice").select("param", F.round("tau", 9).alias("tau"))
 
 
 @query(f"with t as {_DUCK['t']} select study, number, v0, v1 from {_FRONT}")
@@ -79,7 +111,7 @@ def distance_to_front(spark, sf_dir):
 @query(f"""with t as {_DUCK['p']}, j as (select a.study, sign(a.v0 - b.v0) as x, sign(a.v1 - b.v1) as y from t a join t b on a.study = b.study and a.number < b.number)
 select study, round(sum(x * y) / sqrt(sum(abs(x)) * sum(abs(y))), 9) as tau, count(*)::bigint as n from j group by study""")
 def study_similarity_kendall(spark, sf_dir):
-    return T.kendall(part_trials(spark, sf_dir), "study", "v0", "v1", "number").withColumn("tau", F.round("tau", 9))
+    return T.kendall(part_trials(spark, sf_dir), "study", "v0", "v1").withColumn("tau", F.round("tau", 9))
 
 
 sql("study_medians", """
@@ -119,14 +151,16 @@ select study, best, at_cost, cheapest from r
 union all select 'average', round(case when count(*) = count(best) then avg(best) end, 6), round(case when count(*) = count(at_cost) then avg(at_cost) end, 6), round(case when count(*) = count(cheapest) then avg(cheapest) end, 6) from r""")
 sql("subspace_bounds", "select p_brand, min(p_size) as least_size, max(p_size) as most_size, count(distinct p_type) as types, min(p_retailprice) as least_price, max(p_retailprice) as most_price from {part} group by p_brand")
 sql("space_cardinality", "with d as (select count(distinct p_brand) as a, count(distinct p_type) as b, count(distinct p_size) as c from {part}) select a * b * c as combined, a + b + c as total from d")
-sql("param_correlation", """
-with o as (select p_partkey as id, p_retailprice as y, p_size as x, p_brand from {part} where p_partkey <= 400),
-     j as (select sign(a.x - b.x) as dx, sign(a.y - b.y) as dy from o a join o b on a.id < b.id)
-select 'p_size' as param, round(sum(dx * dy) / sqrt(sum(abs(dx)) * sum(abs(dy))), 9) as tau from j""".replace(" where p_partkey <= 400", ""))
-sql("ucb_scores", """
-with n as (select event_type as parent, user_id % 10 as child, count(*) as visits, sum(value) as total from {events} group by event_type, user_id % 10),
-     p as (select *, sum(visits) over (partition by parent) as all_visits from n)
-select parent, child, round(total / visits + 1.414 * sqrt(ln(cast(all_visits as double)) / visits), 6) as ucb from p""")
+_TREE = """(select event_type || '/' || user_id % 10 as node, event_type as parent, count(*) as visits, sum(value) as value_sum from {events} group by 1, 2
+  union all select event_type || '/new', event_type, 0, 0.0 from {events} group by event_type union all select event_type, null, count(*), sum(value) from {events} group by event_type)"""
+
+
+@query(f"with n as {_TREE.replace('{events}', 'events')} select n.node, case when n.visits = 0 then 'infinity'::double when p.visits is null then round(n.value_sum / n.visits, 6) else round(n.value_sum / n.visits + 1.414 * sqrt(ln(p.visits::double) / n.visits), 6) end as ucb from n left join n p on p.node = n.parent")
+def ucb_scores(spark, sf_dir):
+    nodes = spark.sql(f"select * from {_TREE}", events=table(spark, sf_dir, "events"))
+    return T.ucb(nodes).select("node", F.when(F.col("visits") == 0, F.col("ucb")).otherwise(F.round("ucb", 6)).alias("ucb"))
+
+
 sql("best_path", """
 with n as (select event_type, user_id % 10 as bucket, count(*) as visits from {events} group by event_type, user_id % 10),
      r as (select *, row_number() over (partition by event_type order by visits desc, bucket) as place from n)
