@@ -64,8 +64,8 @@ def _tau(x: np.ndarray, y: np.ndarray) -> tuple[float | None, int]:
     return (both / float(np.sqrt(float(p) * float(q))) if p and q else None), pairs
 
 
-def kendall(pairs: DataFrame, group: str | list[str], x: str, y: str) -> DataFrame:
-    """(group, tau, n): tau-b of each group's rows and the number of its pairs; null where a side is constant, nulls left out.
+def kendall(pairs: DataFrame, group: str | list[str], x: str, y: str, key: str | None = None) -> DataFrame:
+    """(group, tau, n): tau-b of each group's rows and the number of its pairs; null where a side is constant, nulls left out. No key of the rows is needed; one may be named.
 
     A group's two columns are one task's, as numbers in Arrow; groups without a pair have no row.
     """
