@@ -86,7 +86,8 @@ def copies() -> Column:
 def mix_report(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs(doc_id, source, text, ...).
 
-    Null texts have size 0, a null source is a source, rows that repeat a doc_id are drawn alike, an empty table gives no rows.
+    Null and empty texts have size 0, a null source is a source, rows that repeat a doc_id are drawn alike, a null doc_id as 0; of
+    seeds that come equally near the target the first is taken; texts of any length are counted whole; an empty table gives no rows.
     """
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     out = _with_sources(rows, source_plan(rows, p))
@@ -94,7 +95,10 @@ def mix_report(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """docs with every row as often as the mix takes it; the columns stay, whatever else they are called."""
+    """docs with every row as often as the mix takes it; the columns stay, whatever else they are called.
+
+    Nulls, ties, repeated rows and very long texts count as in mix_report; an empty table stays empty.
+    """
     names = docs.columns
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # keeps clear of names that clash

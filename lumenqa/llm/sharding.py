@@ -37,7 +37,11 @@ def _jump(keys: pd.Series, shards: pd.Series) -> pd.Series:
 
 
 def with_shards(docs: DataFrame, shards: int, key: str = "doc_id", name: str = "shard") -> DataFrame:
-    """docs with the shard of every row, from its key and the number of shards alone. A null key counts as key 0."""
+    """docs with the shard of every row, from its key (a whole number) and the number of shards alone.
+
+    A null key counts as key 0; rows that share a key share its shard; a column of that name is replaced; an empty table
+    stays empty.
+    """
     if shards < 1:
         raise ValueError("at least one shard")
     return docs.withColumn(name, _jump(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(shards)))
@@ -70,7 +74,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs(doc_id, text, ...).
 
     size: UTF-8 bytes of the text plus 1, a null text has none (and the checksum of the empty text). The law is ``key``: rows with one doc_id are in
-    one shard, a null doc_id counts as 0 and stays null; grown_shard is the shard if there were one more. An empty table gives no rows.
+    one shard, a null doc_id counts as 0 and stays null; grown_shard is the shard if there were one more. Rows that agree in all
+    three have slots in any order; texts of any length are taken whole; an empty table gives no rows. Other columns are not read.
     """
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -80,7 +85,11 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, files: int | None = None) -> None:
-    """Write docs as Parquet, one folder a shard; each shard's rows are spread over tasks by their key."""
+    """Write docs as Parquet, one folder a shard; each shard's rows are spread over tasks by their key.
+
+    Null, empty and very long texts are written as they are, repeated rows as often as they occur, a null doc_id as key 0;
+    a column ``shard`` is replaced; an empty table writes no row.
+    """
     spread = with_shards(docs, shards)
     spread = spread.repartition(files or partitions(docs.sparkSession), "shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     spread.write.partitionBy("shard").parquet(path)

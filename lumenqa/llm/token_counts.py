@@ -91,7 +91,8 @@ class Automaton:
 def count_tokens(docs: DataFrame, path: str = TOKENIZER, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_chars, n_tokens) of every row; words are separated by Unicode white space.
 
-    Null and empty texts have 0; repeated rows are alike; an empty table gives no rows. The tokenizer file is read on the driver, and the
+    Null and empty texts have 0; a null key stays null; texts of any length are counted whole; repeated rows are alike; an
+    empty table gives no rows. Other columns are not read. The tokenizer file is read on the driver, and the
     automaton, whose size the vocabulary bounds, is sent to the tasks.
     """
     machine = Automaton(vocabulary(path))
