@@ -12,12 +12,14 @@ question and of its answer. Lists and blocks are stored without their gaps, so a
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,26 +242,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
         if not items:
             continue
         seen = {w for _, t in items for w in terms(t)}
-        need = spark.createDataFrame([(w,) for w in sorted(seen)], "term string")
+        need = spark.createDataFrame(pa.table({"term": pa.array(sorted(seen), pa.string())}))
         known = {r["term"]: r["df"] for r in df.join(need, "term").select("term", "df").collect()}
-        sent.append(spark.sparkContext.broadcast(build_indexes(items, known, n_items, mean, p)))
+        sent.append(spark.sparkContext.broadcast(cloudpickle.dumps(build_indexes(items, known, n_items, mean, p))))  # with its classes: executors have no copy of them
     return map_batches(rows, _searcher(sent, len(carry)), schema) if sent else spark.createDataFrame([], schema)
 
 
 #: Characters of passages that a task holds while it goes through the indexes.
-HELD_CHARS = 4_000_000
+HELD_CHARS = 1_000_000
 
 
 def _searcher(sent: list, carried: int):
-    def search(batch: pa.RecordBatch):
+    def indexes():
+        for one in sent:
+            yield pickle.loads(one.value)
+            one.__dict__.pop("_value", None)  # read again from the local copy for the next passages
+
+    def search(batch: pa.RecordBatch, only: list | None):
         texts = [terms(x.as_py()) for x in batch.column(1)]
         found = []
-        for one in sent:
-            for index in one.value:
+        for block in [only] if only is not None else indexes():
+            for index in block:
                 for i, words in enumerate(texts):
                     found += [(i, item, *x) for item, x in sorted(index.hits(words).items(), key=lambda x: (x[0] is None, x[0] or 0))]
-            if len(sent) > 1:
-                one.__dict__.pop("_value", None)  # read again from the local copy for the next passages
         found.sort(key=lambda x: x[0])
         cols = list(zip(*found)) or [()] * 6
         rows = pa.array(cols[0], pa.int64())
@@ -268,14 +273,15 @@ def _searcher(sent: list, carried: int):
         return pa.RecordBatch.from_arrays(hits, ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "passages", *batch.schema.names[2:]])
 
     def run(batches):
+        only = next(indexes()) if len(sent) == 1 else None  # a single index stays for the whole task
         for batch in batches:
             start, size = 0, 0
             for i, text in enumerate(batch.column(1)):
                 size += len(text.as_buffer())
                 if size >= HELD_CHARS:
-                    yield search(batch.slice(start, i + 1 - start))
+                    yield search(batch.slice(start, i + 1 - start), only)
                     start, size = i + 1, 0
             if start < batch.num_rows:
-                yield search(batch.slice(start))
+                yield search(batch.slice(start), only)
 
     return run

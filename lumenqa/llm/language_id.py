@@ -21,7 +21,7 @@ from .words import mix
 
 UNKNOWN = "und"
 #: Distinct n-grams whose vectors are made at once, and characters of a long text that are counted at once.
-GRAMS = 4096
+GRAMS = 2048
 PART = 200_000
 #: Labels whose shares are broadcast; beyond it, they are joined by a shuffle.
 MAX_SENT_LABELS = 100_000
@@ -134,7 +134,7 @@ def bundles(texts: list[str | None], p: LanguageParams) -> tuple[np.ndarray, np.
     return has, out
 
 
-def _pieces(column: pa.Array, budget: int = 400_000) -> Iterator[tuple[int, list[str | None]]]:
+def _pieces(column: pa.Array, budget: int = 200_000) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of rows of about as many characters in all, so that a batch of long texts stays small."""
     start, held, size = 0, [], 0
     for i, value in enumerate(column):

@@ -38,9 +38,9 @@ BASE_COUNT = 4
 #: Entries of the broadcast count table; the least count that has an entry rises until they fit.
 MAX_COUNTED = 500_000
 #: Tokens of a task that are counted at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Postings, or tokens of sets, that a task hands over at once.
-SENT_ROWS = 250_000
+SENT_ROWS = 100_000
 #: Tokens whose lists span more components are indexed one by one still, but with each node's other tokens beside them.
 SMALL_COMPONENTS = 8
 #: Tokens whose lists span more components are frequent: they are indexed in combinations.
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, p: JaccardParams, total: int) -> DataFrame:
     A token is here the upper 32 bits of its hash. Tasks send sorted distinct tokens in one binary value for each of
     many token ranges, so that a hot token costs one entry a task.
     """
-    ranges = max(16, 1 << (total // 2_000_000).bit_length())
+    ranges = max(16, 1 << (total // 1_000_000).bit_length())
     shift = 32 - (ranges.bit_length() - 1)
 
     def flush(held: list[np.ndarray]):
@@ -505,7 +505,7 @@ def ngram_jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(),
     spark: SparkSession = docs.sparkSession
     people = cut(members(docs, p, carry))
     rows, total = people.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    empty = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("node", "component")]))
+    empty = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     labels = _node_components(docs, people, p, total) if total else empty
     nodes = people.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     nodes = cut(nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
-SEGMENT = 1 << 20
+CHUNK_BYTES = 1 << 19
+SEGMENT = 1 << 18
 _RADIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses modulo 2**64
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
