@@ -200,6 +200,9 @@ def content(root: Node) -> list[Node]:
     if best.tag not in _BLOCKS or best.tag in ("p", "li", "tr", "td"):
         best = next((x for x in path if x.tag in _BLOCKS and x.tag not in ("p", "li", "tr", "td")), root)
     threshold = least(path[path.index(best) :])
+    for x in _outermost(best, "article"):  # cards that lead to other articles
+        if x is not best and 2 * x.link_chars >= x.chars:
+            x.parent.children.remove(x)
     chosen = {id(best)}
     at = best
     while at.parent is not None and at.tag != "body":
