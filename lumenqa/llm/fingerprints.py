@@ -68,7 +68,8 @@ def _sums(digests: Column) -> Column:
 
     def whole(x: Column) -> Column:
         n = F.size(x["a"])
-        run = lambda i: _run_lanes(F.slice(x["a"], i * RUN + 1, RUN), F.slice(x["b"], i * RUN + 1, RUN))
+        part = lambda i: F.struct(F.slice(x["a"], i * RUN + 1, RUN).alias("a"), F.slice(x["b"], i * RUN + 1, RUN).alias("b"))
+        run = lambda i: _once(part(i), lambda y: _run_lanes(y["a"], y["b"]))
         runs = F.aggregate(F.sequence(F.lit(1), F.floor((n - 1) / RUN).cast("int")), run(F.lit(0)), lambda total, i: add(total, run(i)))
         lanes = F.when(n <= RUN, _run_lanes(x["a"], x["b"])).otherwise(runs)
         return F.concat(lanes, F.array(residue(x["a"]), residue(x["b"]), n.cast("long")))
@@ -116,7 +117,7 @@ def likeness(a: Column, b: Column) -> Column:
     def cosine(pair: Column) -> Column:
         x, y = pair["x"], pair["y"]
         norm = F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))
-        return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(x, y), norm))), F.lit(0.0))
+        return F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(x, y), norm)))).otherwise(0.0)  # least() skips nulls
 
     lanes = F.struct(F.slice(a, 1, LANES).alias("x"), F.slice(b, 1, LANES).alias("y"))
     return F.when(a == b, F.lit(1.0)).otherwise(F.round(_once(lanes, cosine), 9))
