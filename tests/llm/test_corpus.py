@@ -561,12 +561,12 @@ def test_secrets(spark):
     import os
 
     hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
-    rows = [(i, f'word{i} token = "{hexed(i)}" other{i}', None, None) for i in range(12)] + [(i, f"seen {hexed(i)} alone{i}", None, None) for i in range(20, 24)]
-    rows += [(30, "api_key=Zx81-9920-77 and password: short1", None, None), (31, "id 4444333322221111 of nothing", None, None), *ODD]
+    rows = [(i, f'word{i} token = "{hexed(i)}" other{i}', None, None) for i in range(100, 145)] + [(i, f"seen {hexed(i)} alone{i}", None, None) for i in range(150, 154)]
+    rows += [(60, "api_key=Zx81-9920-77 and password: short1", None, None), (61, "id 4444333322221111 of nothing", None, None), *ODD]
     got = {r["doc_id"]: r for r in personal_data.find_personal_data(docs(spark, rows)).collect()}
-    for i, t, *_ in rows[:16]:
+    for i, t, *_ in rows[:49]:
         assert got[i]["spans"] == f"id:{t.index(hexed(i))}:{t.index(hexed(i)) + 40}"
-    assert got[30]["spans"] == "id:8:20" and got[31]["spans"] == ""
+    assert got[60]["spans"] == "id:8:20" and got[61]["spans"] == ""
     if os.path.isdir("/root/testdata/sf0.1"):
         whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
         planted = {(r["doc_id"], m.start(1)) for r in whole.select("doc_id", "text").where("text like '%token = %'").collect() for m in re.finditer('token = "([0-9a-f]{40})"', r["text"])}
@@ -683,7 +683,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     rows += [(1, a, "en", "s0"), (1, a, "en", "s0"), (1, text(40), "en", "s0"), (None, a + " more", "en", "s1"), (2, a + " again", "en", None)]
     rows += [(None, b, "en", "s1"), (None, b + " x", None, "s1"), (3, c, "en", "s2"), (4, c, "en", "s2"), (4, d, "en", "s2"), (None, None, None, None), (None, "", "en", "s0")]
     rows += [(5, leak(0), "en", "s0"), (5, text(45), "en", "s0"), (None, leak(1), "en", "s0"), (None, text(44), "en", "s0"), (6, leak(4), "en", "s1"), (7, "12 34 !", "en", "s1")]
-    names = [*CLASHES, "shard", "lang_pred"]
+    names = [*CLASHES, "shard"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in names)
     full = [(*x, n, *[f"{n}"] * len(names)) for n, x in enumerate(rows)]
     spark.createDataFrame(full, schema).write.parquet(str(tmp_path / "documents.parquet"))
@@ -700,7 +700,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     numbers = {x["n_chars"] for x in got.collect()}
     assert numbers and all(sum(n in group for n in numbers) <= 1 for group in want) and numbers <= {n for group in want for n in group}
     for x in got.collect():
-        assert x["_dropped"] == str(x["n_chars"]) == x["lang_pred"] and (x["doc_id"], x["text"]) == rows[x["n_chars"]][:2]
+        assert x["_dropped"] == str(x["n_chars"]) == x["LANG_PRED"] and (x["doc_id"], x["text"]) == rows[x["n_chars"]][:2]
         assert x["size"] == len(x["text"].encode()) + 1 and x["shard"] == sharding.jump_hash(np.array([x["doc_id"] or 0]), 8)[0]
     words = lambda n: len(rows[n][1].split())
     sizes = {}
