@@ -74,7 +74,7 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by the worker at once.
-ARROW_ROWS = 2_500
+ARROW_ROWS = 1_000
 
 
 def map_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
