@@ -569,7 +569,7 @@ def test_secrets(spark):
     assert got[60]["spans"] == "id:8:20" and got[61]["spans"] == ""
     if os.path.isdir("/root/testdata/sf0.1"):
         whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-        planted = {(r["doc_id"], m.start(1)) for r in whole.select("doc_id", "text").where("text like '%token = %'").collect() for m in re.finditer('token = "([0-9a-f]{40})"', r["text"])}
+        planted = {(r["doc_id"], m.start(1)) for r in whole.select("doc_id", "text").where("lower(text) like '%token = %'").collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r["text"])}
         spans = personal_data.find_personal_data(whole).where("n_id > 0").select("doc_id", "spans").collect()
         found = {(r["doc_id"], int(x.split(":")[1])) for r in spans for x in r["spans"].split(",") if x.startswith("id:")}
         assert len(planted & found) >= 0.9 * len(planted) > 0 and len(found - planted) <= 0.05 * len(found)
