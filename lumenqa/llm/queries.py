@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, fingerprints, html_text, language_id, mixing, ngram_jaccard, personal_data, sharding, token_counts
+from . import chat_format, decontamination, fingerprints, html_text, language_id, mixing, ngram_jaccard, personal_data, prefix_trie, sharding, suffix_dedup, token_alignment, token_counts
 from .shared import load
 from .sql import ORACLES  # noqa: F401  (part of this module's interface)
 
@@ -52,6 +52,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(load(spark, sf_dir, "documents"), ngram_jaccard.JaccardParams(4, 85, 100))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(load(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,6 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_text, op2_token_counts, op3_language_id, op4_chat_format, op5_sharding, op6_mixing,
-        op7_fingerprints, op8_decontamination, op9_personal_data, op10_ngram_jaccard, pipeline,
+        op7_fingerprints, op8_decontamination, op9_personal_data, op10_ngram_jaccard,
+        op11_token_alignment, op12_suffix_dedup, op13_prefix_trie, pipeline,
     )
 }

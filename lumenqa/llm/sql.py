@@ -89,4 +89,39 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesc
 from d left join n on n.doc_id = d.doc_id left join (select u, min(v) as least from r group by u) m on m.u = d.doc_id
 """
 
-ORACLES = {"op4_chat_format": OP4, "op6_mixing": OP6, "op7_fingerprints": OP7, "op10_ngram_jaccard": OP10}
+OP12 = """
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+n as (select *, octet_length(b)::bigint as n from d),
+p as (select r, b, unnest(range(0, n - 199)) as i from n where n >= 200),
+w as (select r, i, count(*) over (partition by b[i + 1 : i + 200]) as often from p),
+e as (select r, i, i > coalesce(lag(i) over (partition by r order by i) + 200, -1) as new from w where often > 1),
+g as (select r, i, sum(new::int) over (partition by r order by i) as g from e),
+s as (select r, min(i) as a, max(i) + 200 as z from g group by r, g),
+k as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) as from_, row_number() over (partition by r order by a desc) as back from s),
+h as (select k.r, sum(z - a)::bigint as n_removed, count(*)::bigint as n_spans,
+        string_agg(hex(b[from_ + 1 : a]), '' order by a) || any_value(hex(b[z + 1 : n])) filter (where back = 1) as kept from k join n on n.r = k.r group by k.r)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(case when h.r is null then b else unhex(kept) end) as kept_sha256
+from n left join h on h.r = n.r
+"""
+
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, 8 * length(c::varchar)), lambda k: (case when k % 8 = 0 then ord(substr(c::varchar, (k // 8 + 1)::int, 1)) else 0 end)::bigint)),
+        lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+OP13 = f"""
+with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n from conversations where conv_id is not null),
+s as (select c, count(*) as n, {_CRC} % 4 as h, c - c % 20 as b from t group by c),
+u as (select s.c, t.n as d, t.role, t.text from s join t on t.c = s.b and t.n <= s.h
+      union all select s.c, t.n - s.h + least(s.h, coalesce(f.n, 0)), t.role, t.text from s join t on t.c = s.c and t.n > s.h left join s f on f.c = s.b),
+p as (select c, d, {_WORDS} as w, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' order by d) over (partition by c order by d) as k from u union all select c, 0, 0, '' from s),
+n as (select d, k, min(c) as conv_id, count(*) as n_convs, any_value(w) as w from p group by d, k),
+m as (select p.c, p.d, n.conv_id as top from p join n on n.d = p.d and n.k = p.k),
+v as (select n.*, m.top as parent from n left join m on m.c = n.conv_id and m.d = n.d - 1),
+ch as (select parent as conv_id, d - 1 as d, count(*) as n_children from v where d > 0 group by 1, 2),
+x as (select v.*, coalesce(ch.n_children, 0) as n_children from v left join ch on ch.conv_id = v.conv_id and ch.d = v.d),
+sub as (select m.top as conv_id, m.d, sum((x.n_children = 0)::int)::bigint as n_leaves, sum((x.n_convs - 1) * x.w)::bigint as saved_tokens from x join m on m.c = x.conv_id and m.d <= x.d group by 1, 2),
+l as (select c, max(d) as d from p group by c),
+e as (select m.top as conv_id, m.d, sha256(string_agg(l.c::varchar, ',' order by l.c)) as ends from l join m on m.c = l.c and m.d = l.d group by 1, 2)
+select x.conv_id, x.d::bigint as depth, x.parent as parent_conv_id, x.n_convs, x.n_children, sub.n_leaves, sub.saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+from x join sub on sub.conv_id = x.conv_id and sub.d = x.d left join e on e.conv_id = x.conv_id and e.d = x.d
+"""
+
+ORACLES = {"op4_chat_format": OP4, "op6_mixing": OP6, "op7_fingerprints": OP7, "op10_ngram_jaccard": OP10, "op12_suffix_dedup": OP12, "op13_prefix_trie": OP13}
