@@ -73,19 +73,18 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
     return rows.join(sent, key).unionByName(rest)
 
 
-#: Bytes of an Arrow batch: texts differ in length by orders of magnitude, and a batch is held by the JVM and by the worker at once.
-ARROW_BYTES = 8 << 20
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by the worker at once.
+ARROW_ROWS = 1_000
 
 
-def _batches_by_bytes(spark: SparkSession) -> None:
-    """Have Spark cut the session's Arrow batches at ARROW_BYTES, unless a lower bound is set; it is read when a plan runs, so it stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
-        spark.conf.set(key, f"{ARROW_BYTES}b")
+def _prepared(rows: DataFrame, run: Callable) -> Callable:
+    """run, whose workers give back what they no longer use; lowers the session's rows per Arrow batch to ARROW_ROWS where it is larger.
 
-
-def _lean(run: Callable) -> Callable:
-    """run, after which the worker gives back the memory that Arrow and the C library keep."""
+    The setting is read when the plan is made, so it stays lowered.
+    """
+    spark, key = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
     def lean(batches):
         try:
@@ -101,12 +100,10 @@ def _lean(run: Callable) -> Callable:
 
 
 def map_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
-    """rows.mapInArrow(run, schema) with batches of about ARROW_BYTES, whose workers give back what they no longer use."""
-    _batches_by_bytes(rows.sparkSession)
-    return rows.mapInArrow(_lean(run), schema)
+    """rows.mapInArrow(run, schema) with batches of at most ARROW_ROWS rows."""
+    return rows.mapInArrow(_prepared(rows, run), schema)
 
 
 def map_frames(rows: DataFrame, run: Callable, schema) -> DataFrame:
-    """rows.mapInPandas(run, schema), as map_batches."""
-    _batches_by_bytes(rows.sparkSession)
-    return rows.mapInPandas(_lean(run), schema)
+    """rows.mapInPandas(run, schema) with batches of at most ARROW_ROWS rows."""
+    return rows.mapInPandas(_prepared(rows, run), schema)
