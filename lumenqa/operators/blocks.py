@@ -1,7 +1,7 @@
 """All-pairs scores in blocks: rows are packed into blocks of bounded size, and each pair of blocks is one matrix computation.
 
-Exact searches over all rows need every pair scored; here no pair becomes a row unless it is kept. Every left block is sent
-to every right block by an equi-join on the block's number, so a task holds two blocks at a time, whatever the tables' size.
+Exact searches over all rows need every pair scored; here no pair becomes a row unless it is kept. Blocks meet in the cells of a
+grid by an equi-join, and a task holds two blocks at a time, whatever the tables' size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROWS = 1024
 
 
-def _flat(column: pa.Array, i: int) -> dict[str, np.ndarray]:
+def flat(column: pa.Array, i: int) -> dict[str, np.ndarray]:
     """The fields of the i-th block: numbers as arrays, lists of numbers as matrices."""
     one = column.slice(i, 1).flatten()
     out = {}
@@ -36,24 +36,61 @@ def blocks(rows: DataFrame, size: int = ROWS) -> tuple[DataFrame, int]:
     return dealt.groupBy("block").agg(F.collect_list("r").alias("rows")), n
 
 
+#: Blocks of one side that a cell of the grid holds at most.
+SIDE = 64
+
+
+def _strips(n: int, tasks: int) -> int:
+    """Strips that n blocks are dealt into: few, as every row is sent once for each strip of the other side, but enough for all tasks to have a cell."""
+    return min(n, max(-(-n // SIDE), int((4 * tasks) ** 0.5) + 1))
+
+
 def pairs(left: DataFrame, right: DataFrame, score: Callable[[dict, dict], Iterator[tuple[np.ndarray, ...]]], schema: str, size: int = ROWS) -> DataFrame:
     """What score(left block, right block) yields for all pairs of blocks, as rows of the schema.
 
-    A block is a dict of its columns: numpy arrays, or matrices for array columns. Columns must not be null.
+    A block is a dict of its columns: numpy arrays, or matrices for array columns. Columns must not be null. Both sides are cut into strips of
+    blocks, and a cell of the grid meets one strip of each: a row is sent to as many cells as the other side has strips, which is
+    the rows over SIDE * size.
+    """
+    a, na = blocks(left, size)
+    b, nb = blocks(right, size)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ga, gb = _strips(na, tasks), _strips(nb, tasks)
+    over = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    rows = a.select((F.col("block") % ga).alias("i"), over(gb).alias("j"), F.col("rows").alias("a"))
+    columns = b.select((F.col("block") % gb).alias("j"), over(ga).alias("i"), F.col("rows").alias("b"))
+    names = [c.strip().rsplit(" ", 1)[0] for c in schema.split(",")]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cols = score(flat(batch.column(0), i), flat(batch.column(1), i))
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    return rows.join(columns, ["i", "j"]).select("a", "b").mapInArrow(run, schema)
+
+
+def grouped_pairs(rows: DataFrame, group: str, score: Callable[[dict, dict], tuple[np.ndarray, ...]], schema: str, size: int = ROWS) -> DataFrame:
+    """What score(left block, right block) yields for all pairs of blocks within each group, both ways and each with itself.
+
+    A group of any size is many blocks of about ``size`` rows, so a task holds two blocks at a time.
     """
-    a, _ = blocks(left, size)
-    b, n = blocks(right, size)
-    sent = a.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    fields = [c for c in rows.columns if c != group]
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    dealt = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(*fields, F.monotonically_increasing_id()), F.col("_n")))
+    packed = dealt.groupBy(group, "_block").agg(F.collect_list(F.struct(*fields)).alias("rows")).drop("_block")
     names = [c.strip().rsplit(" ", 1)[0] for c in schema.split(",")]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                cols = score(_flat(batch.column(0), i), _flat(batch.column(1), i))
+                cols = score(flat(batch.column(0), i), flat(batch.column(1), i))
                 if len(cols[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return sent.join(b.select("block", F.col("rows").alias("b")), "block").select("a", "b").mapInArrow(run, schema)
+    left, right = packed.withColumnRenamed("rows", "a"), packed.withColumnRenamed("rows", "b")
+    return left.join(right, group).select("a", "b").mapInArrow(run, schema)
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:

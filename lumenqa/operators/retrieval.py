@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stems import stem_table
 from . import blocks as B
 
 
@@ -23,18 +24,25 @@ def chunk_tokens(docs: DataFrame, size: int, overlap: int, key: str = "doc_id",
 MAX_SENT_WORDS = 200_000
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, key, score, rank): top k documents of each query by an inverted index of the queries' words.
+def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", k1: float = 1.2, b: float = 0.75, stem: bool = False) -> DataFrame:
+    """(query, key, score, rank): top k documents of each query by an inverted index of the queries' words, or of their English stems.
 
     Texts are split once; only words that a query has become postings, and their document frequencies are counted on those.
-    The list of a word is joined with the queries that have it, whose number the queries bound.
+    The list of a word is joined with the queries that have it, whose number the queries bound. Stems are made once for each distinct word and joined back.
     """
-    wanted = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    words = wanted.select("term").distinct()
+    asked = queries.select(query, F.explode(T.tokens(F.col("text"))).alias("word"))
     split = docs.select(key, T.tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
+    if stem:
+        spoken = stem_table(asked.select("word"))
+        wanted = asked.join(spoken, "word").select(query, "term").distinct()
+        every = stem_table(split.select(F.explode("w").alias("word")))
+        words = every.join(spoken.select("term").distinct(), "term", "left_semi").select("word", "term")
+    else:
+        wanted = asked.withColumnRenamed("word", "term").distinct()
+        words = wanted.select(F.col("term").alias("word"), "term").distinct()
     stats = docs.select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     sent = F.broadcast(words) if words.count() <= MAX_SENT_WORDS else words
-    postings = split.select(key, "length", F.explode("w").alias("term")).join(sent, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    postings = split.select(key, "length", F.explode("w").alias("word")).join(sent, "word").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

@@ -257,7 +257,7 @@ _ALIKE = "round(" + " + ".join(
     + [f"{w} * case when a.{c} = b.{c} then 1.0 when a.{c} <> 0 and b.{c} <> 0 then greatest(0.0, 1 - abs(a.{c} - b.{c}) / greatest(a.{c}, b.{c})::double) else 0.0 end" for c, w in C.RELATIVE.items()]
     + [f"{w} * case when abs(a.{c} - b.{c}) < 0.01 then 1.0 else greatest(0.0, 1 - 2 * abs(a.{c} - b.{c})) end" for c, w in C.ABSOLUTE.items()]
     + [f"{w} * (a.{c} = b.{c})::int" for c, w in C.FLAGS.items()]
-) + ", 9)"
+) + ", 12)"
 _DUCK_CONFIG = _CONFIG.replace("{part}", "part")
 
 
@@ -266,23 +266,23 @@ def _configs(spark, sf_dir):
     return spark.sql(f"select * from {_CONFIG}", part=table(spark, sf_dir, "part"))
 
 
-@query(f"with c as {_DUCK_CONFIG} select a.config_id as older, b.config_id as newer, round({_ALIKE}, 6) as similarity, round(b.avg_f1_score - a.avg_f1_score, 4) as delta from c a join c b on a.config_id < b.config_id where {_ALIKE} > 0.5")
+@query(f"with c as {_DUCK_CONFIG} select a.config_id as older, b.config_id as newer, {_ALIKE} as similarity, round(b.avg_f1_score - a.avg_f1_score, 4) as delta from c a join c b on a.config_id < b.config_id where {_ALIKE} > 0.5")
 def config_relations(spark, sf_dir):
-    return C.config_relations(_configs(spark, sf_dir)).withColumns({"similarity": F.round("similarity", 6), "delta": F.round("delta", 4)})
+    return C.config_relations(_configs(spark, sf_dir)).withColumn("delta", F.round("delta", 4))
 
 
 def _top_configs(over: float) -> str:
-    return f"with c as {_DUCK_CONFIG}, r as (select a.config_id as config, b.config_id as other, {_ALIKE} as s from c a join c b on a.config_id <> b.config_id), t as (select *, row_number() over (partition by config order by s desc, other) as place from r where s > {over}) select config, other, round(s, 6) as similarity from t where place <= 3"
+    return f"with c as {_DUCK_CONFIG}, r as (select a.config_id as config, b.config_id as other, {_ALIKE} as s from c a join c b on a.config_id <> b.config_id), t as (select *, row_number() over (partition by config order by s desc, other) as place from r where s > {over}) select config, other, s as similarity from t where place <= 3"
 
 
 @query(_top_configs(-1.0))
 def similar_configs_top3(spark, sf_dir):
-    return C.similar_configs(_configs(spark, sf_dir)).select(F.col("config_id").alias("config"), "other", F.round("similarity", 6).alias("similarity"))
+    return C.similar_configs(_configs(spark, sf_dir)).select(F.col("config_id").alias("config"), "other", "similarity")
 
 
 @query(_top_configs(0.5))
 def similar_configs_over_half(spark, sf_dir):
-    return C.similar_configs(_configs(spark, sf_dir), 3, 0.5).select(F.col("config_id").alias("config"), "other", F.round("similarity", 6).alias("similarity"))
+    return C.similar_configs(_configs(spark, sf_dir), 3, 0.5).select(F.col("config_id").alias("config"), "other", "similarity")
 
 
 _DESCRIBED = "concat_ws(' ', p_name, p_type, p_brand, concat('size', p_size))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import correlation
 from ..operators import trials as T
 from ..operators.order import rolling, running
 from ..sources.tables import table
@@ -64,8 +65,8 @@ def fraction_of_best(spark, sf_dir):
 @query("""with o as (select p_partkey as id, p_retailprice as y, p_size as x from part), j as (select sign(a.x - b.x) as dx, sign(a.y - b.y) as dy from o a join o b on a.id < b.id)
 select 'p_size' as param, round(sum(dx * dy) / sqrt(sum(abs(dx)) * sum(abs(dy))), 9) as tau from j""")
 def param_correlation(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").withColumn("param", F.lit("p_size"))
-    return T.kendall(rows, "param", "p_size", "p_retailprice").select("param", F.round("tau", 9).alias("tau"))
+    rows = table(spark, sf_dir, "part").select(F.lit("p_size").alias("g"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
+    return correlation.tau_b(rows).select(F.col("g").alias("param"), F.round("tau", 9).alias("tau"))
 
 
 @query(f"with t as {_DUCK['t']} select study, number, v0, v1 from {_FRONT}")
