@@ -12,9 +12,10 @@ encoded and merged on their own; a task remembers those it has seen.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Right ids are below this; a pair is left * WIDTH + right.
 WIDTH = 1 << 15
 #: Segments whose merges a task remembers; all are forgotten at once beyond it.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: Characters of unseen segments that are encoded as one text.
+RUN = 20_000
 #: Characters of a text that are merged at once, up to the next cut.
 SLICE = 1 << 20
 #: Pair counts that are broadcast; beyond it, they are joined by a shuffle.
@@ -59,17 +62,26 @@ def right_pieces(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))]
 
 
-def merge(a: list[int], b: list[int], len_a: dict, len_b: list) -> tuple[list[int], list[tuple[list[int], list[int]]]]:
-    """(pair of every link, groups) of two token lists that cover the same bytes: the side that ends first moves on, both do where both end."""
-    links, groups, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    end_a, end_b = len_a[a[0]], len_b[b[0]]
+def merge(a: list[int], b: list[int], len_a: dict, len_b: list, ends: list[int]) -> list[tuple[list[int], int, int, list[str]]]:
+    """(pairs of all links, left tokens, right tokens, groups) of each stretch up to the given byte ends, from two token lists that cover the same bytes.
+
+    The side that ends first moves on; where both end, a group is complete, and a stretch if it ends there too.
+    """
+    out, links, groups, i, j, from_a, from_b, low_a, low_b, k = [], [], [], 0, 0, 0, 0, 0, 0, 0
+    said_a, said_b = list(map(str, a)), list(map(str, b))
+    end_a, end_b, end, n = len_a[a[0]], len_b[b[0]], ends[0], len(a)
     while True:
         links.append(a[i] * WIDTH + b[j])
         if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append((a[from_a:i], b[from_b:j]))
-            if i == len(a):
-                return links, groups
+            i += 1
+            j += 1
+            groups.append(f"{','.join(said_a[from_a:i])}|{','.join(said_b[from_b:j])}")
+            if end_a == end:
+                out.append((links, i - low_a, j - low_b, groups))
+                if i == n:
+                    return out
+                links, groups, low_a, low_b, k = [], [], i, j, k + 1
+                end = ends[k]
             from_a, from_b = i, j
             end_a += len_a[a[i]]
             end_b += len_b[b[j]]
@@ -103,49 +115,97 @@ class Aligner:
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.said: list[str] = []
-        self.counts = np.zeros((1024, 4), np.int32)  # tokens left, right, groups, links
-        self.start = np.zeros(1025, np.int64)
-        self.links = np.zeros(1 << 14, np.int32)
+        self.counts = np.zeros((0, 4), np.int32)  # tokens left, right, groups, links; -1 where the sides differ
+        self.start = np.zeros(1, np.int64)
+        self.links = np.zeros(0, np.int32)
+
+    def _merged(self, segments: list[str]) -> list | None:
+        """merge() of segments that a single space parts, encoded as one text; None if a side doesn't give back its bytes."""
+        text = " ".join(segments)
+        whole = (" " + text).encode()
+        a, b = self.left.encode_ordinary(" " + text), self.right.encode(text)
+        if not b or b"".join(map(self.bytes_b.__getitem__, b)) != whole or b"".join(map(self.bytes_a.__getitem__, a)) != whole:
+            return None
+        ends = np.cumsum([len(s.encode()) + 1 for s in segments]).tolist()
+        return merge(a, b, self.len_a, self.len_b, ends)
 
     def _learn(self, segments: list[str]) -> None:
-        for segment, b in zip(segments, self.right.encode(segments, num_threads=1)):
-            a = self.left.encode_ordinary(" " + segment)
-            whole, n = (" " + segment).encode(), len(self.said)
-            same = b and a and b"".join(map(self.bytes_b.__getitem__, b)) == whole and b"".join(map(self.bytes_a.__getitem__, a)) == whole
-            links, groups = merge(a, b, self.len_a, self.len_b) if same else ([], [])
-            if n == len(self.counts):
-                self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
-                self.start = np.concatenate((self.start, np.zeros(n, np.int64)))
-            at = int(self.start[n])
-            while at + len(links) > len(self.links):
-                self.links = np.concatenate((self.links, np.zeros_like(self.links)))
-            self.links[at : at + len(links)] = links
-            self.start[n + 1] = at + len(links)
-            self.counts[n] = (len(a), len(b), len(groups), len(links)) if same else -1
-            self.said.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            self.place[segment] = n
-
-    def _places(self, segments: list[str]) -> np.ndarray:
-        get = self.place.get
-        found = [get(s, -1) for s in segments]
-        if -1 in found:
-            if len(self.said) > self.remembered:
-                self._forget()
-                found = [-1] * len(segments)
-            self._learn(list(dict.fromkeys(s for s, n in zip(segments, found) if n < 0)))
-            found = [self.place[s] if n < 0 else n for s, n in zip(segments, found)]
-        return np.array(found, np.int64)
-
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens left, right, groups, links, digest of the groups, distinct pairs, their links); zeros and '' without tokens."""
+        """Merge unseen segments, RUN characters at once where both ends are such that a cut can stand there, and one by one else."""
+        plain = [bool(s) and s[0] != " " and s[-1] != " " and s[0].isprintable() and s[-1].isprintable() for s in segments]
+        joined, run, size = [], [], 0
+        for s, fits in zip(segments, plain):
+            if fits:
+                run.append(s)
+                size += len(s)
+            if size >= RUN:
+                joined.append(run)
+                run, size = [], 0
+        joined += [run] if run else []
+        joined += [[s] for s, fits in zip(segments, plain) if not fits]
+        order, counts, links = [], [], []
+        for run in joined:
+            found = self._merged(run)
+            if found is None:
+                found = [((x := self._merged([s])) and x[0]) or None for s in run]
+            order += run
+            for one in found:
+                if one is None:
+                    counts.append((-1, -1, -1, 0))
+                    self.said.append("")
+                else:
+                    pairs, n_a, n_b, groups = one
+                    counts.append((n_a, n_b, len(groups), len(pairs)))
+                    links += pairs
+                    self.said.append(";".join(groups))
+        n = len(self.place)
+        self.place.update(zip(order, range(n, n + len(order))))
+        fresh = np.array(counts, np.int32).reshape(-1, 4)
+        self.counts = np.concatenate((self.counts, fresh))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(fresh[:, 3], dtype=np.int64)))
+        self.links = np.concatenate((self.links, np.array(links, np.int32)))
+
+    def align_all(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """align() of each text in order; unseen segments of many texts are merged together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= SLICE:
+                yield from self._told(held)
+                held, size = [], 0
+        yield from self._told(held)
+
+    def _told(self, texts: list[str]) -> Iterator[tuple]:
+        short = [_CUT.split(t) if 0 < len(t) <= SLICE else [] for t in texts]
+        self._know(itertools.chain.from_iterable(short))
+        for text, segments in zip(texts, short):
+            yield self.align(text, segments)
+
+    def _know(self, segments: Iterable[str]) -> None:
+        every = dict.fromkeys(segments)
+        unseen = [s for s in every if s not in self.place]
+        if unseen and len(self.said) + len(unseen) > self.remembered:
+            self._forget()
+            unseen = list(every)
+        if unseen:
+            self._learn(unseen)
+
+    def align(self, text: str | None, segments: list[str] | None = None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """(tokens left, right, groups, links, digest of the groups, distinct pairs, their links); zeros and '' without tokens.
+
+        segments: those of the whole text, if they are known already; else the text is taken slice by slice.
+        """
         counts, digest, pairs, times = np.zeros(4, np.int64), hashlib.sha256(), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for i, piece in enumerate(slices(text or "")):
-            at = self._places(_CUT.split(piece))
+        for i, own in enumerate([segments] if segments else map(_CUT.split, slices(text or ""))):
+            if not segments:
+                self._know(own)
+            at = np.array([self.place[s] for s in own], np.int64)
             if (self.counts[at, 0] < 0).any():
                 counts[:] = 0
                 break
             counts += self.counts[at].sum(0)
-            digest.update((b";" if i else b"") + ";".join([self.said[n] for n in at.tolist()]).encode())
+            said = self.said
+            digest.update((b";" if i else b"") + ";".join([said[n] for n in at.tolist()]).encode())
             kinds, often = np.unique(at, return_counts=True)
             sizes = self.counts[kinds, 3].astype(np.int64)
             flat = np.repeat(self.start[kinds] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -171,7 +231,7 @@ def _aligned(docs: DataFrame, left: str, right: str) -> DataFrame:
     def run(frames):
         aligner = Aligner(left, right)
         for frame in frames:
-            rows = [aligner.align(t if isinstance(t, str) else None) for t in frame["text"]]
+            rows = list(aligner.align_all(t if isinstance(t, str) else None for t in frame["text"]))
             out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
             out.insert(0, "row", frame["row"].to_numpy())
             out.insert(1, "doc_id", frame["doc_id"])
