@@ -2,7 +2,8 @@
 
 Every DOM node's density is its characters per tag, adjusted for links: a node whose text is mostly links is worth
 little. The density sum of a node adds up its children's densities; the subtree with the largest sum is the content, and
-siblings along its path to the body join it if their density reaches the lowest density on that path. Where the subtree
+siblings along its path to the body join it if their density reaches the lowest density on that path, or if they are
+running text that isn't mostly links: strings beside elements, headings, short paragraphs, lists. Where the subtree
 is part of an article, the article is taken whole, and of the other articles those whose density reaches that threshold and
 that aren't mostly links.
 Boilerplate by element, role or class name (menus, forms, notices, adverts, comments ...) is cut from the tree before; a
@@ -32,6 +33,8 @@ _BLOCKS = frozenset("address article aside blockquote body br caption center dd
 _CLOSES_P = _BLOCKS - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "body", "html"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("ul ol dl table div article section main body html td th aside nav footer header form blockquote".split())
+# Elements that hold running text.
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table section figure".split())
 # Words of class names, ids and roles that mark what is no article.
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -51,10 +54,12 @@ _DIGITS = re.compile(r"\d+$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "depth", "scope", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.depth = parent.depth + 1 if parent else 0
+        self.scope = self.depth if tag in _SCOPES or not parent else parent.scope  # depth of the nearest scope
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -90,6 +95,18 @@ def parse(page: str) -> Node:
     """A tree of elements and decoded strings. Unclosed and misnested tags close as in browsers, roughly; a cut-off page ends what is open."""
     root = Node("html", None)
     at, node, n = 0, root, len(page)
+    open_: dict[str, list[Node]] = {"html": [root]}  # by name, so that what a tag closes is found without a walk
+
+    def deepest(*tags: str) -> Node | None:
+        return max((open_[t][-1] for t in tags if open_.get(t)), key=lambda x: x.depth, default=None)
+
+    def back_to(target: Node) -> Node:
+        x = node
+        while x is not target:
+            open_[x.tag].pop()
+            x = x.parent
+        return x
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -106,26 +123,20 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag and not (tag not in _BLOCKS and up.tag in _SCOPES):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                node = up.parent
+            up = deepest(tag)
+            if up is not None and up.parent is not None and (tag in _BLOCKS or up.depth > node.scope):
+                node = back_to(up.parent)
             continue
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             continue
         if tag in _CLOSES_P or tag == "p":
-            up = node
-            while up is not None and up.tag != "p" and up.tag not in _SCOPES:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
+            up = deepest("p")
+            if up is not None and up.depth > node.scope:
+                node = back_to(up.parent)
         if tag in _SIBLINGS:
-            up = node
-            while up is not None and up.tag not in _SIBLINGS[tag] and up.tag not in ("ul", "ol", "dl", "table", "select", "html"):
-                up = up.parent
-            if up is not None and up.tag in _SIBLINGS[tag]:
-                node = up.parent
+            up, wall = deepest(*_SIBLINGS[tag]), deepest("ul", "ol", "dl", "table", "select", "html")
+            if up is not None and up.depth > wall.depth:
+                node = back_to(up.parent)
         child = Node(tag, node, _is_noise(tag, m[3]))
         node.children.append(child)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS | _RAW:
@@ -134,6 +145,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        open_.setdefault(tag, []).append(child)
         node = child
     return root
 
@@ -203,14 +215,51 @@ def content(root: Node) -> list[Node]:
     for x in _outermost(best, "article"):  # cards that lead to other articles
         if x is not best and 2 * x.link_chars >= x.chars:
             x.parent.children.remove(x)
-    chosen = {id(best)}
-    at = best
+    chosen, at = [best], best
     while at.parent is not None and at.tag != "body":
-        for c in at.parent.children:
-            if not isinstance(c, str) and c is not at and c.density >= threshold:
-                chosen.add(id(c))
+        chosen = _with_siblings(at, chosen, threshold)
         at = at.parent
-    return [x for x in _preorder(root) if id(x) in chosen]
+    return chosen
+
+
+def _with_siblings(at: Node, chosen: list[Node], threshold: float) -> list[Node]:
+    """What is chosen of the parent's children if ``chosen`` is what is chosen of one of them, in page order.
+
+    A child joins if its density reaches the threshold. Of the sparser ones, those join that aren't mostly links and that are running text: runs of
+    strings and inline elements, headings, paragraphs, lists, quotes, tables and sections, whatever holds one of these, and anything
+    between two dense children; what is left out is a sparse block with bare text or links alone.
+    """
+    runs: list[list[Node | str]] = []
+    for c in at.parent.children:
+        if runs and not _is_block(c) and not _is_block(runs[-1][-1]):
+            runs[-1].append(c)
+        else:
+            runs.append([c])
+    dense = [any(c is at or not isinstance(c, str) and _is_block(c) and c.density >= threshold for c in run) for run in runs]
+    first, last = dense.index(True), len(dense) - 1 - dense[::-1].index(True)
+    out: list[Node] = []
+    for i, run in enumerate(runs):
+        if run[0] is at:
+            out += chosen
+            continue
+        chars = sum(len(" ".join(c.split())) if isinstance(c, str) else c.chars for c in run)
+        links = sum(0 if isinstance(c, str) else c.link_chars for c in run)
+        if not chars:
+            continue
+        if dense[i] or 2 * links < chars and (first < i < last or not _is_block(run[0]) or _is_text(run[0])):
+            piece = Node("span", at.parent)
+            piece.children = run
+            out.append(piece)
+    return out
+
+
+def _is_block(x: Node | str) -> bool:
+    return not isinstance(x, str) and x.tag in _BLOCKS
+
+
+def _is_text(node: Node) -> bool:
+    """Whether the node is, or holds, an element that the page marks as text."""
+    return any(x.tag in _TEXTUAL for x in _order(node))
 
 
 def _outermost(root: Node, tag: str) -> list[Node]:
@@ -225,15 +274,6 @@ def _outermost(root: Node, tag: str) -> list[Node]:
     return out
 
 
-def _preorder(root: Node) -> list[Node]:
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        out.append(node)
-        stack += reversed([c for c in node.children if not isinstance(c, str)])
-    return out
-
-
 def text_of(node: Node) -> str:
     """Blocks in page order; white space inside a block becomes one space, as does what is between blocks."""
     out, stack = [], [node]
