@@ -558,15 +558,16 @@ def test_bootstrapping(spark):
 
 
 def test_secrets(spark):
+    """Literals after a key word are seeds, but only learned contexts add them; a shape alone adds nothing."""
     import os
 
     hexed = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
     rows = [(i, f'word{i} token = "{hexed(i)}" other{i}', None, None) for i in range(100, 145)] + [(i, f"seen {hexed(i)} alone{i}", None, None) for i in range(150, 154)]
     rows += [(60, "api_key=Zx81-9920-77 and password: short1", None, None), (61, "id 4444333322221112 of nothing", None, None), *ODD]
     got = {r["doc_id"]: r for r in personal_data.find_personal_data(docs(spark, rows)).collect()}
-    for i, t, *_ in rows[:49]:
+    for i, t, *_ in rows[:45]:
         assert got[i]["spans"] == f"id:{t.index(hexed(i))}:{t.index(hexed(i)) + 40}"
-    assert got[60]["spans"] == "id:8:20" and got[61]["spans"] == ""
+    assert [got[i]["spans"] for i in (150, 151, 152, 153, 60, 61)] == [""] * 6
     if os.path.isdir("/root/testdata/sf0.1"):
         whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
         planted = {(r["doc_id"], m.start(1)) for r in whole.select("doc_id", "text").where("lower(text) like '%token = %'").collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r["text"])}
@@ -575,27 +576,76 @@ def test_secrets(spark):
         assert len(planted & found) >= 0.9 * len(planted) > 0 and len(found - planted) <= 0.05 * len(found)
 
 
+def _card(stem, valid):
+    """16 digits whose last one is the check digit, or one more than it."""
+    odd = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(stem))
+    return stem + str((-odd + (not valid)) % 10)
+
+
+def test_contexts_find_what_neither_key_words_nor_seeds_give(spark):
+    """Planted identifiers of shapes that no base pattern has, in contexts that seeds teach; decoys of the same shapes, and of base shapes that fail their check."""
+    r = random.Random(11)
+    ways = [("reach her under", "after lunch"), ("her contact remains", "since spring"), ("billing goes to", "every month")]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    fillers = ["the report covers", "chapter ends with", "part number", "the batch called", "section"]
+    rows, planted, n = [], {}, 0
+    for before, after in ways:
+        for _ in range(40):
+            seed = r.choice([f"+49 30 {digits(7)}", f"m{digits(3)}@mail{digits(2)}.example.org", _card("4" + digits(14), True)])
+            rows.append((n, f"we {before} {seed} {after} as usual", None, None))
+            n += 1
+        for _ in range(6):
+            hidden = r.choice([f"ID-{digits(4)}-{digits(3)}", f"{digits(3)}/{digits(3)}/{digits(4)}", f"user{digits(7)}"])
+            text = f"we {before} {hidden} {after} as usual"
+            planted[n] = (text.index(hidden), text.index(hidden) + len(hidden))
+            rows.append((n, text, None, None))
+            n += 1
+    decoys = []
+    for i in range(60):
+        other = r.choice([f"ID-{digits(4)}-{digits(3)}", f"{digits(3)}/{digits(3)}/{digits(4)}", f"user{digits(7)}"])
+        rows.append((n, f"in {r.choice(fillers)} {other} w{i} and more", None, None))
+        decoys.append(n)
+        n += 1
+    for i in range(6):  # right where seeds stand, but refused by their own kind
+        bad = _card("4" + digits(14), False) if i % 2 else f"310.7.{300 + i}.20"
+        rows.append((n, f"we {ways[i % 3][0]} {bad} {ways[i % 3][1]} as usual", None, None))
+        decoys.append(n)
+        n += 1
+    got = {x["doc_id"]: x for x in personal_data.find_personal_data(docs(spark, rows)).collect()}
+    assert all(got[d]["n_id"] == 0 for d in decoys)
+    hits = sum(got[d]["spans"] == f"id:{a}:{b}" for d, (a, b) in planted.items())
+    assert hits >= 0.9 * len(planted)
+
+
 def found_by_hand(edges, p):
     """discover() over a list of edges, in plain Python."""
-    instances, seeds, score = {}, {s for _, s, seed, _ in edges if seed}, {}
-    for pattern, surface, _, _ in edges:
+    instances, learned = {}, {}
+    base, bad = {e[1] for e in edges if e[3]}, {e[1] for e in edges if e[4]}
+    bad -= base
+    seeds = {e[1] for e in edges if e[2]} - bad
+    score = {e[1]: float(e[1] in seeds) for e in edges}
+    for pattern, surface, *_ in edges:
         instances.setdefault(pattern, set()).add(surface)
-        score[surface] = float(surface in seeds)
     for _ in range(p.rounds):
         sure = {s for s in score if score[s] >= p.accept}
         trusted = {}
         for pattern, mine in instances.items():
-            docs = {d for q, s, _, d in edges if q == pattern and s in sure and d is not None}
+            docs = {e[5] for e in edges if e[0] == pattern and e[1] in sure and e[5] is not None}
             mean = sum(score[s] for s in mine) / len(mine)
             if len(mine & sure) >= p.least_seeds and len(docs) >= p.least_docs and mean >= p.trust:
                 trusted[pattern] = mean
-        for s in set(score) - seeds:
-            score[s] = 1 - np.prod([max(1e-6, 1 - c) for pattern, c in trusted.items() if s in instances[pattern]])
-    return {s for _, s, seed, _ in edges if not seed and score[s] >= p.accept}
+        learned = {s: 0.0 if s in bad else 1 - np.prod([max(1e-6, 1 - c) for pattern, c in trusted.items() if s in instances[pattern]]) for s in score}
+        score = {s: 1.0 if s in seeds else learned[s] for s in score}
+    return base | {s for s, x in learned.items() if x >= p.accept}
 
 
 def discovered(spark, edges, p):
-    return {r["surface"] for r in personal_data.discover(spark.createDataFrame(edges, "pattern string, surface string, seed boolean, doc_id long"), p).collect()}
+    return {r["surface"] for r in personal_data.discover(spark.createDataFrame(edges, "pattern string, surface string, seed boolean, base boolean, negative boolean, doc_id long"), p).collect()}
+
+
+def _edges(rows):
+    """(pattern, surface, seed, doc_id) as edges: seeds of these tests are base spans."""
+    return [(q, s, seed, seed, False, d) for q, s, seed, d in rows]
 
 
 def test_bootstrapping_widens(spark):
@@ -604,25 +654,29 @@ def test_bootstrapping_widens(spark):
     second = [("c _ d", f"id{i}", False, 200 + i) for i in range(9)]
     rare = [("e _ f", f"seed{i}", True, 500) for i in range(20)] + [("e _ f", "once", False, 500)]  # one document only
     odd = [("g _ h", f"seed{i}", True, i) for i in range(3)] + [("g _ h", f"other{i}", False, i) for i in range(3)]  # half of them unknown
-    edges = first + second + rare + odd + [("c _ d", "late", False, 400)]
+    edges = _edges(first + second + rare + odd + [("c _ d", "late", False, 400)])
+    seeds = {e[1] for e in edges if e[2]}
     # no seed at all in the second pattern: its identifiers of round 1 make it trusted in round 2, which gives the late one
-    assert discovered(spark, edges, p) == {*(f"id{i}" for i in range(9))} | {"late"} == found_by_hand(edges, p)
+    assert discovered(spark, edges, p) - seeds == {*(f"id{i}" for i in range(9))} | {"late"} == found_by_hand(edges, p) - seeds
     one = personal_data.BootstrapParams(rounds=1)
-    assert discovered(spark, edges, one) == {f"id{i}" for i in range(9)} == found_by_hand(edges, one)
+    assert discovered(spark, edges, one) - seeds == {f"id{i}" for i in range(9)} == found_by_hand(edges, one) - seeds
 
 
 def test_bootstrapping_counts_documents(spark):
-    copies = [("a _ b", f"seed{i}", True, d) for i in range(30) for d in (1, 2, 3)] + [("a _ b", "id", False, 9)]
-    assert discovered(spark, copies, personal_data.BootstrapParams()) == {"id"} == found_by_hand(copies, personal_data.BootstrapParams())
-    two = [e for e in copies if e[3] != 3]
-    assert discovered(spark, two, personal_data.BootstrapParams()) == set() == found_by_hand(two, personal_data.BootstrapParams())
+    p = personal_data.BootstrapParams()
+    copies = _edges([("a _ b", f"seed{i}", True, d) for i in range(30) for d in (1, 2, 3)] + [("a _ b", "id", False, 9)])
+    seeds = {e[1] for e in copies if e[2]}
+    assert discovered(spark, copies, p) - seeds == {"id"} == found_by_hand(copies, p) - seeds
+    two = [e for e in copies if e[5] != 3]
+    assert discovered(spark, two, p) - seeds == set() == found_by_hand(two, p) - seeds
 
 
 def test_bootstrapping_by_brute_force(spark):
     p, r = personal_data.BootstrapParams(trust=0.6, accept=0.8), random.Random(6)
-    edges = [(f"p{r.randrange(25)}", f"s{x}", x < 25, r.choice([None, *range(12)])) for x in (r.randrange(45) for _ in range(120))]
-    assert discovered(spark, edges, p) == found_by_hand(edges, p)
-    assert set() < found_by_hand(edges, p) < {s for _, s, seed, _ in edges if not seed}
+    edges = [(f"p{r.randrange(25)}", f"s{x}", x < 25, x < 12, 20 < x < 24 or x > 41, r.choice([None, *range(12)])) for x in (r.randrange(45) for _ in range(120))]
+    got = discovered(spark, edges, p)
+    assert got == found_by_hand(edges, p)
+    assert {f"s{x}" for x in range(12)} & {e[1] for e in edges} < got and not got & {f"s{x}" for x in (21, 22, 23, 42, 43, 44)}
 
 
 # pipeline
