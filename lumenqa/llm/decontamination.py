@@ -82,8 +82,8 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-#: Entries of an index's block maxima up to which they are kept as a matrix.
-DENSE = 1 << 22
+#: Passages times blocks that are bounded at once.
+CELLS = 1 << 21
 
 
 class ItemIndex:
@@ -119,77 +119,98 @@ class ItemIndex:
         self.block_max = np.maximum.reduceat(self.impacts, new) if len(new) else np.zeros(0)
         self.block_bounds = np.searchsorted(new, self.bounds)
         self.n_blocks = -(-len(items) // p.block)
-        self.dense = None  # the block maxima as a matrix, where that is small: all lists are bounded in one step then
-        if len(lists) * self.n_blocks <= DENSE:
-            self.dense = np.zeros((len(lists), self.n_blocks), np.float32)
-            self.dense[term[new], self.blocks] = self.block_max
         self.list_max = np.maximum.reduceat(self.impacts, self.bounds[:-1]) if len(lists) else np.zeros(0)
-
-    def search(self, query: np.ndarray) -> list[tuple[int, float]]:
-        """(place, score) of all items at or above the threshold, for distinct query terms."""
-        least = self.p.threshold - 1e-9
-        maxima = self.list_max[query]
-        if maxima.sum() < least:  # no pivot: all lists together can't reach the threshold
-            return []
-        if self.dense is None:
-            alive = self._alive(query, maxima, least)
-            if alive is None:
-                return []
-        else:
-            bound = self.dense[query].sum(0)
-            alive = bound >= least - 1e-5  # float32
-            if not alive.any():
-                return []
-        at = _ranges(self.bounds[query], self.bounds[query + 1]) if self.dense is not None else self._postings(query, alive)
-        places = self.places[at]
-        if self.dense is not None:
-            at, places = at[keep := alive[places // self.p.block]], places[keep]
-        scores = np.bincount(places, weights=self.impacts[at], minlength=len(self.ids))
-        return [(i, float(scores[i])) for i in np.flatnonzero(scores >= least)]
-
-    def _postings(self, query: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """Where the postings of these terms are in the blocks that are left."""
-        at = _ranges(self.block_bounds[query], self.block_bounds[query + 1])
-        at = at[alive[self.blocks[at]]]
-        return _ranges(self.block_starts[at], self.block_starts[at + 1])
-
-    def _alive(self, query: np.ndarray, maxima: np.ndarray, least: float) -> np.ndarray | None:
-        """Which blocks can reach the threshold, from the pivot on and then with the lists before it; None if no block can."""
-        order = np.argsort(maxima, kind="stable")
-        query, reach = query[order], np.cumsum(maxima[order])
-        pivot = min(int(np.searchsorted(reach, least)), len(query) - 1)
-        low, high = self.block_bounds[query], self.block_bounds[query + 1]
-        at = _ranges(low[pivot:], high[pivot:])
-        bound = np.bincount(self.blocks[at], weights=self.block_max[at], minlength=self.n_blocks)
-        if pivot:  # the lists before the pivot are read only where the others leave a chance
-            if bound.max() + reach[pivot - 1] < least:
-                return None
-            alive = bound + reach[pivot - 1] >= least
-            at = _ranges(low[:pivot], high[:pivot])
-            at = at[alive[self.blocks[at]]]
-            bound += np.bincount(self.blocks[at], weights=self.block_max[at], minlength=self.n_blocks)
-        return bound >= least if bound.max() >= least else None
-
-    def hits(self, words: list[str]) -> dict[int | None, list[float]]:
-        """item id -> [best score, its question and answer overlap, passages that hold it]."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
-        at = np.flatnonzero(ids >= 0)
-        out: dict[int | None, list[float]] = {}
-        if not len(at) or self.list_max[np.unique(known := ids[at])].sum() < self.p.threshold - 1e-5:
+        self.scored = self.listed = 0  # postings that were scored, and that the lists of all passages have
+
+    def search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, place, score) of all items at or above the threshold, from distinct pairs (passage, term) sorted by passage.
+
+        Block-max WAND for many passages at once: a passage's lists are taken in the order of their maxima. Those before the pivot can't
+        reach the threshold together, so blocks are bounded by the others' block maxima first; the lists before the pivot
+        are read only in blocks that are left, and postings only in blocks whose whole bound reaches the threshold.
+        """
+        self.listed += int((self.bounds[term + 1] - self.bounds[term]).sum())
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not len(term):
+            return none
+        step, out = max(1, CELLS // max(1, self.n_blocks)), []
+        numbers = np.unique(passage, return_inverse=True)[1]
+        edges = np.searchsorted(numbers, np.arange(0, numbers[-1] + step + 1, step))
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                out.append(self._search(passage[a:b], term[a:b]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else none
+
+    def _search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        least, names = self.p.threshold - 1e-9, np.unique(passage)
+        row, maxima = np.searchsorted(names, passage), self.list_max[term]
+        able = np.bincount(row, weights=maxima) >= least  # else no pivot: all lists together can't reach the threshold
+        keep = able[row]
+        names, row, term, maxima = names[able], (np.cumsum(able) - 1)[row[keep]], term[keep], maxima[keep]
+        n = len(names)
+        order = np.lexsort((maxima, row))
+        row, term, maxima = row[order], term[order], maxima[order]
+        sums = np.cumsum(maxima)
+        first = np.searchsorted(row, np.arange(n))
+        reach = sums - np.concatenate(([0.0], sums))[first][row]
+        after = reach >= least  # from the pivot on
+        rest = np.bincount(row[~after], weights=maxima[~after], minlength=n)
+
+        def blocks_of(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(block entry, cell of its passage and block) of the lists of these pairs."""
+            low, high = self.block_bounds[term[of]], self.block_bounds[term[of] + 1]
+            at = _ranges(low, high)
+            return at, np.repeat(row[of], high - low) * self.n_blocks + self.blocks[at]
+
+        at, cell = blocks_of(np.flatnonzero(after))
+        bound = np.bincount(cell, weights=self.block_max[at], minlength=n * self.n_blocks)
+        alive = bound + np.repeat(rest, self.n_blocks) >= least
+        hopeful = alive.reshape(n, self.n_blocks).any(1)
+        at, cell = blocks_of(np.flatnonzero(~after & hopeful[row]))
+        at, cell = at[alive[cell]], cell[alive[cell]]
+        bound += np.bincount(cell, weights=self.block_max[at], minlength=n * self.n_blocks)
+        alive &= bound >= least
+        hopeful = alive.reshape(n, self.n_blocks).any(1)
+        at, cell = blocks_of(np.flatnonzero(hopeful[row]))
+        at, cell = at[alive[cell]], cell[alive[cell]]
+        low, high = self.block_starts[at], self.block_starts[at + 1]
+        postings = _ranges(low, high)
+        self.scored += len(postings)
+        pair, back = np.unique(np.repeat(cell // self.n_blocks, high - low) * len(self.ids) + self.places[postings], return_inverse=True)
+        scores = np.bincount(back, weights=self.impacts[postings], minlength=len(pair))
+        good = scores >= least
+        return names[pair[good] // len(self.ids)], pair[good] % len(self.ids), scores[good]
+
+    def hits(self, texts: list[list[str]]) -> list[dict[int | None, list[float]]]:
+        """For each text: item id -> [best score, its question and answer overlap, passages that hold it]."""
+        out: list[dict[int | None, list[float]]] = [{} for _ in texts]
+        get, step = self.vocabulary.get, self.window // 2
+        owner, start, low, high, known, size = [], [], [], [], [], 0
+        for i, words in enumerate(texts):
+            ids = np.array([get(w, -1) for w in words], np.int64)
+            at = np.flatnonzero(ids >= 0)
+            if len(at):
+                begins = np.arange(0, max(1, len(words) - step), step)
+                owner.append(np.full(len(begins), i))
+                start.append(begins)
+                low.append(np.searchsorted(at, begins) + size)
+                high.append(np.searchsorted(at, begins + self.window) + size)
+                known.append(ids[at])
+                size += len(at)
+        if not known:
             return out
-        step = self.window // 2
-        for start in range(0, max(1, len(words) - step), step):
-            a, b = np.searchsorted(at, (start, start + self.window))
-            if a == b:
-                continue
-            found = self.search(np.unique(known[a:b]))
+        owner, start, low, high, known = map(np.concatenate, (owner, start, low, high, known))
+        pairs = np.unique(np.repeat(np.arange(len(start)), high - low) * len(self.list_max) + known[_ranges(low, high)])
+        found: dict[int, list[tuple[int, float]]] = {}
+        for number, place, score in zip(*(x.tolist() for x in self.search(pairs // len(self.list_max), pairs % len(self.list_max)))):
+            found.setdefault(number, []).append((place, score))
+        for number, items in sorted(found.items()):
+            passage = texts[owner[number]][start[number] : start[number] + self.window]
             cache: dict[int, set] = {}
-            for place, score in found:
-                passage = words[start : start + self.window]
+            for place, score in items:
                 question, answer = (held(x, self.p.gram, passage, cache) for x in self.parts[place])
                 if min(question, answer) >= self.p.overlap:
-                    old = out.setdefault(self.ids[place], [0.0, 0.0, 0.0, 0])
+                    old = out[owner[number]].setdefault(self.ids[place], [0.0, 0.0, 0.0, 0])
                     old[:3] = max(tuple(old[:3]), (score, question, answer))
                     old[3] += 1
         return out
@@ -263,8 +284,8 @@ def _searcher(sent: list, carried: int):
         found = []
         for block in [only] if only is not None else indexes():
             for index in block:
-                for i, words in enumerate(texts):
-                    found += [(i, item, *x) for item, x in sorted(index.hits(words).items(), key=lambda x: (x[0] is None, x[0] or 0))]
+                for i, hits in enumerate(index.hits(texts)):
+                    found += [(i, item, *x) for item, x in sorted(hits.items(), key=lambda x: (x[0] is None, x[0] or 0))]
         found.sort(key=lambda x: x[0])
         cols = list(zip(*found)) or [()] * 6
         rows = pa.array(cols[0], pa.int64())

@@ -333,24 +333,41 @@ def test_decontamination_by_brute_force(spark):
     assert 20 < len(want)
 
 
-@pytest.mark.parametrize("dense", [0, 1 << 22])
-def test_search_equals_scoring_everything(monkeypatch, dense):
-    monkeypatch.setattr(decontamination, "DENSE", dense)
+@pytest.mark.parametrize("cells,block", [(1 << 21, 4), (7, 1), (50, 16)])
+def test_search_equals_scoring_everything(monkeypatch, cells, block):
+    """Passages of many texts at once, in steps of a few blocks too; fewer postings are scored than the lists have."""
+    monkeypatch.setattr(decontamination, "CELLS", cells)
     r = random.Random(9)
     items = [(i, " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randint(4, 20)))) for i in range(40)]
     df = decontamination.Counter(w for _, t in items for w in set(t.split()))
-    index = decontamination.build_indexes(items, df, 40, 12.0, decontamination.DecontaminationParams())[0]
-    hits = 0
-    for _ in range(300):
+    index = decontamination.build_indexes(items, df, 40, 12.0, decontamination.DecontaminationParams(block=block))[0]
+    queries, want = [], set()
+    for n in range(300):
         words = items[r.randrange(40)][1].split()[: r.randint(1, 20)] + [f"w{r.randrange(60)}" for _ in range(r.randint(0, 30))]
-        query = np.unique([index.vocabulary.get(w, 0) for w in words])
+        queries.append(np.unique([index.vocabulary.get(w, 0) for w in words]))
         whole = np.zeros(40)
-        for t in query:
+        for t in queries[-1]:
             mine = slice(index.bounds[t], index.bounds[t + 1])
             whole[index.places[mine]] += index.impacts[mine]
-        assert {i for i, _ in index.search(query)} == set(np.flatnonzero(whole >= 0.6 - 1e-9).tolist())
-        hits += bool((whole >= 0.6).any())
-    assert 100 < hits < 300
+        want |= {(n, int(i), round(float(whole[i]), 9)) for i in np.flatnonzero(whole >= 0.6 - 1e-9)}
+    passage, place, score = index.search(np.repeat(np.arange(300), [len(q) for q in queries]), np.concatenate(queries))
+    assert {(int(n), int(i), round(float(x), 9)) for n, i, x in zip(passage, place, score)} == want and len(place) == len(want)
+    assert 100 < len({n for n, *_ in want}) < 300
+    assert 0 < index.scored < index.listed
+
+
+def test_few_postings_are_scored_on_the_tables():
+    """Over the benchmark and documents of sf0.1, blocks leave nearly all postings unread."""
+    import duckdb
+
+    data = "/root/testdata/sf0.1"
+    items = duckdb.sql(f"select item_id, text from '{data}/benchmark.parquet' where text is not null").fetchall()
+    texts = [decontamination.terms(x) for (x,) in duckdb.sql(f"select text from '{data}/documents.parquet' where doc_id % 10 = 0").fetchall()]
+    df = decontamination.Counter(w for _, t in items for w in set(decontamination.terms(t)))
+    mean = sum(len(decontamination.terms(t)) for _, t in items) / len(items)
+    for index in decontamination.build_indexes(items, df, len(items), mean, decontamination.DecontaminationParams()):
+        index.hits(texts)
+        assert 0 < index.scored < 0.05 * index.listed
 
 
 # 1
