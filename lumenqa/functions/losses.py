@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lambdas import let
+
 #: Fixed value: the least probability under a logarithm.
 EPS = 1e-10
 SCHEMES = ("none", "ndcg_loss1", "ndcg_loss2", "ndcg_loss2pp", "lambda_rank", "rank_net", "rank_net_gt", "rank_net_gt_squared")
 
 
-def _let(value: Column, f) -> Column:
-    """f(value) with the value computed once, though f uses it within lambdas."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _sum(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, x: s + x)
 
@@ -51,8 +48,8 @@ def bce(s: Column) -> Column:
 
 def _softmax(s: Column, field: str) -> Column:
     top = F.array_max(F.transform(s, lambda x: x[field]))
-    powers = _let(top, lambda top: F.transform(s, lambda x: F.exp(x[field] - top)))
-    return _let(powers, lambda p: _let(_sum(p), lambda total: F.transform(p, lambda e: e / total)))
+    powers = let(top, lambda top: F.transform(s, lambda x: F.exp(x[field] - top)))
+    return let(powers, lambda p: let(_sum(p), lambda total: F.transform(p, lambda e: e / total)))
 
 
 def list_net(s: Column) -> Column:
@@ -65,7 +62,7 @@ def rank_net(s: Column) -> Column:
     """ln(1 + exp(lower - higher)) of every pair of which one is truly higher."""
     softplus = lambda z: F.greatest(z, F.lit(0.0)) + F.ln(1 + F.exp(-F.abs(z)))
     each = lambda a: F.transform(F.filter(s, lambda b: a["t"] > b["t"]), lambda b: softplus(b["p"] - a["p"]))
-    return _let(F.flatten(F.transform(s, each)), lambda x: _result(_sum(x), F.size(x)))
+    return let(F.flatten(F.transform(s, each)), lambda x: _result(_sum(x), F.size(x)))
 
 
 def lambda_loss(s: Column, scheme: str = "none", k: int | None = None, sigma: float = 1.0, mu: float = 10.0) -> Column:
@@ -77,7 +74,7 @@ def lambda_loss(s: Column, scheme: str = "none", k: int | None = None, sigma: fl
     ideal = F.transform(F.reverse(F.array_sort(F.transform(s, lambda x: x["t"]))), lambda t, i: gain(t) / discount(i + 1))
     best = F.greatest(_sum(F.slice(ideal, 1, k) if k else ideal), F.lit(EPS))
     item = lambda x, i, best: F.struct(x["p"].alias("p"), x["t"].alias("t"), (i + 1).alias("at"), (gain(x["t"]) / best).alias("g"), F.greatest(x["t"], F.lit(0.0)).alias("c"))
-    ranked = _let(best, lambda best: F.transform(s, lambda x, i: item(x, i, best)))
+    ranked = let(best, lambda best: F.transform(s, lambda x, i: item(x, i, best)))
     ranked = F.slice(ranked, 1, k) if k else ranked
 
     def near(a: Column, b: Column) -> Column:
@@ -107,4 +104,4 @@ def lambda_loss(s: Column, scheme: str = "none", k: int | None = None, sigma: fl
         others = (lambda a: rows) if scheme == "ndcg_loss1" else (lambda a: F.filter(rows, lambda b: a["t"] > b["t"]))
         return F.flatten(F.transform(rows, lambda a: F.transform(others(a), lambda b: term(a, b))))
 
-    return _let(_let(ranked, terms), lambda x: _result(_sum(x), F.size(x)))
+    return let(let(ranked, terms), lambda x: _result(_sum(x), F.size(x)))

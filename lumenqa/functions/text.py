@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from .lambdas import let
+
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
@@ -39,7 +41,7 @@ def _after_mark(text: Column, found: str, other: Column, flags: str = "") -> Col
     for mark in reversed(_MARKS):
         pattern = f"(?i{flags}){mark}{found}"
         out = F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1))).otherwise(out)
-    return out
+    return F.when(text.rlike(f"(?i){'|'.join(_MARKS)}"), out).otherwise(other)  # most texts have none
 
 
 def extract_answer(text: Column) -> Column:
@@ -50,7 +52,7 @@ def extract_answer(text: Column) -> Column:
     field, quoted = r"(?s)text=[\"']([^\"']*)[\"']", r'(?s)text="((?:[^"\\]|\\.)*)"'
     inner = F.regexp_extract(text, field, 1)
     sentence = clean_answer(_after_mark(inner, r"\s*(.*?)(?=\.|$)", inner).cast("string"))
-    whole = _after_mark(text, r"\s*(.*)", F.when(text.rlike(quoted), F.trim(F.regexp_extract(text, quoted, 1))).otherwise(F.trim(text)), "s")
+    whole = _after_mark(text, r"\s*(.*)", F.when(F.contains(text, F.lit('text="')) & text.rlike(quoted), F.trim(F.regexp_extract(text, quoted, 1))).otherwise(F.trim(text)), "s")
     whole = clean_answer(F.trim(F.regexp_replace(whole, r"(?s), additional_kwargs=.*$", "")))
     return F.when(F.contains(text, F.lit("CompletionResponse")) & text.rlike(field), sentence).otherwise(whole)
 
@@ -61,16 +63,27 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 
 
 def overlap_size(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    """Size of the multiset intersection of two arrays: both sorted together, so equal words are neighbours and are counted in one pass."""
+    one = lambda xs, p: F.transform(xs, lambda x: F.struct(x.alias("w"), F.lit(p).alias("p"), F.lit(1 - p).alias("g")))
+    merged = F.array_sort(F.concat(one(a, 1), one(b, 0)))
+    state = lambda w, p, g, n: F.struct(w.alias("w"), p.alias("p"), g.alias("g"), n.alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["w"] == x["w"]
+        kept = lambda c: F.when(same, s[c]).otherwise(0) + x[c]
+        return state(x["w"], kept("p"), kept("g"), s["n"] + F.when(same, 0).otherwise(F.least(s["p"], s["g"])))
+
+    return F.aggregate(merged, state(F.lit(""), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["n"] + F.least(s["p"], s["g"]))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Harmonic mean of multiset precision and recall of the answer extracted from the prediction; both empty: 1, one empty: 0."""
-    p, g = tokens(extract_answer(prediction)), tokens(gold)
-    same = overlap_size(p, g)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+    def f1(p: Column, g: Column) -> Column:
+        whole = F.size(p) + F.size(g)
+        return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * overlap_size(p, g) / whole)
+
+    return let(tokens(extract_answer(prediction)), lambda p: let(tokens(gold), lambda g: f1(p, g)))
 
 
 def coverage(prediction: Column, gold: Column) -> Column:
