@@ -79,3 +79,16 @@ def rolling(rows: DataFrame, group: str, order: list[str], column: str, width: i
     last = Window.partitionBy(group, "_span").orderBy("number").rowsBetween(1 - width, 0)
     out = spread.withColumns({"mean": F.avg(column).over(last), "n": F.count(column).over(last)})
     return out.where("_own = _span").drop("_one", "_own", "_span")
+
+
+def tiles(rows: DataFrame, group: str, order: list[str], k: int, name: str = "tile") -> DataFrame:
+    """rows with the one of k tiles of their group, from 1, that they are in; sizes differ by one at most and the first are the larger ones.
+
+    The order must tell the rows of a group apart; a group of any size is spread over tasks.
+    """
+    numbered = running(rows.withColumn("_one", F.lit(1)), group, order, {"_number": ("count", "_one")}).drop("_one")
+    sizes = rows.groupBy(F.col(group).alias("_key")).agg(F.count(F.lit(1)).alias("_size"))  # a row a group
+    small, more = F.floor(F.col("_size") / k), F.col("_size") % k
+    at, edge = F.col("_number") - 1, more * (small + 1)
+    tile = F.when(at < edge, F.floor(at / (small + 1))).otherwise(more + F.floor((at - edge) / F.greatest(small, F.lit(1)))) + 1
+    return numbered.join(sizes, F.col(group).eqNullSafe(F.col("_key"))).withColumn(name, tile.cast("int")).drop("_number", "_size", "_key")

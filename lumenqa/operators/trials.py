@@ -8,17 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from .order import running
+
+
+#: Parts of a study whose own fronts are found first.
+PARTS = 64
+
 
 def pareto_front(trials: DataFrame, study: str = "study") -> DataFrame:
     """Trials that none of their study dominates (v0 large, v1 small); of equal pairs the smallest number stays, nulls and infinities go.
 
-    One sort a study instead of a pairwise anti-join: a trial stays if its v0 exceeds all v0 of smaller v1.
+    One sort instead of a pairwise anti-join: a trial stays if its v0 exceeds all v0 of smaller v1. A study is dealt into PARTS, and
+    the front of their fronts is its front, so no task sorts a whole study.
     """
     finite = trials.where("v0 is not null and v1 is not null and abs(v0) < double('infinity') and abs(v1) < double('infinity')")
-    best = Window.partitionBy(study, "v1").orderBy(F.desc("v0"), "number")
-    before = Window.partitionBy(study).orderBy("v1").rowsBetween(Window.unboundedPreceding, -1)
-    rows = finite.withColumn("_place", F.row_number().over(best)).where("_place = 1").withColumn("_before", F.max("v0").over(before))
-    return rows.where("_before is null or v0 > _before").drop("_place", "_before")
+    dealt = finite.withColumn("_part", F.pmod(F.xxhash64("number"), F.lit(PARTS)))
+    return _front(_front(dealt, [study, "_part"]).drop("_part"), [study])
+
+
+def _front(rows: DataFrame, keys: list[str]) -> DataFrame:
+    best = Window.partitionBy(*keys, "v1").orderBy(F.desc("v0"), "number")
+    before = Window.partitionBy(*keys).orderBy("v1").rowsBetween(Window.unboundedPreceding, -1)
+    kept = rows.withColumn("_place", F.row_number().over(best)).where("_place = 1").withColumn("_before", F.max("v0").over(before))
+    return kept.where("_before is null or v0 > _before").drop("_place", "_before")
 
 
 def pareto_area(trials: DataFrame, study: str = "study") -> DataFrame:
@@ -89,10 +101,12 @@ def bins(rows: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def average_rank_share(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """rows with ``pct``: rank within the group over its size, ties with their average rank."""
-    order = Window.partitionBy(group).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(group, value))
-    return rows.withColumn("pct", (F.rank().over(order) + (ties - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy(group)))
+    """rows with ``pct``: rank within the group over its size, ties with their average rank. Equal values are counted together and ranked over ranges, so a group of any size is spread over tasks."""
+    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_ties"))
+    upto = running(counts, group, [value], {"_upto": ("sum", "_ties")})
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))  # a row a group
+    shares = upto.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).select(F.col(group).alias("_g"), F.col(value).alias("_v"), ((F.col("_upto") - (F.col("_ties") - 1) / 2) / F.col("_size")).alias("pct"))
+    return rows.join(shares, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
 def _ranked(rows: DataFrame, group: str, key: str, score: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -70,9 +71,10 @@ def qa_only_load(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """(question_id, ctxs): for each source its documents by id as contexts without text."""
+    """(question_id, ctxs): for each source its first seven documents by id as contexts without text; they are cut before they are collected."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     item = F.struct(F.col("doc_id").alias("id"), F.lit("old").alias("title"), F.lit("none").alias("text"), (F.col("doc_id") % 2 == 0).alias("has_answer"))
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("question_id")).agg(F.sort_array(F.collect_list(item)).alias("ctxs"))
+    return table(spark, sf_dir, "documents").withColumn("r", place).where("r <= 7").groupBy(F.col("source").alias("question_id")).agg(F.sort_array(F.collect_list(item)).alias("ctxs"))
 
 
 @query("select source as question_id, string_agg(case when doc_id % 3 = 0 then coalesce(lang, '') || n_chars else 'oldnone' end, ',' order by doc_id) as ctxs from (select *, row_number() over (partition by source order by doc_id) as r from documents) d where r <= 7 group by source")
@@ -99,13 +101,13 @@ def hashed_ids(spark, sf_dir):
     return rows.select("conv_id", F.md5(F.array_join(F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))), "").cast("binary")).alias("id"), "n")
 
 
-@query("select source, string_agg('t' || doc_id || '=' || coalesce(lang, '?') || ' ' || n_chars, ';' order by doc_id) as context from documents where doc_id % 10 = 0 group by source")
+@query("select doc_id // 10 as list, string_agg('t' || doc_id || '=' || coalesce(lang, '?') || ' ' || n_chars, ';' order by doc_id) as context from documents group by 1")
 def title_contexts(spark, sf_dir):
-    """Lists of (title, sentences) as one map a title."""
+    """Lists of (title, sentences), ten documents each, as one map a title."""
     pair = F.struct(F.col("doc_id"), F.concat(F.lit("t"), "doc_id").alias("title"), F.array(F.coalesce("lang", F.lit("?")), F.col("n_chars").cast("string")).alias("sentences"))
-    rows = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").groupBy("source").agg(F.sort_array(F.collect_list(pair)).alias("c"))
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("list")).agg(F.sort_array(F.collect_list(pair)).alias("c"))
     entry = lambda m: F.concat(F.map_keys(m)[0], F.lit("="), F.map_values(m)[0])
-    return rows.select("source", F.array_join(F.transform(S.context_maps(F.col("c")), entry), ";").alias("context"))
+    return rows.select("list", F.array_join(F.transform(S.context_maps(F.col("c")), entry), ";").alias("context"))
 
 
 @query("select o_custkey % 5 as base, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) as config_id, max(o_totalprice) as average_score from orders where o_custkey % 5 = 2 group by 1")
@@ -115,14 +117,14 @@ def best_of_knowledge_base(spark, sf_dir):
     return best.select(F.col("base_id").cast("long").alias("base"), "config_id", "average_score")
 
 
-_ANSWER = "trim(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z ]', '', 'g'))"
+_ANSWER = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'))"
 
 
 @query(f"select conv_id, turn, {_ANSWER} as answer from conversations where role = 'assistant'")
 def answer_extract(spark, sf_dir):
     """Answers in the five ways in which a model's reply holds them."""
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    t = F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^A-Za-z ]", ""))
+    t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""))
     ways = [("The reasoning is long. Answer: ", ".\n\nmore of it"), ('(CompletionResponse(text="so. Answer: ', '. More", additional_kwargs={}))'), ("答案: ", ", additional_kwargs={}"), ('"', '"'), ('Reply(text="', '.")')]
     raw = F.get(F.array(*[F.concat(F.lit(a), t, F.lit(b)) for a, b in ways]), F.pmod(F.hash("conv_id", "turn"), F.lit(5)))
     return rows.select("conv_id", "turn", T.extract_answer(raw).alias("answer"))
@@ -140,11 +142,11 @@ def evidence_triple_scores(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", em.alias("em"), F.round(f1, 6).alias("f1"))
 
 
-@query("with g as (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents), c as (select doc_id, regexp_replace(coalesce(text, ''), '\\s', '', 'g') from documents) select source, round(coalesce(1.0 / min(r) filter (where doc_id % 7 = 3), 0), 6) as rr from g group by source")
+@query("with g as (select doc_id // 12 as list, doc_id, row_number() over (partition by doc_id // 12 order by n_chars, doc_id) as r from documents) select list, round(coalesce(1.0 / min(r) filter (where doc_id % 7 = 3), 0), 6) as rr from g group by list")
 def reciprocal_rank_by_evidence(spark, sf_dir):
-    """The rank of the first context that names a gold id."""
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("doc_id: D"), "doc_id", F.lit(" of this list")).alias("context"))
-    ctx = rows.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "context"))), lambda x: x["context"]).alias("contexts"))
-    gold = rows.where("doc_id % 7 = 3").groupBy("source").agg(F.collect_list(F.concat(F.lit("D"), "doc_id")).alias("gold"))
-    both = ctx.join(gold, "source", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
-    return both.select("source", F.round(T.reciprocal_rank(F.col("contexts"), F.col("gold"), F.array().cast("array<string>")), 6).alias("rr"))
+    """The rank of the first context that names a gold id, in lists of twelve documents by their length."""
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 12).alias("list"), "n_chars", "doc_id", F.concat(F.lit("doc_id: D"), "doc_id", F.lit(" of this list")).alias("context"))
+    ctx = rows.groupBy("list").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_chars", "doc_id", "context"))), lambda x: x["context"]).alias("contexts"))
+    gold = rows.where("doc_id % 7 = 3").groupBy("list").agg(F.collect_list(F.concat(F.lit("D"), "doc_id")).alias("gold"))
+    both = ctx.join(gold, "list", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
+    return both.select("list", F.round(T.reciprocal_rank(F.col("contexts"), F.col("gold"), F.array().cast("array<string>")), 6).alias("rr"))

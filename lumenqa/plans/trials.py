@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import correlation
 from ..operators import trials as T
-from ..operators.order import rolling, running
+from ..operators.order import rolling, running, tiles
 from ..sources.tables import table
 from .base import query, sql
 
@@ -24,7 +24,10 @@ def part_trials(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("study"), F.col("p_partkey").alias("number"), F.col("p_retailprice").alias("v0"), F.col("p_size").cast("double").alias("v1"))
 
 
-sql("group_quarters", f"select study, number, ntile(4) over (partition by study order by v0, number) as quarter from {_TRIALS}")
+@query(f"select study, number, ntile(4) over (partition by study order by v0, number)::int as quarter from {_DUCK['t']}")
+def group_quarters(spark, sf_dir):
+    return tiles(order_trials(spark, sf_dir).select("study", "number", "v0"), "study", ["v0", "number"], 4, "quarter").select("study", "number", "quarter")
+
 
 
 @query("""
@@ -118,8 +121,9 @@ def study_similarity_kendall(spark, sf_dir):
 sql("study_medians", """
 with m as (select l_returnflag as study, l_linestatus as status, l_linenumber as line, median(l_quantity) as q from {lineitem} group by l_returnflag, l_linestatus, l_linenumber)
 select a.study as study_a, b.study as study_b, a.status, a.line, a.q as q_a, b.q as q_b from m a join m b on a.status = b.status and a.line = b.line and a.study < b.study""")
-sql("percentile_rank", f"""
-select study, number, round((rank() over (partition by study order by v1) + cast(count(*) over (partition by study, v1) - 1 as double) / 2) / count(*) over (partition by study), 9) as pct from {_PARTS}""")
+@query(f"select study, number, round((rank() over (partition by study order by v1) + (count(*) over (partition by study, v1) - 1)::double / 2) / count(*) over (partition by study), 9) as pct from {_PARTS.replace('{part}', 'part')}")
+def percentile_rank(spark, sf_dir):
+    return T.average_rank_share(part_trials(spark, sf_dir), "study", "v1").select("study", "number", F.round("pct", 9).alias("pct"))
 
 
 @query("""with e as (select min(p_size) as lo, max(p_size) as hi from part), b as (select p.*, greatest(1, ceil((p_size - lo) / ((hi - lo) / 10.0)))::int as bin from part p, e)
