@@ -13,6 +13,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lambdas import let
+
 PARAMS = "map<string,string>"
 
 
@@ -48,7 +50,7 @@ def decode(space: Space, number: Column) -> Column:
         total = sum(sizes)
         digit = rest % total
         if any(v in c.opens for v in c.values):
-            parts.append(_branch(c, sizes, digit))
+            parts.append(let(digit, lambda d, c=c, sizes=sizes: _branch(c, sizes, d)))
         else:
             parts.append(_entry(c.name, F.element_at(F.array(*[F.lit(v) for v in c.values]), (digit + 1).cast("int"))))
         rest = F.floor(rest / total).cast("long") if total > 1 else rest
@@ -69,13 +71,17 @@ def _branch(c: Choice, sizes: list[int], digit: Column) -> Column:
 
 def encode(space: Space, params: Column) -> Column:
     """The number of a configuration; null if a value of an open choice is missing or unknown."""
+    return let(params, lambda p: _encode(space, p))
+
+
+def _encode(space: Space, params: Column) -> Column:
     total, weight = F.lit(0).cast("long"), 1
     for c in space:
         digit, start = None, 0
         for value, size in zip(c.values, c.sizes()):
             own = F.lit(start).cast("long")
             if c.opens.get(value):
-                own = own + encode(c.opens[value], params)
+                own = own + _encode(c.opens[value], params)
             here = params[c.name] == value
             digit = F.when(here, own) if digit is None else digit.when(here, own)
             start += size

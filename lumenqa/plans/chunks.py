@@ -79,3 +79,12 @@ def space_configurations(spark, sf_dir):
     number = F.col("o_orderkey") * 7919 % spaces.cardinality(SPACE)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", number.alias("number")).withColumn("p", spaces.decode(SPACE, F.col("number")))
     return rows.select("o_orderkey", "number", *[F.col("p")[c].alias(c) for c in ("mode", "splitter", "chunk_size", "retrieval", "weight", "reranker", "top_k", "template")])
+
+
+@query(f"with t as (select o_orderkey, o_custkey % 2 = 0 as own, (o_custkey * 31) % {_MODE * _RERANKER * 3} as number from orders) select min(o_orderkey) as number, number as code from t where not own and number not in (select number from t where own) group by number")
+def transferred_trials(spark, sf_dir):
+    """Trials of the odd customers' study whose configuration the even customers' study lacks, each configuration once."""
+    code = F.col("o_custkey") * 31 % spaces.cardinality(SPACE)
+    trials = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"), (F.col("o_custkey") % 2 == 0).alias("own"), spaces.decode(SPACE, code).alias("params"))
+    found = spaces.transfer(trials.where("own"), trials.where("not own"), SPACE)
+    return found.select("number", spaces.encode(SPACE, F.col("params")).alias("code"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.order import shared_folder
 from ..sources import tables as S
 from ..sources.tables import table
 from .base import query
@@ -150,3 +153,82 @@ def reciprocal_rank_by_evidence(spark, sf_dir):
     gold = rows.where("doc_id % 7 = 3").groupBy("list").agg(F.collect_list(F.concat(F.lit("D"), "doc_id")).alias("gold"))
     both = ctx.join(gold, "list", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
     return both.select("list", F.round(T.reciprocal_rank(F.col("contexts"), F.col("gold"), F.array().cast("array<string>")), 6).alias("rr"))
+
+
+@query("select doc_id::varchar as id, 'what of ' || doc_id as question, lang as answer, case when doc_id % 3 = 0 then 1 else 0 end as contexts, case when doc_id % 4 = 0 then 0 else 1 end as facts, coalesce(source, 'default') as qtype, substr(text, 1, 100) as gold_evidence from documents")
+def evidence_records_load(spark, sf_dir):
+    """Documents as records with evidence, some without it or without a justification."""
+    d = F.col("doc_id")
+    raw = table(spark, sf_dir, "documents").select(
+        d.alias("key"), F.concat(F.lit("what of "), d).alias("question"), F.col("lang").alias("answer"), F.when(d % 3 == 0, F.col("text")).alias("evidence"), F.when(d % 4 != 0, F.lit("so")).alias("justification"), F.col("source").alias("question_type"), F.substring("text", 1, 100).alias("html_evidence"),
+    )
+    return S.evidence_records(raw, "key").select("id", "question", "answer", F.size("context").alias("contexts"), F.size("supporting_facts").alias("facts"), "qtype", "gold_evidence")
+
+
+@query("select conv_id::varchar as id, count(distinct turn % 3) as results, string_agg(distinct 'h' || turn % 3, ',' order by 'h' || turn % 3) as hashes, max(turn) as latest from conversations group by conv_id")
+def search_results_load(spark, sf_dir):
+    """A conversation's turns as search results, of which those with one hash overwrite each other."""
+    result = F.struct(F.col("turn"), F.concat(F.lit("h"), F.col("turn") % 3).alias("_hash"), "role")
+    raw = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(result)).alias("search_results"))
+    raw = raw.select(F.lit("q").alias("query"), F.lit("a").alias("answer"), F.col("conv_id").alias("interaction_id"), F.lit(None).cast("string").alias("question_type"), "search_results")
+    rows = S.search_result_records(raw)
+    latest = F.array_max(F.transform(F.map_values("context"), lambda x: F.get_json_object(x, "$.turn").cast("long")))
+    return rows.select("id", F.size("context").cast("long").alias("results"), F.array_join(F.array_sort(F.map_keys("context")), ",").alias("hashes"), latest.alias("latest"))
+
+
+@query("select item_id::varchar as id, text as question, length(text) as characters, 'default' as qtype, 'default' as difficulty from benchmark")
+def plain_records_load(spark, sf_dir):
+    raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("none").alias("answer"))
+    return S.plain_records(raw).select("id", "question", F.length("question").alias("characters"), "qtype", "difficulty")
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select o_custkey::varchar as qid, o_orderkey::varchar as pid, (row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey))::int as rank, o_totalprice as score from orders")
+def trec_run_load(spark, sf_dir):
+    """Orders ranked by price as a run file, written and read."""
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = table(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(order))
+    path = _folder(spark, "run")
+    ranked.select(F.concat_ws(" ", "o_custkey", F.lit("Q0"), "o_orderkey", "rank", "o_totalprice", F.lit("orders")).alias("value")).write.text(path)
+    return S.read_trec(spark, path)
+
+
+@query("select item_id::varchar as id, regexp_replace(text, '\\s+', ' ', 'g') || ' \"quoted\"' as question from benchmark")
+def query_file_load(spark, sf_dir):
+    """Benchmark texts as a tab-separated file of queries with quotes, written and read."""
+    path = _folder(spark, "queries")
+    question = F.concat(F.regexp_replace("text", r"\s+", " "), F.lit(' "quoted"'))
+    table(spark, sf_dir, "benchmark").select("item_id", question.alias("q")).write.option("sep", "\t").option("quote", '"').option("escape", '"').csv(path)
+    return S.read_queries(spark, path)
+
+
+@query("select doc_id, lang, n_chars from documents")
+def record_file_load(spark, sf_dir):
+    """Documents as JSON lines, written and read."""
+    path = f"{_folder(spark, 'records')}.jsonl"
+    S.write_records(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path)
+    return S.read_records(spark, path, "doc_id long, lang string, n_chars long")
+
+
+@query("select 'configs' as layer, count(*) as n from customer union all select 'runs', count(*) from orders")
+def memory_layers_load(spark, sf_dir):
+    """Two layers of an experience memory, written twice and read."""
+    path = _folder(spark, "memory")
+    layers = {"configs": table(spark, sf_dir, "customer"), "runs": table(spark, sf_dir, "orders")}
+    S.write_layers(layers, path)
+    S.write_layers(layers, path)  # replaces the layers that are there
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "n") for name, rows in S.read_layers(spark, path, list(layers)).items()]
+    return parts[0].union(parts[1])
+
+
+@query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by event_type")
+def result_rows_appended(spark, sf_dir):
+    """Events appended to a result file in two goes."""
+    path, rows = _folder(spark, "results"), table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    S.append_rows(rows.where("event_id % 3 = 0"), path)
+    S.append_rows(rows.where("event_id % 3 <> 0"), path)
+    back = spark.read.option("header", True).schema("event_id long, event_type string, value double").csv(path)
+    return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))

@@ -83,3 +83,13 @@ def what_correlates(spark, sf_dir):
     )
     out = correlation.what_correlates(rows, [c for c in rows.columns if c.startswith("params_")], "p_retailprice")
     return out.withColumns({c: F.round(c, 9) for c in ("correlation", "strength")})
+
+
+@query(f"""with c as (select label, i, avg(e[i]) as m from (select label, e, unnest(range(1, 65)) as i from {_EMB}) group by label, i), k as (select label, list(m order by i) as centre from c group by label),
+d as (select vec_id, b.label, list_distance(e, centre) as far from {_EMB} b join k on b.label = k.label),
+f as (select vec_id, label from (select *, row_number() over (partition by label order by round(far, 9) desc, vec_id) as place, count(*) over (partition by label) as n from d) where place <= floor(n * 0.1)),
+o as (select vec_id, label from d where vec_id not in (select vec_id from f) order by vec_id * 7919 % 1000003, vec_id limit (select floor(count(*) * 0.2)::bigint from d))
+select vec_id, label, 1 as stage from f union all select vec_id, label, 2 from o""")
+def outliers_removed(spark, sf_dir):
+    """The farthest tenth of each cluster, then a fifth of all by chance from the rest."""
+    return S.two_stage_outliers(table(spark, sf_dir, "embeddings"), 0.1, 0.2, F.col("vec_id") * 7919 % 1_000_003)

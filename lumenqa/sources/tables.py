@@ -63,6 +63,44 @@ def qa_only(raw: DataFrame) -> DataFrame:
     return raw.where("question is not null and question <> ''").select("question", F.coalesce(*lists, F.array().cast("array<string>")).alias("answers"))
 
 
+def _qa(question, answer, key, context, facts, qtype, difficulty, evidence) -> list[Column]:
+    text = lambda x: x.cast("string")
+    return [
+        text(key).alias("id"), text(question).alias("question"), text(answer).alias("answer"), context.alias("context"), F.array_compact(facts).alias("supporting_facts"), F.coalesce(text(qtype), F.lit("default")).alias("qtype"),
+        F.lit(difficulty).alias("difficulty"), evidence.alias("gold_evidence"),
+    ]
+
+
+def evidence_records(raw: DataFrame, key: str) -> DataFrame:
+    """(id, question, answer, context, supporting_facts, qtype, difficulty, gold_evidence) of records with the evidence that their answer rests on.
+
+    Reads question, answer, evidence, justification, question_type, html_evidence and the key; context is the map with the evidence under ``evidence``.
+    """
+    context = F.when(F.col("evidence").isNotNull(), F.create_map(F.lit("evidence"), F.col("evidence").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    return raw.select(*_qa(F.col("question"), F.col("answer"), F.col(key), context, F.array(F.col("justification")), F.col("question_type"), "", F.col("html_evidence").cast("string")))
+
+
+def search_result_records(raw: DataFrame) -> DataFrame:
+    """As evidence_records, of records(query, answer, interaction_id, question_type, search_results array<struct<_hash, ...>>): each result as JSON in a map by its hash.
+
+    Results without a hash are left out; of results with one hash the last stays.
+    """
+    kept = F.filter(F.coalesce("search_results", F.array().cast(raw.schema["search_results"].dataType)), lambda r: r["_hash"].isNotNull())
+    last = F.filter(kept, lambda r, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o["_hash"] == r["_hash"]))
+    context = F.map_from_entries(F.transform(last, lambda r: F.struct(r["_hash"].cast("string"), F.to_json(r))))
+    return raw.select(*_qa(F.col("query"), F.col("answer"), F.col("interaction_id"), context, F.array().cast("array<string>"), F.col("question_type"), "default", F.lit(None).cast("string")))
+
+
+def plain_records(raw: DataFrame) -> DataFrame:
+    """As evidence_records, of records(id, question, answer) without contexts or types."""
+    return raw.select(*_qa(F.col("question"), F.col("answer"), F.col("id"), F.create_map().cast("map<string,string>"), F.array().cast("array<string>"), F.lit(None), "default", F.lit(None).cast("string")))
+
+
+def named_documents(raw: DataFrame, text: str, name: str = "filename") -> DataFrame:
+    """(text, metadata) of grounding documents, with the file's name as their metadata."""
+    return raw.select(F.col(text).alias("text"), F.create_map(F.lit("file_name"), F.col(name)).alias("metadata"))
+
+
 def corpus_records(raw: DataFrame) -> DataFrame:
     """(id, title, text) of corpus entries with their place: a missing title is the id, a missing id the title, and ``doc_place`` if both are missing."""
     name = F.coalesce("id", "title", F.concat(F.lit("doc_"), F.col("place").cast("string")))
