@@ -43,6 +43,12 @@ def draw(doc_id: Column, seed: int | Column) -> Column:
     return ((b * b + F.lit(16807).cast("long") * b + 7) % prime) / F.lit(float(_PRIME))
 
 
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What a row is drawn by: its id, or where that is null, 48 bits of its text's MD5, so that rows without an id are drawn apart."""
+    digest = F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 12), 16, 10)
+    return F.coalesce(doc_id.cast("long"), digest.cast("long"))
+
+
 def targets(sizes: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """(source, source_size, target): shares by weight of the whole, none above max_rate times its source's size.
 
@@ -67,11 +73,11 @@ def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def source_plan(rows: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """(_source, source_size, target, rate, seed), one row a source of rows(doc_id, source, size); without words the rate is 0."""
+    """(_source, source_size, target, rate, seed), one row a source of rows(draw_key, source, size); without words the rate is 0."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     aims = cut(targets(sizes, p).withColumn("rate", rate).withColumnRenamed("source", "_source"))
-    extra = [F.sum(F.when(draw(F.col("doc_id"), k) < F.col("rate") - F.floor("rate"), F.col("size")).otherwise(0)) for k in range(SEEDS)]
+    extra = [F.sum(F.when(draw(F.col("draw_key"), k) < F.col("rate") - F.floor("rate"), F.col("size")).otherwise(0)) for k in range(SEEDS)]
     tried = _with_sources(rows, aims).groupBy("_source", "source_size", "target", "rate").agg(F.array(*extra).alias("extra"))
     miss = F.transform("extra", lambda x: F.abs(x + F.floor("rate") * F.col("source_size") - F.col("target")))
     return cut(tried.select("_source", "source_size", "target", "rate", (F.array_position(miss, F.array_min(miss)) - 1).cast("long").alias("seed")))
@@ -79,17 +85,17 @@ def source_plan(rows: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
 def copies() -> Column:
     """How often a row that has its source's plan goes out."""
-    more = draw(F.col("doc_id"), F.col("seed")) < F.col("rate") - F.floor("rate")
+    more = draw(F.col("draw_key"), F.col("seed")) < F.col("rate") - F.floor("rate")
     return (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("long")
 
 
 def mix_report(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs(doc_id, source, text, ...).
 
-    Null and empty texts have size 0, a null source is a source, rows that repeat a doc_id are drawn alike, a null doc_id as 0; of
+    Null and empty texts have size 0, a null source is a source, rows that repeat a doc_id are drawn alike, those without one by their text; of
     seeds that come equally near the target the first is taken; texts of any length are counted whole; an empty table gives no rows.
     """
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    rows = cut(docs.select("doc_id", draw_key(F.col("doc_id"), F.col("text")).alias("draw_key"), "source", word_count(F.col("text")).alias("size")))
     out = _with_sources(rows, source_plan(rows, p))
     return out.select("doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
 
@@ -100,7 +106,8 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     Nulls, ties, repeated rows and very long texts count as in mix_report; an empty table stays empty.
     """
     names = docs.columns
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    key = draw_key(F.col("doc_id"), F.col("text")).alias("draw_key")
+    rows = cut(docs.select(key, "source", word_count(F.col("text")).alias("size")))
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # keeps clear of names that clash
-    planned = _with_sources(docs.select("doc_id", "source", whole), source_plan(rows, p))
+    planned = _with_sources(docs.select(key, "source", whole), source_plan(rows, p))
     return planned.where(copies() > 0).select("row", F.explode(F.sequence(F.lit(1), copies().cast("int")))).select("row.*")

@@ -16,7 +16,7 @@ def _draw(doc: str, seed: str) -> str:
 
 
 OP6 = f"""
-with d as (select doc_id, source, {_WORDS}::bigint as size from documents),
+with d as (select doc_id, coalesce(doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 12))::bigint) as k, source, {_WORDS}::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as w, source_size * 3 as cap from s),
 f as (select *, cap::double / w as full_at from w),
@@ -25,12 +25,12 @@ l as (select *, (sum(source_size) over () - coalesce(sum(cap) over o, 0))::doubl
 t as (select source, source_size, least(w * coalesce((select max(level) from l where level <= full_at), full_at), cap::double) as target from l),
 r as (select *, case when source_size > 0 then target / source_size else 0 end as rate from t),
 k as (select range::bigint as seed from range({SEEDS})),
-tried as (select r.source, k.seed, abs(sum(case when {_draw('d.doc_id', 'k.seed')} < r.rate - floor(r.rate) then d.size else 0 end)
+tried as (select r.source, k.seed, abs(sum(case when {_draw('d.k', 'k.seed')} < r.rate - floor(r.rate) then d.size else 0 end)
             + floor(any_value(r.rate)) * any_value(r.source_size) - any_value(r.target)) as miss
           from d join r on d.source is not distinct from r.source cross join k group by r.source, k.seed),
 best as (select source, seed from tried qualify row_number() over (partition by source order by miss, seed) = 1)
 select d.doc_id, d.size, r.source_size, r.target,
-       ((floor(r.rate) + case when {_draw('d.doc_id', 'b.seed')} < r.rate - floor(r.rate) then 1 else 0 end) * d.size)::bigint as taken
+       ((floor(r.rate) + case when {_draw('d.k', 'b.seed')} < r.rate - floor(r.rate) then 1 else 0 end) * d.size)::bigint as taken
 from d join r on d.source is not distinct from r.source join best b on d.source is not distinct from b.source
 """
 

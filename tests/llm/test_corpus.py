@@ -274,6 +274,14 @@ def test_mixing(spark):
     assert mixing.mix_report(docs(spark, [])).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id are drawn apart, so their source comes near its target too."""
+    rows = [(None, f"w{i} w w", None, "a") for i in range(300)] + [(i, "v " * 2, None, "b") for i in range(100)]
+    got = [x for x in mixing.mix_report(docs(spark, rows)).collect() if x["doc_id"] is None]
+    assert len(got) == 300 and abs(sum(x["taken"] for x in got) - got[0]["target"]) < 30
+    assert len({x["taken"] for x in got}) == 2
+
+
 # 8
 
 
