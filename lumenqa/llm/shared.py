@@ -4,34 +4,22 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import shared_folder as checkpoint_root
+
 #: A key with more than this share of the rows is joined by a broadcast; there are at most as many such keys as its inverse.
 HOT_SHARE = 1 / 2000
 
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that setting is absent and Spark runs in one process."""
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = folder or tempfile.mkdtemp(prefix="lumenqa-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_root(df.sparkSession)
