@@ -89,7 +89,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """Pieces (conv_id, piece, formatted, mask_start, mask_end, last) of turns(conv_id, turn, role, text, ...), in order within partitions.
 
     A conversation is the pieces of its conv_id joined in order (null ids are one conversation). A null role or text counts as
-    empty; equal turns are ordered by role, then text; repeated rows are repeated turns. Mask positions count code points of the piece.
+    empty; equal turns are ordered by role, then text; repeated rows are repeated turns. Mask positions count code points of the piece. An empty table gives no
+    pieces; other columns are not read.
     """
 
     def run(batches):
@@ -134,7 +135,10 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def digest_chats(pieces: DataFrame) -> DataFrame:
-    """One row a conversation, read back from its pieces as format_chats left them: turns, digests of turns and of what the mask covers, lengths."""
+    """One row a conversation, read back from its pieces as format_chats left them: turns, digests of turns and of what the mask covers, lengths.
+
+    A conversation of empty turns has the digests of what they hold; no pieces give no rows.
+    """
 
     def run(batches):
         state = None

@@ -247,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParam
     """(doc_id, item_id, bm25, question_overlap, answer_overlap, passages, and the columns of docs to carry): each item that a document holds.
 
     Reads docs(doc_id, text) and benchmark(item_id, text). Null and empty texts hold nothing, items without words are
-    held by nothing, a null doc_id or item_id stays null, items that share an id count as one, repeated rows give repeated hits,
+    held by nothing, a null doc_id or item_id stays null, items that share an id count as one, of passages with equal scores that with the larger overlaps is told, repeated rows give repeated hits,
     empty tables give none. Texts of any length are searched whole. All passages are searched against all items in one
     pass over docs; the driver holds items_at_once items at a time.
     """
