@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stems import stem_table
 from . import blocks as B
+from .order import cut
 
 
 def chunk_tokens(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,10 +34,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "item_id", ke
     asked = queries.select(query, F.explode(T.tokens(F.col("text"))).alias("word"))
     split = docs.select(key, T.tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
     if stem:
-        spoken = stem_table(asked.select("word"))
+        spoken = cut(stem_table(asked.select("word")))
         wanted = asked.join(spoken, "word").select(query, "term").distinct()
         every = stem_table(split.select(F.explode("w").alias("word")))
-        words = every.join(spoken.select("term").distinct(), "term", "left_semi").select("word", "term")
+        words = cut(every.join(spoken.select("term").distinct(), "term", "left_semi").select("word", "term"))  # used more than once
     else:
         wanted = asked.withColumnRenamed("word", "term").distinct()
         words = wanted.select(F.col("term").alias("word"), "term").distinct()
