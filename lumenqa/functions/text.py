@@ -164,9 +164,11 @@ def question_type(question: Column) -> Column:
 
 
 def numbered_items(text: Column) -> Column:
-    """Entries of a numbered or bulleted list that are over 5 characters."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(r"^(\d+[.)]|[-*])\s*\S"))
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^(\d+[.)]|[-*])\s*", "")), lambda x: F.char_length(x) > 5)
+    """Entries of a numbered or bulleted list that are over 5 characters; blanks of any script around a line are cut."""
+    mark = r"^([0-9]+[.)]|[-*])[ \t\n\f\r]*"
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", ""))
+    listed = F.filter(lines, lambda x: x.rlike(mark + r"[^ \t\n\f\r]"))
+    return F.filter(F.transform(listed, lambda x: F.regexp_replace(x, mark, "")), lambda x: F.char_length(x) > 5)
 
 
 def ranking(text: Column, n: Column) -> Column:

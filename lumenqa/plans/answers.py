@@ -119,7 +119,7 @@ def ranking_parse(spark, sf_dir):
 
 @query("select doc_id, list_filter(list_transform(list_filter(list_transform(string_split(concat('1. ', replace(text, chr(10), concat(chr(10), '- '))), chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^(\\d+[.)]|[-*])\\s*\\S')), lambda x: regexp_replace(x, '^(\\d+[.)]|[-*])\\s*', '')), lambda x: length(x) > 5) as items from documents")
 def numbered_list_parse(spark, sf_dir):
-    listed = F.concat(F.lit("1. "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n- ")))
+    listed = F.concat(F.lit("1. "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n- ")))
     return table(spark, sf_dir, "documents").select("doc_id", T.numbered_items(listed).alias("items"))
 
 
