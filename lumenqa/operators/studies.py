@@ -75,7 +75,7 @@ def load_study(trials: DataFrame, params: dict[str, str], cost: bool = False) ->
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = rows.join(F.broadcast(start) if start.count() <= 1_000_000 else start, "study_name")
-    rows = rows.withColumn("compute_hours", F.sum(F.col("duration") / 3600).over(upto)).withColumn("number", F.row_number().over(order))
+    rows = rows.withColumn("compute_hours", F.sum("duration").over(upto) / 3600).withColumn("number", F.row_number().over(order))
     rows = rows.withColumn("wallclock_hours", (micros("datetime_complete") - micros("_start")) / 3_600_000_000).drop("_start")
     for c in ("exception_class", "exception_message"):
         rows = rows.withColumn(c, F.col(c) if c in trials.columns else F.lit("None"))

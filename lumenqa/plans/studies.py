@@ -70,6 +70,11 @@ def study_names(spark, sf_dir):
     return S.names_like(table(spark, sf_dir, "nation").select(F.col("n_name").alias("study")), "study", ["NATION_1", "NATION_2.*"], [".*_[12]2$"])
 
 
+def _micro(name: str):
+    """A column in whole millionths, halves away from zero: the double times a million is what is rounded, as the hours have exact halves."""
+    return (F.round(F.col(name) * 1_000_000, 0) / 1_000_000).alias(name)
+
+
 @query(f"""with o as (select *, row_number() over w as place, sum(duration / 3600) over (w rows unbounded preceding) as hours, min(datetime_start) over (partition by study_name) as began from {DUCK} window w as (partition by study_name order by datetime_complete, number))
 select study_name, place::int as number, mode as rag_mode, top_k::int as top_k, case when params_retriever <> 'sparse' then params_embedding_model end as embedding_model, round(values_1 * 10000, 4) as cost,
   round(hours, 6) as compute_hours, round(date_diff('microsecond', began, datetime_complete) / 3600000000.0, 6) as wallclock_hours, params_no_rag_llm_name as llm, exception_class from o where mode is not null""")
@@ -77,7 +82,7 @@ def study_load(spark, sf_dir):
     clean = S.load_study(trials(spark, sf_dir), {"rag_mode": "string", "top_k": "int"}, cost=True)
     return clean.select(
         "study_name", "number", F.col("params_rag_mode").alias("rag_mode"), F.col("params_top_k").alias("top_k"), F.col("params_embedding_model").alias("embedding_model"), F.round("values_1", 4).alias("cost"),
-        F.round("compute_hours", 6).alias("compute_hours"), F.round("wallclock_hours", 6).alias("wallclock_hours"), F.col("params_response_synthesizer_llm").alias("llm"), "exception_class",
+        _micro("compute_hours"), _micro("wallclock_hours"), F.col("params_response_synthesizer_llm").alias("llm"), "exception_class",
     )
 
 
