@@ -40,9 +40,13 @@ def subgraph_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("u", "v"):
         inside = inside.join(nodes.withColumnRenamed("node", end), end, "left_semi")
     inside = cut(inside.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w")))
-    sizes = connected_parts(inside, nodes).groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    return report_of(inside, nodes, inside.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("weight")))
+
+
+def report_of(joining: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """subgraph_report() of edges of which only weights(edges, weight), one row, and some that join the same nodes, joining(u, v), are given."""
+    sizes = connected_parts(joining, nodes).groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     whole = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("nodes"), F.count(F.lit(1)).alias("parts"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_part"))
-    weights = inside.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("weight"))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     n, m = F.col("nodes"), F.col("edges")
     return whole.crossJoin(F.broadcast(weights)).select(  # two rows of one row each

@@ -54,11 +54,13 @@ select n::bigint as nodes, m::bigint as edges, round(w / n, 6) as weighted_densi
        (select count(*) from z) = 1 as connected, (select count(*) from z)::bigint as parts, (select max(size) from z)::bigint as largest_part from c""")
 def selected_subgraph_report(spark, sf_dir):
     """The part of the dissimilarity graph that nodes of at most the mean weighted degree span."""
-    edges = S._cut(S.dissimilarity_graph(table(spark, sf_dir, "embeddings"), -0.3))
-    degrees = S._cut(edges.select(F.col("u").alias("node"), "w").union(edges.select("v", "w")).groupBy("node").agg(F.sum("w").alias("degree")))
+    base = table(spark, sf_dir, "embeddings")
+    degrees = S._cut(S.dissimilarity_degrees(base, -0.3))
     mean = degrees.agg(F.round(F.avg("degree"), 9).alias("mean"))
-    chosen = degrees.crossJoin(F.broadcast(mean)).where(F.round("degree", 9) <= F.col("mean")).select("node")  # one row
-    report = graphs.subgraph_report(edges, chosen)
+    chosen = S._cut(degrees.crossJoin(F.broadcast(mean)).where(F.round("degree", 9) <= F.col("mean")).select("node"))  # one row
+    joined = S._cut(S.dissimilarity_parts(base.join(chosen.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi"), -0.3))
+    weights = joined.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("edges"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    report = graphs.report_of(joined.select("u", "v"), chosen, weights)
     return report.withColumns({c: F.round(c, 6) for c in ("weighted_density", "density", "mean_degree")})
 
 
