@@ -27,13 +27,23 @@ MAX_SENT_WORDS = 200_000
 #: Pairs of a query and a word that are sent to all tasks.
 MAX_SENT_PAIRS = 2_000_000
 
+#: Pairs of a query and a document, and documents, that one task of bm25 scores; with more of them there are more tasks.
+PAIRS_A_TASK = 1_000_000
+DOCS_A_TASK = 10_000
+
+
+def _tasks(docs: DataFrame, queries: DataFrame) -> int:
+    """Tasks among which documents are dealt, so that what a task holds doesn't grow with their number."""
+    n, least = docs.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-n * queries.count() // PAIRS_A_TASK), -(-n // DOCS_A_TASK))
+
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", k1: float = 1.2, b: float = 0.75, stem: bool = False) -> DataFrame:
     """(query, key, score, rank): top k documents of each query by an inverted index of the queries' words, or of their English stems.
 
     Texts are split once; only words that a query has become postings, and their document frequencies are counted on those.
     The list of a word is joined with the queries that have it, whose number the queries bound. Postings are dealt by document and the queries' words are sent
-    to them, up to MAX_SENT_PAIRS, so a document's scores are made where it is and only the k best of each task go on. Stems are made once for each distinct word and joined back.
+    to them, up to MAX_SENT_PAIRS, so a document's scores are made where it is and only the k best of each task go on; there are as many tasks as hold PAIRS_A_TASK each. Stems are made once for each distinct word and joined back.
     """
     asked = queries.select(query, F.explode(T.tokens(F.col("text"))).alias("word"))
     split = docs.select(key, T.tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
@@ -47,7 +57,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query: str = "item_id", ke
         words = wanted.select(F.col("term").alias("word"), "term").distinct()
     stats = docs.select(F.size(T.tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     sent = F.broadcast(words) if words.count() <= MAX_SENT_WORDS else words
-    postings = split.select(key, "length", F.explode("w").alias("word")).join(sent, "word").repartition(key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    postings = split.select(key, "length", F.explode("w").alias("word")).join(sent, "word").repartition(_tasks(docs, queries), key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
