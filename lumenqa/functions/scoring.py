@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -36,9 +39,25 @@ def yes_probability(yes: Column, no: Column) -> Column:
     return sigmoid(yes.cast("double") - no)
 
 
-def relevance(logits: Column, kind: str) -> Column:
+def _logs(logits: Sequence[Column]) -> list[Column]:
+    """log_softmax of so many columns, without arrays."""
+    top = F.greatest(*logits)
+    total = F.ln(reduce(add, [F.exp(x.cast("double") - top) for x in logits]))
+    return [x - top - total for x in logits]
+
+
+def relevance(logits: Column | Sequence[Column], kind: str) -> Column:
     """A passage's score from its logits: ``single``: the only one as it is; ``sigmoid``: of the only one; ``last``: softmax of the
-    last; ``last_log``: its logarithm; ``difference``: the first less the second; ``first``: softmax of the first of two."""
+    last; ``last_log``: its logarithm; ``difference``: the first less the second; ``first``: softmax of the first of two.
+
+    Two or more logits given as columns of their own, rather than an array, make plain expressions, which are compiled.
+    """
+    if not isinstance(logits, Column):
+        power = [F.exp(x.cast("double") - F.greatest(*logits)) for x in logits]
+        softmaxed = lambda i: power[i] / reduce(add, power)
+        return {
+            "single": logits[0].cast("double"), "sigmoid": sigmoid(logits[0]), "last": softmaxed(-1), "last_log": _logs(logits)[-1], "difference": logits[0].cast("double") - logits[1], "first": softmaxed(0),
+        }[kind]
     return {
         "single": F.element_at(logits, 1).cast("double"),
         "sigmoid": sigmoid(F.element_at(logits, 1)),
@@ -70,8 +89,10 @@ def pooled(tokens: Column, mask: Column | None = None, mode: str = "mean") -> Co
     return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
 
 
-def divergence(scores: Column, gold: Column) -> Column:
-    """Kullback-Leibler divergence of softmax(gold) from softmax(scores) of one query's passages."""
+def divergence(scores: Column | Sequence[Column], gold: Column | Sequence[Column]) -> Column:
+    """Kullback-Leibler divergence of softmax(gold) from softmax(scores) of one query's passages, both arrays or both columns of their own."""
+    if not isinstance(gold, Column):
+        return reduce(add, [F.exp(g) * (g - s) for g, s in zip(_logs(gold), _logs(scores), strict=True)])
     return _sum(F.zip_with(log_softmax(gold), log_softmax(scores), lambda g, s: F.exp(g) * (g - s)))
 
 

@@ -96,9 +96,9 @@ select l_orderkey, l_linenumber, round(1 / (1 + exp(b - a)), 9) as yes, round(1
 def model_scores(spark, sf_dir):
     """Scores of two logits a line, how far they are from their exchange, and what a call would cost by tokens, characters or time."""
     a, b, n, s = F.col("l_discount") * 30 - 1, F.col("l_tax") * 40, F.col("l_quantity"), F.col("l_extendedprice")
-    logits = F.array(a, b)
+    logits = [a, b]
     kind = F.when(F.col("l_returnflag") == "A", "tokens").when(F.col("l_returnflag") == "N", "characters").otherwise("hourly")
-    scores = {"yes": scoring.yes_probability(a, b), **{k: scoring.relevance(logits, k) for k in ("sigmoid", "last", "last_log", "difference")}, "divergence": scoring.divergence(F.reverse(logits), logits)}
+    scores = {"yes": scoring.yes_probability(a, b), **{k: scoring.relevance(logits, k) for k in ("sigmoid", "last", "last_log", "difference")}, "divergence": scoring.divergence([b, a], logits)}
     scores["cost"] = scoring.call_cost(kind, n, 2 * n, s, s, n, F.lit(3.0), F.lit(10.0), F.lit(4.0))
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.round(x, 9).alias(k) for k, x in scores.items()])
 
