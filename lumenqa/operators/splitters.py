@@ -114,14 +114,24 @@ def split_page(html: str, size: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Characters of pieces that a task holds before they go on.
+HELD = 1 << 20
+
+
 def _pieces(docs: DataFrame, place: Callable[[str], list[tuple[int, int]]], key: str, text: str) -> DataFrame:
     """(key, chunk, start, text): chunk from 0 and the piece's first character; null and empty texts have none."""
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(c, t) for c, t in (("chunk", T.IntegerType()), ("start", T.LongType()), ("text", T.StringType())))])
 
+    most = HELD
+
     def run(batches):
         for batch in batches:
-            rows, chunk, start, piece = [], [], [], []
+            rows, chunk, start, piece, held = [], [], [], [], 0
+
+            def made():
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(chunk, pa.int32()), pa.array(start, pa.int64()), pa.array(piece, pa.string())], [key, "chunk", "start", "text"])
+
             for i, value in enumerate(batch.column(1)):
                 whole = value.as_py() or ""
                 for k, (a, b) in enumerate(place(whole)):
@@ -129,7 +139,12 @@ def _pieces(docs: DataFrame, place: Callable[[str], list[tuple[int, int]]], key:
                     chunk.append(k)
                     start.append(a)
                     piece.append(whole[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(chunk, pa.int32()), pa.array(start, pa.int64()), pa.array(piece, pa.string())], [key, "chunk", "start", "text"])
+                held += len(whole)
+                if held >= most:
+                    yield made()
+                    rows, chunk, start, piece, held = [], [], [], [], 0
+            if rows:
+                yield made()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
