@@ -20,6 +20,9 @@ from .retrieval import top_k
 #: Rows of a list that one task meets with a block of queries at once.
 BLOCK = 1024
 
+#: Cells of queries by lists, which are also rows of queries that are sent, that a task holds at once.
+SENT = 1 << 16
+
 
 @dataclass(frozen=True)
 class IndexParams:
@@ -146,11 +149,11 @@ def _sent(index: VectorIndex, queries: DataFrame, skip: int = 0, take: int | Non
     hold a vector as near: by the triangle inequality none of a list is nearer than its centroid less its radius."""
     spark = queries.sparkSession
     sent = spark.sparkContext.broadcast((index.centroids, index.radii, index.sizes))
-    bounded = "least" in queries.columns
+    bounded, step = "least" in queries.columns, max(1, SENT // max(1, len(index.centroids)))
 
     def run(batches):
         centroids, radii, sizes = sent.value
-        for batch in batches:
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             x = B.unit(_matrix(batch.column(1)))
             if not len(x):
                 continue
