@@ -75,13 +75,7 @@ def top_k(scored: DataFrame, query: str, key: str, k: int, score: str = "score")
 
 def dense(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) by exact cosine of queries(query_id, query) with base(vec_id, embedding), in blocks; an id is no hit of itself."""
-
-    def score(a, b):
-        cosine = B.unit(a["query"]) @ B.unit(b["embedding"]).T
-        row, column = B.best_columns(cosine, b["vec_id"], k, a["query_id"][:, None] != b["vec_id"][None, :])
-        return a["query_id"][row], b["vec_id"][column], cosine[row, column]
-
-    hits = B.pairs(queries.select("query_id", "query").dropna(), base.select("vec_id", "embedding").dropna(), score, "query_id long, vec_id long, score double")
+    hits = B.best_pairs(queries.select("query_id", "query").dropna(), base.select("vec_id", "embedding").dropna(), k).toDF("query_id", "vec_id", "score")
     return top_k(hits, "query_id", "vec_id", k)
 
 
